@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions.detectors import DETECTORS, as_text, number
+from ..functions.settle import settle
 
 ID = "field_id"
 
@@ -106,11 +107,10 @@ def profile(df: DataFrame, columns: list[str] | None = None, order: list[str] |
 def _finish(rows: DataFrame, columns: list[str], types: list[str], order: list[str] | None) -> DataFrame:
     filled = F.col("total_values") - F.col("null_count")
     some = F.when(filled > 0, filled)
-    typed = rows.select(
-        "*",
-        filled.alias("filled"),
-        resolve_type({t: F.col(f"is_{t}") for t in types}, some, F.col("unique_values"), order).alias("detected_type"),
-    )
+    typed = settle(rows, {
+        "filled": filled,
+        "detected_type": resolve_type({t: F.col(f"is_{t}") for t in types}, some, F.col("unique_values"), order),
+    })
     kind, filled = F.col("detected_type"), F.col("filled")
     sized = kind.isin(V.LENGTH_TYPES) & (filled > 0)
     numeric = kind.isin(V.NUMERIC_TYPES) & (F.col("numbers") > 0)
@@ -131,7 +131,13 @@ def _finish(rows: DataFrame, columns: list[str], types: list[str], order: list[s
         .when(kind.isin("date", "datetime"), share("is_temporal"))
         .otherwise(F.lit(1.0))
     )
-    scored = typed.select(
+    flags = settle(typed, {
+        "is_categorical": categorical,
+        "completeness": F.when(filled > 0, filled / F.col("total_values")).otherwise(0.0),
+        "consistency": F.when(filled > 0, consistency.otherwise(F.lit(1.0))).otherwise(0.0),
+        "validity": F.when(filled > 0, validity).otherwise(0.0),
+    })
+    return flags.select(
         ID,
         _names(columns).alias("field"),
         "detected_type",
@@ -146,13 +152,12 @@ def _finish(rows: DataFrame, columns: list[str], types: list[str], order: list[s
         F.when(numeric, F.col("max_value")).alias("max_value"),
         F.when(numeric, F.col("sum_value") / F.col("numbers")).alias("mean_value"),
         F.when(numeric & (F.col("numbers") > 1), F.sqrt(F.col("square_gaps") / (F.col("numbers") - 1))).alias("std_value"),
-        categorical.alias("is_categorical"),
-        F.when(filled > 0, filled / F.col("total_values")).otherwise(0.0).alias("completeness"),
-        F.when(filled > 0, consistency.otherwise(F.lit(1.0))).otherwise(0.0).alias("consistency"),
-        F.when(filled > 0, validity).otherwise(0.0).alias("validity"),
+        "is_categorical",
+        "completeness",
+        "consistency",
+        "validity",
+        ((F.col("completeness") + F.col("consistency") + F.col("validity")) / 3).alias("overall_quality"),
     )
-    mean = (F.col("completeness") + F.col("consistency") + F.col("validity")) / 3
-    return scored.withColumn("overall_quality", mean)
 
 
 def profile_basic(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

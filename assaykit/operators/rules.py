@@ -65,3 +65,17 @@ def learn_rules(df: DataFrame, columns: list[str] | None = None, max_categories:
         )
         for r in sorted(rows, key=lambda r: r["field_id"])
     ]
+
+
+def learn_definition(df: DataFrame, columns: list[str] | None = None) -> list[FieldRule]:
+    """The inferred definition: the bounds as seen, without the tolerance that rules get."""
+    columns = columns or df.columns
+    rows = with_categories(df, columns).collect()  # one row per column
+    return [
+        FieldRule(
+            field=r["field"], kind=r["detected_type"], required=r["null_count"] == 0,
+            min_length=r["min_length"], max_length=r["max_length"], min_value=r["min_value"], max_value=r["max_value"],
+            allowed=tuple(r["categories"]) if r["is_categorical"] and r["categories"] else None,
+        )
+        for r in sorted(rows, key=lambda r: r["field_id"])
+    ]

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions.detectors import as_text, fits_type, matches_any, number, quality_level
+from ..functions.settle import settle
 from .rules import FieldRule
 
 ABSENT_REQUIRED, ABSENT_OPTIONAL, NULL_REQUIRED, NULL_OPTIONAL = 1, 2, 4, 8
@@ -49,56 +50,59 @@ def check_bits(value: Column, rule: FieldRule) -> Column:
     return F.when(value.isNull() | (value == ""), F.lit(absent)).otherwise(present)
 
 
-def _has(bits: Column, bit: int) -> Column:
-    return bits.bitwiseAND(bit) != 0
+def _quoted(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def field_score(bits: Column) -> Column:
-    """Score of a cell; the factors multiply in the order of the checks."""
-
-    def factor(bit: int, name: str) -> Column:
-        return F.when(_has(bits, bit), V.FACTORS[name]).otherwise(1.0)
+def _has(bits: str, bit: int) -> str:
+    return f"({bits} & {bit}) != 0"
 
-    size = F.when(_has(bits, SHORT), V.FACTORS["short"]).when(_has(bits, LONG), V.FACTORS["long"]).otherwise(1.0)
-    product = (
-        factor(TYPE, "type") * size * factor(BELOW | ABOVE, "range")
-        * factor(CATEGORY, "category") * factor(PATTERN, "pattern")
-    )
-    return (
-        F.when(bits == 0, 1.0)
-        .when(_has(bits, ABSENT_REQUIRED | NULL_REQUIRED), V.MISSING_REQUIRED)
-        .when(_has(bits, ABSENT_OPTIONAL), V.MISSING_OPTIONAL)
-        .when(_has(bits, NULL_OPTIONAL), V.NULL_OPTIONAL)
-        .otherwise(product)
-    )
 
+# The expressions below read only check bits and rule constants. They are built as SQL text: one
+# call to the JVM each, where Column objects would take hundreds for a wide record.
 
-def _issue(bits: Column, bit: int, rule: FieldRule, kind: str, text: str) -> Column:
-    return F.when(_has(bits, bit), F.struct(
-        F.lit(rule.field).alias("field"), F.lit(kind).alias("issue_type"), F.lit(text).alias("description")))
 
-
-def field_issues(bits: Column, rule: FieldRule) -> list[Column]:
-    """Possible issues of a field, null where the check passed."""
-    out = [
-        _issue(bits, ABSENT_REQUIRED, rule, "missing_value", "Required field is missing"),
-        _issue(bits, NULL_REQUIRED, rule, "missing_value", "Field cannot be null"),
-        _issue(bits, TYPE, rule, "invalid_format", f"Invalid {rule.kind} format"),
-        _issue(bits, SHORT, rule, "length_violation", f"Value too short (min: {rule.min_length})"),
-        _issue(bits, LONG, rule, "length_violation", f"Value too long (max: {rule.max_length})"),
-        _issue(bits, BELOW, rule, "out_of_range", f"Value below minimum ({rule.min_value})"),
-        _issue(bits, ABOVE, rule, "out_of_range", f"Value above maximum ({rule.max_value})"),
-        _issue(bits, PATTERN, rule, "inconsistent_pattern", "Value doesn't match expected pattern"),
+def field_score(bits: str) -> Column:
+    """Score of a cell; the factors multiply in the order of the checks."""
+    f = V.FACTORS
+
+    def factor(bit: int, name: str) -> str:
+        return f"IF({_has(bits, bit)}, {f[name]}D, 1.0D)"
+
+    return F.expr(f"""
+        CASE WHEN {bits} = 0 THEN 1.0D
+             WHEN {_has(bits, ABSENT_REQUIRED | NULL_REQUIRED)} THEN {V.MISSING_REQUIRED}D
+             WHEN {_has(bits, ABSENT_OPTIONAL)} THEN {V.MISSING_OPTIONAL}D
+             WHEN {_has(bits, NULL_OPTIONAL)} THEN {V.NULL_OPTIONAL}D
+             ELSE {factor(TYPE, 'type')}
+                  * CASE WHEN {_has(bits, SHORT)} THEN {f['short']}D WHEN {_has(bits, LONG)} THEN {f['long']}D ELSE 1.0D END
+                  * {factor(BELOW | ABOVE, 'range')} * {factor(CATEGORY, 'category')} * {factor(PATTERN, 'pattern')} END""")
+
+
+def field_issues(bits: str, rule: FieldRule) -> list[str]:
+    """Possible issues of a field as SQL, null where the check passed."""
+    checks = [
+        (True, ABSENT_REQUIRED, "missing_value", "Required field is missing"),
+        (True, NULL_REQUIRED, "missing_value", "Field cannot be null"),
+        (rule.kind != "string", TYPE, "invalid_format", f"Invalid {rule.kind} format"),
+        (rule.min_length is not None, SHORT, "length_violation", f"Value too short (min: {rule.min_length})"),
+        (rule.max_length is not None, LONG, "length_violation", f"Value too long (max: {rule.max_length})"),
+        (rule.min_value is not None, BELOW, "out_of_range", f"Value below minimum ({rule.min_value})"),
+        (rule.max_value is not None, ABOVE, "out_of_range", f"Value above maximum ({rule.max_value})"),
+        (bool(rule.patterns), PATTERN, "inconsistent_pattern", "Value doesn't match expected pattern"),
+    ]
+    return [
+        f"IF({_has(bits, bit)}, named_struct('field', {_quoted(rule.field)}, 'issue_type', '{kind}', "
+        f"'description', {_quoted(text)}), NULL)"
+        for on, bit, kind, text in checks if on
     ]
-    checked = [True, True, rule.kind != "string", rule.min_length is not None, rule.max_length is not None,
-               rule.min_value is not None, rule.max_value is not None, bool(rule.patterns)]
-    return [c for c, on in zip(out, checked) if on]
 
 
-def field_warnings(bits: Column, value: Column | None, rule: FieldRule) -> list[Column]:
-    out = [F.when(_has(bits, ABSENT_OPTIONAL), F.lit(f"Optional field '{rule.field}' is missing"))]
+def field_warnings(bits: str, value: Column | None, rule: FieldRule) -> list[Column]:
+    out = [F.expr(f"IF({_has(bits, ABSENT_OPTIONAL)}, {_quoted(f"Optional field '{rule.field}' is missing")}, NULL)")]
     if rule.allowed and value is not None:
-        out.append(F.when(_has(bits, CATEGORY), F.concat(
+        out.append(F.when(F.expr(_has(bits, CATEGORY)), F.concat(
             F.lit(f"Field '{rule.field}' has unexpected category: "), value)))
     return out
 
@@ -110,37 +114,39 @@ def validate(df: DataFrame, rules: list[FieldRule], keys: list[str], score_warni
     of ``df``. ``keys`` identify a record and are not validated. ``score_warnings`` also warns about
     scores under the route and valid thresholds.
     """
+    if not rules:
+        raise ValueError("no rules to validate by")
     have = set(df.columns)
     bits = {r.field: f"__bits_{i}" for i, r in enumerate(rules)}
-    coded = df.select("*", *[
-        (check_bits(as_text(df, r.field), r) if r.field in have
-         else F.lit(ABSENT_REQUIRED if r.required else ABSENT_OPTIONAL)).alias(bits[r.field])
+    coded = settle(df, {
+        bits[r.field]: check_bits(as_text(df, r.field), r) if r.field in have
+        else F.lit(ABSENT_REQUIRED if r.required else ABSENT_OPTIONAL)
         for r in rules
-    ])
-    scored = coded.select("*", *[field_score(F.col(b)).alias(f"{b}s") for b in bits.values()])
-    scores = [F.col(f"{b}s") for b in bits.values()]
-    total = reduce(lambda a, b: a + b, scores) / len(scores) if scores else F.lit(0.0)
-    flagged = reduce(lambda a, b: a.bitwiseOR(b), [F.col(b) for b in bits.values()]) if bits else F.lit(0)
-    rated = scored.select("*", total.alias("quality_score"), flagged.alias("__flags"))
-
-    score, flags = F.col("quality_score"), F.col("__flags")
-    none = F.array().cast("array<struct<field:string,issue_type:string,description:string>>")
-    issues = F.array_compact(F.array(*[c for r in rules for c in field_issues(F.col(bits[r.field]), r)]))
+    })
+    scores = [field_score(b) for b in bits.values()]
+    rated = settle(coded, {
+        "quality_score": reduce(lambda a, b: a + b, scores) / len(scores),
+        "__flags": F.expr(" | ".join(bits.values())),
+    })
+
+    score, failed = F.col("quality_score"), F.expr(_has("__flags", ISSUE_BITS))
+    none = F.expr("CAST(array() AS array<struct<field:string,issue_type:string,description:string>>)")
+    issues = F.expr("array_compact(array(" + ", ".join(c for r in rules for c in field_issues(bits[r.field], r)) + "))")
     notes = [c for r in rules
-             for c in field_warnings(F.col(bits[r.field]), as_text(df, r.field) if r.field in have else None, r)]
+             for c in field_warnings(bits[r.field], as_text(df, r.field) if r.field in have else None, r)]
     surprises = [F.lit(f"Unexpected field '{c}' found") for c in df.columns if c not in bits and c not in keys]
-    warned = _has(flags, WARNING_BITS)
+    warned = F.expr(_has("__flags", WARNING_BITS))
     about_score = quality_warnings(score) if score_warnings else []
     if score_warnings:
         warned = warned | (score < V.ROUTE_SCORE)
     extra = F.array(*surprises).cast("array<string>")
     return rated.select(
         *[F.col(f"`{c}`") for c in df.columns],
-        (~_has(flags, ISSUE_BITS) & (score >= V.VALID_SCORE)).alias("is_valid"),
+        (~failed & (score >= V.VALID_SCORE)).alias("is_valid"),
         "quality_score",
         quality_level(score).alias("quality_level"),
-        F.create_map(*[x for r in rules for x in (F.lit(r.field), F.col(f"{bits[r.field]}s"))]).alias("field_scores"),
-        F.when(_has(flags, ISSUE_BITS), issues).otherwise(none).alias("issues"),
+        F.create_map(*[x for r in rules for x in (F.lit(r.field), field_score(bits[r.field]))]).alias("field_scores"),
+        F.when(failed, issues).otherwise(none).alias("issues"),
         F.when(warned, F.array_compact(F.array(*notes, *surprises, *about_score))).otherwise(extra).alias("warnings"),
     )
 
@@ -149,7 +155,7 @@ def quality_warnings(score: Column) -> list[Column]:
     """Warnings about the score itself."""
     return [
         F.when(score < V.ROUTE_SCORE, F.concat(
-            F.lit("Data quality score is "), F.format_number(score, "0.00"), F.lit(" - consider reviewing"))),
+            F.lit("Data quality score is "), F.format_string("%.2f", score), F.lit(" - consider reviewing"))),
         F.when(score < V.VALID_SCORE, F.lit("Poor data quality detected - manual review recommended")),
     ]
 

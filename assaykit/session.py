@@ -15,6 +15,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # call-site capture triples the round trips of building an expression
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 _LOCAL_DIRS: dict[str, str] = {}
