@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_detect", "q_profile", "q_validate", "q_warehouse"]
+MODULES = ["q_detect", "q_profile", "q_validate", "q_warehouse", "q_reports"]
 
 
 def load_all():
