@@ -136,7 +136,7 @@ CUSTOMER_ALIASES = {
 
 # Storage type per semantic type; anything else is a string.
 STORAGE_TYPES = {
-    "integer": "int", "float": "double", "boolean": "boolean", "datetime": "timestamp",
+    "integer": "bigint", "float": "double", "boolean": "boolean", "datetime": "timestamp",
     "date": "date", "string": "string", "text": "string", "email": "string", "phone": "string",
     "url": "string", "uuid": "string", "json": "string", "array": "string",
 }

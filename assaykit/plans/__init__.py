@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_detect", "q_profile", "q_validate", "q_warehouse", "q_reports"]
+MODULES = ["q_detect", "q_profile", "q_validate", "q_warehouse", "q_reports", "q_registry"]
 
 
 def load_all():

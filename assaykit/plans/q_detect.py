@@ -9,6 +9,7 @@ from ..functions import normalise as N
 from ..functions.detectors import DETECTORS, fits_loosely
 from ..operators import clean as C
 from ..operators import profile as P
+from ..operators.registry import storage_type
 from . import fixtures as X
 from .catalog import query, register
 from .ctes import DETECTED, sql_matches, text_list, with_blocks
@@ -210,13 +211,9 @@ def loose_type_check(spark, sf_dir):
 
 
 @query(with_blocks(["shist", "sprof", "dprof"], """
-    SELECT field, CASE detected_type WHEN 'integer' THEN 'int' WHEN 'float' THEN 'double' WHEN 'boolean' THEN 'boolean'
+    SELECT field, CASE detected_type WHEN 'integer' THEN 'bigint' WHEN 'float' THEN 'double' WHEN 'boolean' THEN 'boolean'
                   WHEN 'datetime' THEN 'timestamp' WHEN 'date' THEN 'date' ELSE 'string' END AS storage_type
     FROM (SELECT * FROM sprof UNION ALL SELECT * FROM dprof)"""))
 def map_storage_type(spark, sf_dir):
     return detect_types(spark, sf_dir).select("field", storage_type(F.col("detected_type")).alias("storage_type"))
 
-
-def storage_type(kind):
-    table = F.create_map(*[F.lit(x) for pair in V.STORAGE_TYPES.items() for x in pair])
-    return F.coalesce(F.try_element_at(table, kind), F.lit("string"))
