@@ -1,7 +1,10 @@
 """Word lists, patterns, formats and thresholds that results depend on."""
 
 # Text that a reader turns into a null.
-READER_NULL_TOKENS = ["", "NULL", "null", "None", "N/A", "n/a", "#N/A"]
+READER_NULL_TOKENS = [
+    "", "NULL", "null", "None", "N/A", "n/a", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN",
+    "-nan", "1.#IND", "1.#QNAN", "<NA>", "NA", "NaN", "nan",
+]
 
 # Text that cleaning turns into a null.
 CLEAN_NULL_TOKENS = ["", "NULL", "null", "None"]

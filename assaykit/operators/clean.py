@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,8 +38,13 @@ def trim_text(df: DataFrame) -> DataFrame:
 
 
 def drop_empty_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Drop rows in which every one of the columns is null."""
-    return df.na.drop("all", subset=columns)
+    """Drop rows in which every one of the columns is null (or NaN)."""
+    filled = []
+    for name in columns or df.columns:
+        col = F.col(f"`{name}`")
+        number = isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType))
+        filled.append(col.isNotNull() & ~F.isnan(col) if number else col.isNotNull())
+    return df.filter(reduce(lambda a, b: a | b, filled))
 
 
 def clean(df: DataFrame, payload: list[str] | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_detect", "q_profile", "q_validate", "q_warehouse", "q_reports", "q_registry"]
+MODULES = ["q_detect", "q_profile", "q_validate", "q_warehouse", "q_reports", "q_registry", "q_sources", "q_streaming"]
 
 
 def load_all():
