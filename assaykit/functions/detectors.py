@@ -96,6 +96,20 @@ def number(value: Column) -> Column:
     return F.when(value.rlike(f"(?i){V.NUMBER_PATTERN}"), F.trim(value).try_cast("double"))
 
 
+def number_of(df: DataFrame, name: str) -> Column:
+    """The number in a column: a numeric one is taken as it is, text is read."""
+    dtype, col = df.schema[name].dataType, F.col(f"`{name}`")
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return F.when(~F.isnan(col), col.cast("double"))
+    return col.cast("double") if isinstance(dtype, T.NumericType) else number(as_text(df, name))
+
+
+def always_fits(df: DataFrame, name: str, kind: str) -> bool:
+    """Whether the storage type of a column already settles the check."""
+    dtype = df.schema[name].dataType
+    return isinstance(dtype, T.IntegralType) and kind == "integer"
+
+
 def fits_type(value: Column, kind: str) -> Column:
     """Whether a value fits a resolved type; string and categorical take anything."""
     return DETECTORS[kind](value) if kind in DETECTORS else F.lit(True)

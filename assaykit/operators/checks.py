@@ -8,25 +8,26 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed_values as V
-from ..functions.detectors import as_text, fits_loosely, fits_type, number
-from ..functions.settle import settle
+from ..functions.detectors import always_fits, as_text, fits_loosely, fits_type, number_of
+from ..functions.settle import note_failures, settle
 from .rules import FieldRule
 
 
 # ---- constraint check of an inferred definition ----------------------------------------------
-def constraint_score(value: Column, rule: FieldRule) -> Column:
-    """Product of the constraint factors of one present value; missing bounds are not checked."""
+def constraint_score(value: Column, amount: Column, rule: FieldRule) -> Column:
+    """Product of the constraint factors of one present value and its number; missing bounds are not checked."""
     score, w = F.lit(1.0), V.CONSTRAINT_FACTORS
     if rule.min_length is not None:
         score = score * F.when(F.length(value) < rule.min_length, w["length"]).otherwise(1.0)
     if rule.max_length is not None:
         score = score * F.when(F.length(value) > rule.max_length, w["length"]).otherwise(1.0)
     if rule.min_value is not None:
-        score = score * F.when(number(value) < rule.min_value, w["range"]).otherwise(1.0)
+        score = score * F.when(amount < rule.min_value, w["range"]).otherwise(1.0)
     if rule.max_value is not None:
-        score = score * F.when(number(value) > rule.max_value, w["range"]).otherwise(1.0)
+        score = score * F.when(amount > rule.max_value, w["range"]).otherwise(1.0)
     if rule.allowed:
         score = score * F.when(~value.isin(list(rule.allowed)), w["category"]).otherwise(1.0)
     return score
@@ -36,23 +37,23 @@ def validate_constraints(df: DataFrame, definition: list[FieldRule]) -> DataFram
     """Judge records by an inferred definition: only a missing required value makes one invalid."""
     scores, errors, warnings = [], [], []
     for rule in definition:
-        value = as_text(df, rule.field) if rule.field in df.columns else F.lit(None).cast("string")
+        here = rule.field in df.columns
+        value = as_text(df, rule.field) if here else F.lit(None).cast("string")
+        amount = number_of(df, rule.field) if here else F.lit(None).cast("double")
         missing = (value.isNull() | (value == "")) if rule.required else F.lit(False)
         mismatch = value.isNotNull() & ~fits_loosely(value, rule.kind)
-        errors.append(F.when(missing, F.lit(f"Required field '{rule.field}' is missing")))
-        warnings.append(F.when(mismatch, F.lit(f"Field '{rule.field}' type mismatch: expected {rule.kind}")))
+        if rule.required:
+            errors.append((missing, f"Required field '{rule.field}' is missing"))
+        warnings.append((mismatch, f"Field '{rule.field}' type mismatch: expected {rule.kind}"))
         scores.append(
             F.when(missing, 0.0)
             .when(value.isNull(), 1.0)
-            .otherwise(F.when(mismatch, V.CONSTRAINT_FACTORS["type"]).otherwise(1.0) * constraint_score(value, rule))
+            .otherwise(F.when(mismatch, V.CONSTRAINT_FACTORS["type"]).otherwise(1.0) * constraint_score(value, amount, rule))
         )
-    checked = settle(df, {
-        "errors": F.array_compact(F.array(*errors)),
-        "warnings": F.array_compact(F.array(*warnings)),
-        "quality_score": reduce(lambda a, b: a + b, scores) / len(scores),
-    })
-    return checked.withColumn("is_valid", F.size("errors") == 0).withColumn(
-        "status", F.when(~F.col("is_valid"), "invalid").when(F.size("warnings") > 0, "warning").otherwise("valid"))
+    scored = settle(df, {"quality_score": reduce(lambda a, b: a + b, scores) / len(scores)})
+    noted = note_failures(note_failures(scored, errors, "errors", "is_valid"), warnings, "warnings", "__calm")
+    return noted.withColumn(
+        "status", F.when(~F.col("is_valid"), "invalid").when(~F.col("__calm"), "warning").otherwise("valid")).drop("__calm")
 
 
 # ---- declared rules ---------------------------------------------------------------------------
@@ -63,26 +64,26 @@ class DeclaredField:
     regex: str | None = None
 
 
-def declared_failures(df: DataFrame, fields: dict[str, DeclaredField]) -> list[Column]:
-    """One possible ``field: reason`` text per check."""
+def declared_failures(df: DataFrame, fields: dict[str, DeclaredField]) -> list[tuple[Column, str]]:
+    """Failure condition and ``field: reason`` text of every check."""
     out = []
     for name, spec in fields.items():
         value = as_text(df, name)
-        blank = value.isNull() | (value == "")
+        blank = value.isNull() | (value == "") if isinstance(df.schema[name].dataType, T.StringType) else value.isNull()
         if not spec.nullable:
-            out.append(F.when(blank, F.lit(f"{name}: required value missing")))
-        if spec.dtype == "integer":
-            out.append(F.when(~blank & ~fits_type(value, "integer"), F.lit(f"{name}: not an integer")))
+            out.append((blank, f"{name}: required value missing"))
+        if spec.dtype == "integer" and not always_fits(df, name, "integer"):
+            out.append((~blank & ~fits_type(value, "integer"), f"{name}: not an integer"))
         elif spec.dtype == "float":
-            out.append(F.when(~blank & number(value).isNull(), F.lit(f"{name}: not a number")))
+            out.append((~blank & number_of(df, name).isNull(), f"{name}: not a number"))
         if spec.regex:
-            out.append(F.when(~blank & ~value.rlike(spec.regex), F.lit(f"{name}: pattern mismatch")))
+            out.append((~blank & ~value.rlike(spec.regex), f"{name}: pattern mismatch"))
     return out
 
 
 def validate_declared(df: DataFrame, fields: dict[str, DeclaredField]) -> DataFrame:
     """Adds ``failures`` and ``is_valid``."""
-    return settle(df, {"failures": F.array_compact(F.array(*declared_failures(df, fields)))}).withColumn("is_valid", F.size("failures") == 0)
+    return note_failures(df, declared_failures(df, fields), "failures", "is_valid")
 
 
 # ---- custom rules -----------------------------------------------------------------------------
@@ -115,14 +116,14 @@ def validate_custom(df: DataFrame, rules: list[CustomRule]) -> DataFrame:
     """Adds ``failures``: the messages of the broken rules."""
     marked, outcome, helpers = df, [], []
     for i, rule in enumerate(rules):
-        text = F.lit(rule.message or f"{rule.field}: {rule.rule_type}")
+        text = rule.message or f"{rule.field}: {rule.rule_type}"
         if rule.rule_type == "unique":
             helper = f"__copies_{i}"
             marked, helpers = mark_duplicates(marked, [rule.field], helper), [*helpers, helper]
-            outcome.append(F.when(F.col(helper) > 1, text))
+            outcome.append((F.col(helper) > 1, text))
         else:
-            outcome.append(F.when(rule_failed(df, rule), text))
-    return marked.withColumn("failures", F.array_compact(F.array(*outcome))).drop(*helpers)
+            outcome.append((rule_failed(marked, rule), text))
+    return note_failures(marked, outcome, "failures").drop(*helpers)
 
 
 # ---- keys, references, copies ------------------------------------------------------------------
@@ -189,15 +190,15 @@ def validate_static(df: DataFrame) -> DataFrame:
     for name, required, low, high in V.CUSTOMER_MODEL:
         value = F.col(name)
         if required:
-            failures.append(F.when(value.isNull() | (F.length(F.trim(value)) == 0), F.lit(f"{name}: required")))
+            failures.append((value.isNull() | (F.length(F.trim(value)) == 0), f"{name}: required"))
         size = F.length(value)
         if low is not None and low > 1:
-            failures.append(F.when((F.length(F.trim(value)) > 0) & (size < low), F.lit(f"{name}: too short")))
+            failures.append(((F.length(F.trim(value)) > 0) & (size < low), f"{name}: too short"))
         if high is not None:
-            failures.append(F.when(size > high, F.lit(f"{name}: too long")))
+            failures.append((size > high, f"{name}: too long"))
     postal = F.trim("postal_code")
-    failures.append(F.when((F.length(postal) > 0) & (F.length(postal) < 3), F.lit("postal_code: under three characters")))
-    return settle(df, {"failures": F.array_compact(F.array(*failures))}).withColumn("is_valid", F.size("failures") == 0)
+    failures.append(((F.length(postal) > 0) & (F.length(postal) < 3), "postal_code: under three characters"))
+    return note_failures(df, failures, "failures", "is_valid")
 
 
 def static_score(df: DataFrame) -> Column:

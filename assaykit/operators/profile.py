@@ -44,7 +44,7 @@ def _weighted(cond: Column) -> Column:
     return F.sum(F.when(cond, F.col("n")).otherwise(F.lit(0)))
 
 
-def _summaries(hist: DataFrame, types: list[str]) -> DataFrame:
+def _summaries(hist: DataFrame) -> DataFrame:
     value, n = F.col("value"), F.col("n")
     sized = hist.select(
         ID, "value", "n",
@@ -62,7 +62,7 @@ def _summaries(hist: DataFrame, types: list[str]) -> DataFrame:
         F.max("x").alias("max_value"),
         F.sum(F.col("x") * n).alias("sum_value"),
         _weighted(F.col("x").isNotNull()).alias("numbers"),
-        *[_weighted(DETECTORS[t](value)).alias(f"is_{t}") for t in types],
+        *[_weighted(DETECTORS[t](value)).alias(f"is_{t}") for t in DETECTORS],
         _weighted(DETECTORS["date"](value) | DETECTORS["datetime"](value)).alias("is_temporal"),
     )
 
@@ -76,21 +76,14 @@ def _spread(hist: DataFrame, base: DataFrame) -> DataFrame:
     return joined.groupBy(ID).agg(F.sum(gap * gap * F.col("n")).alias("square_gaps"))
 
 
-def resolve_type(counts: dict[str, Column], filled: Column, distinct: Column,
-                 order: list[str] | None = None) -> Column:
-    """Best type of a column; the earlier type of ``order`` wins a tie."""
-    order = order or V.TYPE_ORDER
-    categorical = (distinct / filled < V.CATEGORY_RATIO) & (distinct < V.CATEGORY_DISTINCT)
-    scores = {**counts, "categorical": F.when(categorical, filled).otherwise(F.lit(0))}
-    ranked = F.array_max(
-        F.array(*[
-            F.struct(scores[t].cast("long").alias("hits"), F.lit(-i).alias("rank"), F.lit(t).alias("kind"))
-            for i, t in enumerate(order)
-        ])
-    )
-    return F.when(
-        (filled > 0) & (ranked["hits"] > 0) & (ranked["hits"] / filled >= V.TYPE_ACCEPTANCE), ranked["kind"]
-    ).otherwise("string")
+def resolve_type(order: list[str] | None = None, filled: str = "filled", distinct: str = "unique_values") -> Column:
+    """Best type of a column from its ``is_<type>`` counts; the earlier type of ``order`` wins a tie."""
+    hits = {t: f"is_{t}" for t in DETECTORS}
+    hits["categorical"] = (f"IF({distinct} / {filled} < {V.CATEGORY_RATIO}D AND {distinct} < {V.CATEGORY_DISTINCT}, {filled}, 0L)")
+    ranked = ", ".join(f"struct({hits[t]} AS hits, {-i} AS rank, '{t}' AS kind)" for i, t in enumerate(order or V.TYPE_ORDER))
+    return F.expr(f"""
+        transform(array(array_max(array({ranked}))),
+                  best -> IF({filled} > 0 AND best.hits > 0 AND best.hits / {filled} >= {V.TYPE_ACCEPTANCE}D, best.kind, 'string'))[0]""")
 
 
 def profile(df: DataFrame, columns: list[str] | None = None, order: list[str] | None = None,
@@ -98,66 +91,39 @@ def profile(df: DataFrame, columns: list[str] | None = None, order: list[str] |
     """One row per column: counts, resolved type, lengths, numbers, flags and scores."""
     columns = columns or df.columns
     hist = histogram(df, columns) if hist is None else hist
-    types = list(DETECTORS)
-    base = _summaries(hist, types)
+    base = _summaries(hist)
     rows = base.join(F.broadcast(_spread(hist, base)), ID, "left")
-    return _finish(rows, columns, types, order)
-
-
-def _finish(rows: DataFrame, columns: list[str], types: list[str], order: list[str] | None) -> DataFrame:
-    filled = F.col("total_values") - F.col("null_count")
-    some = F.when(filled > 0, filled)
-    typed = settle(rows, {
-        "filled": filled,
-        "detected_type": resolve_type({t: F.col(f"is_{t}") for t in types}, some, F.col("unique_values"), order),
-    })
-    kind, filled = F.col("detected_type"), F.col("filled")
-    sized = kind.isin(V.LENGTH_TYPES) & (filled > 0)
-    numeric = kind.isin(V.NUMERIC_TYPES) & (F.col("numbers") > 0)
-    categorical = (filled > 0) & (
-        (F.col("unique_values") / F.col("total_values") < V.CATEGORY_RATIO) | (kind == "categorical")
-    )
-
-    def share(hits: str) -> Column:
-        return F.col(hits) / filled
-
-    consistency = validity = None
-    for t in V.PATTERNS:
-        consistency = (F.when if consistency is None else consistency.when)(kind == t, share(f"is_{t}"))
-    validity = (
-        F.when(kind == "integer", share("is_integer"))
-        .when(kind == "float", share("numbers"))
-        .when(kind == "boolean", share("is_boolean"))
-        .when(kind.isin("date", "datetime"), share("is_temporal"))
-        .otherwise(F.lit(1.0))
-    )
-    flags = settle(typed, {
-        "is_categorical": categorical,
-        "completeness": F.when(filled > 0, filled / F.col("total_values")).otherwise(0.0),
-        "consistency": F.when(filled > 0, consistency.otherwise(F.lit(1.0))).otherwise(0.0),
-        "validity": F.when(filled > 0, validity).otherwise(0.0),
-    })
-    return flags.select(
-        ID,
-        _names(columns).alias("field"),
-        "detected_type",
-        "total_values",
-        "null_count",
-        "unique_values",
-        (F.col("null_count") > 0).alias("nullable"),
-        F.when(sized, F.col("min_length")).alias("min_length"),
-        F.when(sized, F.col("max_length")).alias("max_length"),
-        F.when(sized, F.col("sum_length") / filled).alias("avg_length"),
-        F.when(numeric, F.col("min_value")).alias("min_value"),
-        F.when(numeric, F.col("max_value")).alias("max_value"),
-        F.when(numeric, F.col("sum_value") / F.col("numbers")).alias("mean_value"),
-        F.when(numeric & (F.col("numbers") > 1), F.sqrt(F.col("square_gaps") / (F.col("numbers") - 1))).alias("std_value"),
-        "is_categorical",
-        "completeness",
-        "consistency",
-        "validity",
-        ((F.col("completeness") + F.col("consistency") + F.col("validity")) / 3).alias("overall_quality"),
+    return _finish(rows, columns, order)
+
+
+def _finish(rows: DataFrame, columns: list[str], order: list[str] | None) -> DataFrame:
+    """Types, flags and scores of the summed-up columns: a few rows, written as SQL text to keep the plan short."""
+
+    def listed(words: list[str]) -> str:
+        return ", ".join(f"'{w}'" for w in words)
+
+    typed = settle(rows.withColumn("filled", F.expr("total_values - null_count")), {"detected_type": resolve_type(order)})
+    sized = f"detected_type IN ({listed(V.LENGTH_TYPES)}) AND filled > 0"
+    numeric = f"detected_type IN ({listed(V.NUMERIC_TYPES)}) AND numbers > 0"
+    matched = " ".join(f"WHEN '{t}' THEN is_{t} / filled" for t in V.PATTERNS)
+    scored = typed.select(
+        ID, _names(columns).alias("field"), "detected_type", "total_values", "null_count", "unique_values",
+        F.expr("null_count > 0").alias("nullable"),
+        F.expr(f"IF({sized}, min_length, NULL)").alias("min_length"),
+        F.expr(f"IF({sized}, max_length, NULL)").alias("max_length"),
+        F.expr(f"IF({sized}, sum_length / filled, NULL)").alias("avg_length"),
+        F.expr(f"IF({numeric}, min_value, NULL)").alias("min_value"),
+        F.expr(f"IF({numeric}, max_value, NULL)").alias("max_value"),
+        F.expr(f"IF({numeric}, sum_value / numbers, NULL)").alias("mean_value"),
+        F.expr(f"IF({numeric} AND numbers > 1, sqrt(square_gaps / (numbers - 1)), NULL)").alias("std_value"),
+        F.expr(f"filled > 0 AND unique_values / total_values < {V.CATEGORY_RATIO}D").alias("is_categorical"),
+        F.expr("IF(filled > 0, filled / total_values, 0D)").alias("completeness"),
+        F.expr(f"IF(filled > 0, CASE detected_type {matched} ELSE 1D END, 0D)").alias("consistency"),
+        F.expr("""IF(filled > 0, CASE detected_type WHEN 'integer' THEN is_integer / filled WHEN 'float' THEN numbers / filled
+                  WHEN 'boolean' THEN is_boolean / filled WHEN 'date' THEN is_temporal / filled
+                  WHEN 'datetime' THEN is_temporal / filled ELSE 1D END, 0D)""").alias("validity"),
     )
+    return scored.withColumn("overall_quality", F.expr("(completeness + consistency + validity) / 3"))
 
 
 def profile_basic(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -205,12 +171,17 @@ def top_values(hist: DataFrame, k: int, by_value: bool = False, fields: DataFram
     return ranked.filter(F.col("position") <= k)
 
 
+def categorical_fields(hist: DataFrame) -> DataFrame:
+    """Columns with few distinct values. A column of type categorical is always one of them, so no type is needed."""
+    counts = hist.groupBy(ID).agg(F.sum("n").alias("total"), F.count("value").alias("distinct"))
+    return counts.filter((F.col("distinct") > 0) & (F.col("distinct") / F.col("total") < V.CATEGORY_RATIO))
+
+
 def top_categories(df: DataFrame, columns: list[str] | None = None, k: int = V.TOP_CATEGORIES) -> DataFrame:
     """Top values with frequencies for the categorical columns."""
     columns = columns or df.columns
     hist = histogram(df, columns)
-    chosen = profile(df, columns, hist=hist).filter("is_categorical")
-    return top_values(hist, k, fields=chosen).select(
+    return top_values(hist, k, fields=categorical_fields(hist)).select(
         _names(columns).alias("field"), F.col("value").alias("category"), F.col("n").alias("frequency"), "position",
     )
 
@@ -229,7 +200,7 @@ def with_categories(df: DataFrame, columns: list[str] | None = None, k: int = V.
     hist = histogram(df, columns)
     base = profile(df, columns, order, hist=hist)
     tops = (
-        top_values(hist, k, fields=base.filter("is_categorical"))
+        top_values(hist, k, fields=categorical_fields(hist))
         .groupBy(ID)
         .agg(F.transform(F.sort_array(F.collect_list(F.struct("position", "value"))), lambda s: s["value"]).alias("categories"))
     )

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
-from ..functions.detectors import as_text, fits_type, matches_any, number, quality_level
-from ..functions.settle import settle
+from ..functions.detectors import always_fits, as_text, fits_type, matches_any, number_of, quality_level
+from ..functions.settle import settle, sql_text
 from .rules import FieldRule
 
 ABSENT_REQUIRED, ABSENT_OPTIONAL, NULL_REQUIRED, NULL_OPTIONAL = 1, 2, 4, 8
@@ -26,12 +26,12 @@ def _bit(cond: Column, bit: int) -> Column:
     return F.when(cond, F.lit(bit)).otherwise(F.lit(0))
 
 
-def check_bits(value: Column, rule: FieldRule) -> Column:
+def check_bits(df: DataFrame, rule: FieldRule) -> Column:
     """The failed checks of one cell."""
-    parts = []
+    value, parts = as_text(df, rule.field), []
     if rule.patterns:
         parts.append(_bit(~matches_any(value, rule.patterns), TYPE | PATTERN))
-    elif rule.kind not in ("string", "categorical"):
+    elif rule.kind not in ("string", "categorical") and not always_fits(df, rule.field, rule.kind):
         parts.append(_bit(~fits_type(value, rule.kind), TYPE))
     size = F.length(value)
     if rule.min_length is not None:
@@ -40,9 +40,9 @@ def check_bits(value: Column, rule: FieldRule) -> Column:
         parts.append(_bit(size > rule.max_length, LONG))
     if rule.kind in V.NUMERIC_TYPES:
         if rule.min_value is not None:
-            parts.append(_bit(number(value) < rule.min_value, BELOW))
+            parts.append(_bit(number_of(df, rule.field) < rule.min_value, BELOW))
         if rule.max_value is not None:
-            parts.append(_bit(number(value) > rule.max_value, ABOVE))
+            parts.append(_bit(number_of(df, rule.field) > rule.max_value, ABOVE))
     if rule.allowed:
         parts.append(_bit(~value.isin(list(rule.allowed)), CATEGORY))
     present = reduce(lambda a, b: a + b, parts) if parts else F.lit(0)
@@ -50,11 +50,6 @@ def check_bits(value: Column, rule: FieldRule) -> Column:
     return F.when(value.isNull() | (value == ""), F.lit(absent)).otherwise(present)
 
 
-def _quoted(text: str) -> str:
-    """A SQL string literal."""
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def _has(bits: str, bit: int) -> str:
     return f"({bits} & {bit}) != 0"
 
@@ -93,14 +88,14 @@ def field_issues(bits: str, rule: FieldRule) -> list[str]:
         (bool(rule.patterns), PATTERN, "inconsistent_pattern", "Value doesn't match expected pattern"),
     ]
     return [
-        f"IF({_has(bits, bit)}, named_struct('field', {_quoted(rule.field)}, 'issue_type', '{kind}', "
-        f"'description', {_quoted(text)}), NULL)"
+        f"IF({_has(bits, bit)}, named_struct('field', {sql_text(rule.field)}, 'issue_type', '{kind}', "
+        f"'description', {sql_text(text)}), NULL)"
         for on, bit, kind, text in checks if on
     ]
 
 
 def field_warnings(bits: str, value: Column | None, rule: FieldRule) -> list[Column]:
-    out = [F.expr(f"IF({_has(bits, ABSENT_OPTIONAL)}, {_quoted(f"Optional field '{rule.field}' is missing")}, NULL)")]
+    out = [F.expr(f"IF({_has(bits, ABSENT_OPTIONAL)}, {sql_text(f"Optional field '{rule.field}' is missing")}, NULL)")]
     if rule.allowed and value is not None:
         out.append(F.when(F.expr(_has(bits, CATEGORY)), F.concat(
             F.lit(f"Field '{rule.field}' has unexpected category: "), value)))
@@ -119,7 +114,7 @@ def validate(df: DataFrame, rules: list[FieldRule], keys: list[str], score_warni
     have = set(df.columns)
     bits = {r.field: f"__bits_{i}" for i, r in enumerate(rules)}
     coded = settle(df, {
-        bits[r.field]: check_bits(as_text(df, r.field), r) if r.field in have
+        bits[r.field]: check_bits(df, r) if r.field in have
         else F.lit(ABSENT_REQUIRED if r.required else ABSENT_OPTIONAL)
         for r in rules
     })

@@ -162,8 +162,8 @@ def ord_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").alias("OrderID"),
         F.col("l_linenumber").alias("LineNumber"),
         F.when(k % 41 == 0, F.concat(F.lit("cu"), number)).otherwise(number).alias("CustomerID"),
-        F.date_format("o_orderdate", "yyyy-MM-dd").alias("OrderDate"),
-        F.date_format("l_shipdate", "yyyy-MM-dd").alias("ShippedDate"),
+        F.to_date("o_orderdate").cast("string").alias("OrderDate"),
+        F.to_date("l_shipdate").cast("string").alias("ShippedDate"),
         F.when(F.col("l_partkey") % 31 == 0, F.lit(None))
         .when(F.col("l_partkey") % 29 == 0, -F.col("l_extendedprice") / 100)
         .otherwise(F.col("l_extendedprice") / 100).alias("Freight"),

@@ -163,10 +163,8 @@ _RULES = {"missing_value": E.NULL_REQUIRED, "invalid_format": E.TYPE, "length_vi
 def rule_summary(spark, sf_dir):
     """Outcome of every rule on every field; counted inside each task before the exchange."""
     df, rules = X.cleaned(spark, sf_dir), learned(spark, sf_dir)
-    from ..functions.detectors import as_text
-
     bits = df.select(F.inline(F.array(*[
-        F.struct(F.lit(r.field).alias("field"), E.check_bits(as_text(df, r.field), r).alias("bits")) for r in rules])))
+        F.struct(F.lit(r.field).alias("field"), E.check_bits(df, r).alias("bits")) for r in rules])))
     outcomes = bits.select("field", F.inline(F.array(*[
         F.struct(F.lit(name).alias("rule"), (F.col("bits").bitwiseAND(mask) == 0).alias("passed")) for name, mask in _RULES.items()])))
     return rounded(W.rule_summary(outcomes), "success_rate")
