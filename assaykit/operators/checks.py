@@ -14,6 +14,7 @@ from ..functions import fixed_values as V
 from ..functions.detectors import always_fits, as_text, fits_loosely, fits_type, number_of
 from ..functions.settle import note_failures, settle
 from .rules import FieldRule
+from .warehouse import ratio
 
 
 # ---- constraint check of an inferred definition ----------------------------------------------
@@ -56,6 +57,18 @@ def validate_constraints(df: DataFrame, definition: list[FieldRule]) -> DataFram
         "status", F.when(~F.col("is_valid"), "invalid").when(~F.col("__calm"), "warning").otherwise("valid")).drop("__calm")
 
 
+def dynamic_metrics(checked: DataFrame, fields: list[str]) -> DataFrame:
+    """Dataset metrics of a constraint check, one pass."""
+    n = F.count(F.lit(1))
+    covered = reduce(lambda a, b: a + b, [F.coalesce(F.max(F.col(f"`{f}`").isNotNull().cast("int")), F.lit(0)) for f in fields])
+    return checked.agg(
+        ratio(F.sum("quality_score"), n).alias("overall_quality_score"),
+        ratio(F.count_if("is_valid"), n).alias("data_completeness"),
+        (covered / len(fields)).alias("schema_coverage"),
+        ratio(F.count_if(F.size("errors") > 0), n).alias("error_rate"),
+        ratio(F.count_if(F.size("warnings") > 0), n).alias("warning_rate"))
+
+
 # ---- declared rules ---------------------------------------------------------------------------
 @dataclass(frozen=True)
 class DeclaredField:
@@ -160,7 +173,7 @@ def uniqueness(df: DataFrame) -> DataFrame:
     """Share of distinct records."""
     per_record = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__n"))
     return per_record.agg(F.sum("__n").alias("records"), F.count(F.lit(1)).alias("distinct_records")).withColumn(
-        "uniqueness", F.col("distinct_records") / F.col("records"))
+        "uniqueness", F.try_divide(F.col("distinct_records"), F.col("records")))
 
 
 def outside_spread(value: Column, mean: float, std: float | None, sigmas: float = 2.0) -> Column:

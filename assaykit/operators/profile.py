@@ -73,13 +73,16 @@ def _spread(hist: DataFrame, base: DataFrame) -> DataFrame:
     # one row per column of the table, so the broadcast cannot grow with the data
     joined = hist.select(ID, "n", number(F.col("value")).alias("x")).join(F.broadcast(means), ID)
     gap = F.col("x") - F.col("mean")
-    return joined.groupBy(ID).agg(F.sum(gap * gap * F.col("n")).alias("square_gaps"))
+    sums = joined.filter(F.col("x").isNotNull()).groupBy(ID).agg(
+        F.sum(gap * gap * F.col("n")).alias("squares"), F.sum(gap * F.col("n")).alias("rest"), F.sum("n").alias("m"))
+    # the rounded mean is a little off; the rest of the gaps puts that right
+    return sums.select(ID, F.greatest(F.col("squares") - F.col("rest") * F.col("rest") / F.col("m"), F.lit(0.0)).alias("square_gaps"))
 
 
 def resolve_type(order: list[str] | None = None, filled: str = "filled", distinct: str = "unique_values") -> Column:
     """Best type of a column from its ``is_<type>`` counts; the earlier type of ``order`` wins a tie."""
     hits = {t: f"is_{t}" for t in DETECTORS}
-    hits["categorical"] = (f"IF({distinct} / {filled} < {V.CATEGORY_RATIO}D AND {distinct} < {V.CATEGORY_DISTINCT}, {filled}, 0L)")
+    hits["categorical"] = (f"IF(try_divide({distinct}, {filled}) < {V.CATEGORY_RATIO}D AND {distinct} < {V.CATEGORY_DISTINCT}, {filled}, 0L)")
     ranked = ", ".join(f"struct({hits[t]} AS hits, {-i} AS rank, '{t}' AS kind)" for i, t in enumerate(order or V.TYPE_ORDER))
     return F.expr(f"""
         transform(array(array_max(array({ranked}))),

@@ -29,6 +29,11 @@ def issue_types(issues: Column) -> Column:
     return F.transform(issues, lambda i: F.split_part(i, F.lit(":"), F.lit(1)))
 
 
+def ratio(part: Column, whole: Column) -> Column:
+    """Quotient, zero where there is nothing to divide by."""
+    return F.coalesce(F.try_divide(part, whole), F.lit(0.0))
+
+
 # ---- dimensions ----------------------------------------------------------------------------------
 def date_id(stamp: Column) -> Column:
     return F.date_format(stamp, "yyyyMMdd").cast("int")
@@ -118,7 +123,7 @@ def processing_metrics(results: DataFrame) -> DataFrame:
         n.alias("total_records"), F.count_if("is_valid").alias("valid_records"),
         F.count_if(~F.col("is_valid")).alias("invalid_records"),
         F.count_if(score < V.VALID_SCORE).alias("poor_records"), F.count_if(score < V.ROUTE_SCORE).alias("quarantined_records"),
-        F.avg(score).alias("avg_quality_score"), (F.count_if("is_valid") / n).alias("success_rate"))
+        F.coalesce(F.avg(score), F.lit(0.0)).alias("avg_quality_score"), ratio(F.count_if("is_valid"), n).alias("success_rate"))
 
 
 def rule_summary(outcomes: DataFrame) -> DataFrame:

@@ -13,7 +13,6 @@ from . import fixtures as X
 from .catalog import query
 from .ctes import NOW, block, with_blocks
 from .q_profile import _EVENT_COLUMNS, _NUM, _ORDER_COLUMNS, _SCORES, _SCORES_SQL, events_text, orders_text, rounded
-from .q_validate import dynamic_metrics
 
 # ---- inferred definitions ---------------------------------------------------------------------
 _DEF_SQL = f"""SELECT field, detected_type AS type, null_count = 0 AS required, CAST(min_length AS INTEGER) AS min_length, CAST(max_length AS INTEGER) AS max_length,
@@ -210,7 +209,7 @@ def dynamic_process(spark, sf_dir):
     checked = K.validate_constraints(X.cleaned(spark, sf_dir), definition)
     checked.select(F.col("cust_key").alias("row_index"), "status", "quality_score", "is_valid", "errors", "warnings", *X.DIRTY_FIELDS).write.parquet(path)
     stored = spark.read.parquet(path)
-    metrics = dynamic_metrics(stored, X.DIRTY_FIELDS).select("error_rate")
+    metrics = K.dynamic_metrics(stored, X.DIRTY_FIELDS).select("error_rate")
     summary = stored.agg(F.count(F.lit(1)).alias("total_records"), F.count_if("is_valid").alias("valid_records"),
                          F.round(F.avg("quality_score"), 6).alias("average_quality_score"), F.count("row_index").alias("stored_records"))
     names = entry.select("schema_name", "schema_version", F.size("fields").cast("long").alias("field_count"))

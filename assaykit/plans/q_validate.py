@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
@@ -50,15 +48,14 @@ def _issues_sql(*kinds):
            count(*) FILTER (WHERE field IN ('phone', 'zip') AND NOT required) AS absent_optional
     FROM cleaned CROSS JOIN trules GROUP BY cust_key"""))
 def validate_absent_field(spark, sf_dir):
-    rules = [replace(r, required=r.required) for r in learned(spark, sf_dir)]
-    r = E.validate(X.cleaned(spark, sf_dir).drop("phone", "zip"), rules, ["cust_key"])
+    r = E.validate(X.cleaned(spark, sf_dir).drop("phone", "zip"), learned(spark, sf_dir), ["cust_key"])
     return r.select(
         "cust_key",
         F.size(F.filter("issues", lambda i: i["description"] == "Required field is missing")).cast("long").alias("absent_required"),
         F.size(F.filter("warnings", lambda w: w.startswith("Optional field"))).cast("long").alias("absent_optional"))
 
 
-@query()
+@query(with_blocks(["cleaned"], "SELECT cust_key, 'Unexpected field ''surprise'' found' AS warning FROM cleaned"))
 def validate_unexpected(spark, sf_dir):
     df = X.cleaned(spark, sf_dir).withColumn("surprise", F.col("zip"))
     r = E.validate(df, learned(spark, sf_dir), ["cust_key"])
@@ -227,22 +224,10 @@ def validate_constraints(spark, sf_dir):
            round(count(*) FILTER (WHERE error_count > 0) / count(*), 6) AS error_rate,
            round(count(*) FILTER (WHERE warning_count > 0) / count(*), 6) AS warning_rate FROM con"""))
 def dynamic_quality_metrics(spark, sf_dir):
-    return rounded(dynamic_metrics(constrained(spark, sf_dir), X.DIRTY_FIELDS),
+    return rounded(K.dynamic_metrics(constrained(spark, sf_dir), X.DIRTY_FIELDS),
                    "overall_quality_score", "data_completeness", "error_rate", "warning_rate")
 
 
-def dynamic_metrics(checked, fields):
-    """Dataset metrics of a constraint check, one pass."""
-    n = F.count(F.lit(1))
-    covered = sum((F.max(F.col(f).isNotNull().cast("int")) for f in fields), F.lit(0))
-    return checked.agg(
-        (F.sum("quality_score") / n).alias("overall_quality_score"),
-        (F.count_if("is_valid") / n).alias("data_completeness"),
-        (covered / len(fields)).alias("schema_coverage"),
-        (F.count_if(F.size("errors") > 0) / n).alias("error_rate"),
-        (F.count_if(F.size("warnings") > 0) / n).alias("warning_rate"))
-
-
 # ---- static customer model ------------------------------------------------------------------------
 def _static_failures_sql():
     parts = []

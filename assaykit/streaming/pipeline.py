@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.rules import FieldRule
 from ..operators.validate import validate
+from ..operators.warehouse import processing_metrics, ratio, validation_fact
 from ..sources import messages as M
 from ..sources.sinks import disposition
 
@@ -65,8 +66,6 @@ def split_writer(path: str, floor: float) -> Callable[[DataFrame, int], None]:
 
 def fact_writer(path: str, job_name: str) -> Callable[[DataFrame, int], None]:
     """Writes the validation fact of a batch and its counters, each under the batch number."""
-    from ..operators.warehouse import processing_metrics, validation_fact
-
     def write(batch: DataFrame, number: int) -> None:
         kept = batch.persist()  # read twice; rebuilt from the source if an executor is lost
         job = F.lit(f"{job_name}-{number}")
@@ -82,7 +81,7 @@ def running_stats(validated: DataFrame) -> DataFrame:
     n = F.count(F.lit(1))
     return validated.agg(
         n.alias("total_processed"), F.count_if("is_valid").alias("valid_records"), F.count_if(~F.col("is_valid")).alias("invalid_records"),
-        (F.count_if("is_valid") / n * 100).alias("success_rate_pct"))
+        (ratio(F.count_if("is_valid"), n) * 100).alias("success_rate_pct"))
 
 
 def hourly(df: DataFrame, stamp: str, by: list[str | Column], late: str = "1 hour") -> DataFrame:
