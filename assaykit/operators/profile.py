@@ -44,7 +44,7 @@ def _weighted(cond: Column) -> Column:
     return F.sum(F.when(cond, F.col("n")).otherwise(F.lit(0)))
 
 
-def _summaries(hist: DataFrame) -> DataFrame:
+def _summaries(hist: DataFrame, *extra: Column) -> DataFrame:
     value, n = F.col("value"), F.col("n")
     sized = hist.select(
         ID, "value", "n",
@@ -54,7 +54,7 @@ def _summaries(hist: DataFrame) -> DataFrame:
     return sized.groupBy(ID).agg(
         F.sum("n").alias("total_values"),
         _weighted(value.isNull()).alias("null_count"),
-        F.count("value").alias("unique_values"),
+        *(extra or [F.count("value").alias("unique_values")]),
         F.min("size").alias("min_length"),
         F.max("size").alias("max_length"),
         F.sum(F.col("size") * n).alias("sum_length"),
@@ -73,10 +73,10 @@ def _spread(hist: DataFrame, base: DataFrame) -> DataFrame:
     # one row per column of the table, so the broadcast cannot grow with the data
     joined = hist.select(ID, "n", number(F.col("value")).alias("x")).join(F.broadcast(means), ID)
     gap = F.col("x") - F.col("mean")
-    sums = joined.filter(F.col("x").isNotNull()).groupBy(ID).agg(
-        F.sum(gap * gap * F.col("n")).alias("squares"), F.sum(gap * F.col("n")).alias("rest"), F.sum("n").alias("m"))
+    sums = joined.groupBy(ID).agg(
+        F.sum(gap * gap * F.col("n")).alias("squares"), F.sum(gap * F.col("n")).alias("rest"), _weighted(gap.isNotNull()).alias("m"))
     # the rounded mean is a little off; the rest of the gaps puts that right
-    return sums.select(ID, F.greatest(F.col("squares") - F.col("rest") * F.col("rest") / F.col("m"), F.lit(0.0)).alias("square_gaps"))
+    return sums.select(ID, F.greatest(F.col("squares") - F.try_divide(F.col("rest") * F.col("rest"), F.col("m")), F.lit(0.0)).alias("square_gaps"))
 
 
 def resolve_type(order: list[str] | None = None, filled: str = "filled", distinct: str = "unique_values") -> Column:
@@ -129,6 +129,19 @@ def _finish(rows: DataFrame, columns: list[str], order: list[str] | None) -> Dat
     return scored.withColumn("overall_quality", F.expr("(completeness + consistency + validity) / 3"))
 
 
+def profile_approx(df: DataFrame, columns: list[str] | None = None, order: list[str] | None = None, rsd: float = 0.02) -> DataFrame:
+    """``profile`` with sketched distinct counts, for tables whose columns hardly repeat.
+
+    The cells are combined straight into one row per column and task: no exchange grows with the
+    data, at the price of running the patterns on every cell.
+    """
+    columns = columns or df.columns
+    each = cells(df, columns).withColumn("n", F.lit(1).cast("long"))
+    squares = F.var_samp("x") * (F.count("x") - 1)
+    rows = _summaries(each, F.approx_count_distinct("value", rsd).alias("unique_values"), squares.alias("square_gaps"))
+    return _finish(rows, columns, order)
+
+
 def profile_basic(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Totals, nulls and distinct counts only."""
     columns = columns or df.columns
@@ -164,14 +177,14 @@ def top_values(hist: DataFrame, k: int, by_value: bool = False, fields: DataFram
     """The ``k`` most frequent (or smallest) values per column with their rank.
 
     The rank filter lets Spark keep only ``k`` rows per column in each task before the exchange.
-    ``fields`` (one row per column) restricts the columns.
+    ``fields`` (one row per column) restricts the columns. Nothing here can be pushed into the
+    histogram: nulls are ranked last and dropped at the end, and the restriction is an inner join.
+    So every reader of the histogram shares one exchange instead of scanning the source again.
     """
-    filled = hist.filter(F.col("value").isNotNull())
-    if fields is not None:
-        filled = filled.join(F.broadcast(fields.select(ID)), ID, "left_semi")
-    order = [F.col("value")] if by_value else [F.col("n").desc(), F.col("value")]
-    ranked = filled.withColumn("position", F.row_number().over(Window.partitionBy(ID).orderBy(*order)))
-    return ranked.filter(F.col("position") <= k)
+    kept = hist if fields is None else hist.join(F.broadcast(fields.select(ID)), ID)
+    order = [F.col("value").isNull(), *([] if by_value else [F.col("n").desc()]), F.col("value")]
+    ranked = kept.withColumn("position", F.row_number().over(Window.partitionBy(ID).orderBy(*order)))
+    return ranked.filter((F.col("position") <= k) & F.col("value").isNotNull())
 
 
 def categorical_fields(hist: DataFrame) -> DataFrame:

@@ -126,12 +126,17 @@ def processing_metrics(results: DataFrame) -> DataFrame:
         F.coalesce(F.avg(score), F.lit(0.0)).alias("avg_quality_score"), ratio(F.count_if("is_valid"), n).alias("success_rate"))
 
 
-def rule_summary(outcomes: DataFrame) -> DataFrame:
-    """``field, rule, passed`` rows to counts per rule."""
-    return outcomes.groupBy("field", "rule").agg(
-        F.count(F.lit(1)).alias("records_checked"), F.count_if("passed").alias("records_passed"),
-        F.count_if(~F.col("passed")).alias("records_failed"),
-        (F.count_if("passed") / F.count(F.lit(1))).alias("success_rate"))
+def rule_summary(cells: DataFrame, rules: dict[str, int]) -> DataFrame:
+    """Counts per field and rule from ``field, bits`` rows; ``rules`` names the check bits of each rule.
+
+    A field is one group with a counter per rule, so no row is copied per rule.
+    """
+    wide = cells.groupBy("field").agg(
+        F.count(F.lit(1)).alias("records_checked"),
+        *[F.count_if(F.col("bits").bitwiseAND(mask) == 0).alias(name) for name, mask in rules.items()])
+    rows = wide.unpivot(["field", "records_checked"], list(rules), "rule", "records_passed")
+    return rows.withColumn("records_failed", F.col("records_checked") - F.col("records_passed")).withColumn(
+        "success_rate", ratio(F.col("records_passed"), F.col("records_checked")))
 
 
 def period_summary(jobs: DataFrame) -> DataFrame:

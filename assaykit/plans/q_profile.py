@@ -31,6 +31,12 @@ def profile_basic(spark, sf_dir):
     return P.profile_basic(X.cleaned(spark, sf_dir), X.DIRTY_FIELDS)
 
 
+@query()
+def infer_schema_approx(spark, sf_dir):
+    """The sketched form; compared with the exact one in the tests."""
+    return P.profile_approx(X.cleaned(spark, sf_dir), X.DIRTY_FIELDS).drop(P.ID)
+
+
 @query()
 def profile_basic_approx(spark, sf_dir):
     return P.profile_basic_approx(X.cleaned(spark, sf_dir), X.DIRTY_FIELDS)

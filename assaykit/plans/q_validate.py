@@ -11,6 +11,7 @@ from ..operators import insights as I
 from ..operators import profile as P
 from ..operators import rules as R
 from ..operators import validate as E
+from ..session import work_path
 from . import fixtures as X
 from .catalog import query
 from .ctes import NOW, block, sql_level, sql_matches, sql_number, text_list, with_blocks
@@ -418,7 +419,9 @@ def insights(spark, sf_dir):
 def validation_report(spark, sf_dir):
     """The parts of a validation report in one frame."""
     rules = learned(spark, sf_dir)
-    r = E.validate(X.cleaned(spark, sf_dir), rules, ["cust_key"]).persist()
+    path = work_path(spark, "report")  # read five times, so it is kept as a table that outlives a lost executor
+    E.validate(X.cleaned(spark, sf_dir), rules, ["cust_key"]).write.parquet(path)
+    r = spark.read.parquet(path)
     stats = E.ingest_stats(r)
     names = ["total_records", "valid_records", "invalid_records"]
     text = stats.select(*[F.col(c).cast("string").alias(c) for c in stats.columns])

@@ -165,9 +165,7 @@ def rule_summary(spark, sf_dir):
     df, rules = X.cleaned(spark, sf_dir), learned(spark, sf_dir)
     bits = df.select(F.inline(F.array(*[
         F.struct(F.lit(r.field).alias("field"), E.check_bits(df, r).alias("bits")) for r in rules])))
-    outcomes = bits.select("field", F.inline(F.array(*[
-        F.struct(F.lit(name).alias("rule"), (F.col("bits").bitwiseAND(mask) == 0).alias("passed")) for name, mask in _RULES.items()])))
-    return rounded(W.rule_summary(outcomes), "success_rate")
+    return rounded(W.rule_summary(bits, _RULES), "success_rate")
 
 
 @query(with_blocks(["dirty", "cleaned", "ord"], """SELECT 'clean' AS transformation, (SELECT count(*) FROM dirty) AS records_in, (SELECT count(*) FROM cleaned) AS records_out

@@ -73,7 +73,13 @@ def test_profile_moves_data_once(people):
     plan = plan_of(P.profile(people))
     final = plan.split("== Initial Plan ==")[0]
     assert "Python" not in final
-    assert final.count("ReusedExchange") >= 1  # the second pass reads the same histogram
+    assert final.count("posexplode") == 1  # the second pass reads the same histogram
+    assert "ReusedExchange" in final
+
+
+def test_rules_read_the_source_once(people):
+    final = plan_of(P.with_categories(people)).split("== Initial Plan ==")[0]
+    assert final.count("posexplode") == 1 and "WindowGroupLimit" in final
 
 
 def test_top_values_are_cut_before_the_exchange(people):
@@ -101,3 +107,15 @@ def test_numeric_columns_profile_like_their_text(spark):
     df = spark.range(20).select((F.col("id") * 1.25).alias("v"))
     r = P.profile(df).first()
     assert r["total_values"] == 20 and r["unique_values"] == 20
+
+
+def test_approximate_profile_is_close_and_moves_no_data(people):
+    exact = {r["field"]: r for r in P.profile(people).collect()}
+    approx = P.profile_approx(people)
+    for r in approx.collect():
+        want = exact[r["field"]]
+        assert abs(r["unique_values"] - want["unique_values"]) <= 0.06 * want["unique_values"] + 1
+        for c in ("detected_type", "total_values", "null_count", "min_length", "max_length", "min_value", "max_value", "completeness", "validity"):
+            assert r[c] == want[c], c
+        assert r["std_value"] == (pytest.approx(want["std_value"]) if want["std_value"] is not None else None)
+    assert plan_of(approx).split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == 1
