@@ -11,10 +11,16 @@ from ..operators import warehouse as W
 from . import fixtures as X
 from .catalog import query
 from .ctes import NOW, block, with_blocks
-from .q_profile import rounded
+from .q_profile import rounded as _rounded
 from .q_validate import res
 from .q_warehouse import quarantined
 
+
+def rounded(df, *names):
+    """Nine places: averages over a few jobs often end in a 5 at the seventh, where the order of adding would decide."""
+    return _rounded(df, *names, places=9)
+
+
 _NOW = f"TIMESTAMP '{NOW}'"
 DAYS = 90
 
@@ -47,7 +53,7 @@ def report_recent_jobs(spark, sf_dir):
 # rule results per job: each kind of issue is a rule, checked on every record of the job
 block("job_rules", """
     SELECT job_id, rule_name, count(*) AS records_checked, count(*) FILTER (WHERE passed) AS records_passed, count(*) FILTER (WHERE NOT passed) AS records_failed,
-           round(count(*) FILTER (WHERE passed) / count(*), 6) AS success_rate, max(validated_at) AS validated_at
+           round(count(*) FILTER (WHERE passed) / count(*), 9) AS success_rate, max(validated_at) AS validated_at
     FROM (SELECT job_id, validated_at, 'missing_value' AS rule_name, NOT list_contains(issues, 'missing_value: Freight is empty') AS passed FROM results
           UNION ALL SELECT job_id, validated_at, 'invalid_format', NOT list_contains(issues, 'invalid_format: Returned line') FROM results
           UNION ALL SELECT job_id, validated_at, 'out_of_range', NOT list_contains(issues, 'out_of_range: Tax above limit') FROM results)
@@ -60,7 +66,7 @@ def job_rules(spark, sf_dir):
                      for k in ("missing_value", "invalid_format", "out_of_range")])
     return X.results(spark, sf_dir).select("job_id", "validated_at", F.inline(rows)).groupBy("job_id", "rule_name").agg(
         F.count(F.lit(1)).alias("records_checked"), F.count_if("passed").alias("records_passed"), F.count_if(~F.col("passed")).alias("records_failed"),
-        F.round(F.count_if("passed") / F.count(F.lit(1)), 6).alias("success_rate"), F.max("validated_at").alias("validated_at"))
+        F.round(F.count_if("passed") / F.count(F.lit(1)), 9).alias("success_rate"), F.max("validated_at").alias("validated_at"))
 
 
 @query(with_blocks(["job_rules"], "SELECT * FROM job_rules ORDER BY validated_at DESC, job_id DESC, rule_name LIMIT 1000"))
@@ -69,12 +75,12 @@ def report_rule_results(spark, sf_dir):
 
 
 @query(with_blocks(["job_metrics"], """
-    SELECT job_id, json_extract_string(metric_details, '$.display_name') AS metric_name, field_name, metric_type, round(metric_value, 6) AS metric_value, created_at AS calculated_at
+    SELECT job_id, json_extract_string(metric_details, '$.display_name') AS metric_name, field_name, metric_type, round(metric_value, 9) AS metric_value, created_at AS calculated_at
     FROM job_metrics ORDER BY created_at DESC, job_id DESC, metric_type, json_extract_string(metric_details, '$.display_name') LIMIT 1000"""))
 def report_metrics(spark, sf_dir):
     named = G.metric_names(W.job_metrics(X.jobs(spark, sf_dir)))
     top = named.orderBy(F.desc("created_at"), F.desc("job_id"), "metric_type", "metric_name").limit(1000)
-    return top.select("job_id", "metric_name", "field_name", "metric_type", F.round("metric_value", 6).alias("metric_value"), F.col("created_at").alias("calculated_at"))
+    return top.select("job_id", "metric_name", "field_name", "metric_type", F.round("metric_value", 9).alias("metric_value"), F.col("created_at").alias("calculated_at"))
 
 
 @query(with_blocks(["jobs", "sources"], "SELECT job_id, job_name, status, started_at, source_name FROM jobs LEFT JOIN sources USING (source_id) ORDER BY started_at DESC, job_id DESC LIMIT 50"))
@@ -120,8 +126,8 @@ def reports_summary(spark, sf_dir):
 
 
 @query(with_blocks(["job_metrics"], f"""
-    SELECT CAST(created_at AS DATE) AS date, round(avg(CASE WHEN metric_type = 'percentage' THEN metric_value END), 6) AS avg_percentage,
-           round(avg(CASE WHEN metric_type = 'score' THEN metric_value END), 6) AS avg_score, count(*) AS metric_points
+    SELECT CAST(created_at AS DATE) AS date, round(avg(CASE WHEN metric_type = 'percentage' THEN metric_value END), 9) AS avg_percentage,
+           round(avg(CASE WHEN metric_type = 'score' THEN metric_value END), 9) AS avg_score, count(*) AS metric_points
     FROM job_metrics WHERE {since('created_at')} AND field_name = '__job__' GROUP BY 1"""))
 def daily_metric_avgs(spark, sf_dir):
     return rounded(G.daily_metric_averages(W.job_metrics(X.jobs(spark, sf_dir)), X.now(), DAYS), "avg_percentage", "avg_score")
@@ -150,9 +156,9 @@ def missing_by_job(spark, sf_dir):
         WHEN contains(job_name, 'orders') AND invalid_records > 50 THEN least(15.0, invalid_records / total_records * 100 * 0.4)
         WHEN contains(job_name, 'beneficiary') THEN least(8.0, invalid_records / total_records * 100 * 0.3)
         WHEN contains(job_name, 'training') OR contains(job_name, 'prediction') THEN least(5.0, invalid_records / total_records * 100 * 0.2)
-        ELSE least(10.0, invalid_records / total_records * 100 * 0.25) END, 6) AS missing_pct FROM jobs"""))
+        ELSE least(10.0, invalid_records / total_records * 100 * 0.25) END, 9) AS missing_pct FROM jobs"""))
 def missing_pct_estimate(spark, sf_dir):
-    return X.jobs(spark, sf_dir).select("job_id", F.round(G.missing_pct_estimate(50), 6).alias("missing_pct"))
+    return X.jobs(spark, sf_dir).select("job_id", F.round(G.missing_pct_estimate(50), 9).alias("missing_pct"))
 
 
 @query(with_blocks(["results", "jobs"], f"""
@@ -176,22 +182,22 @@ _BY_LEVEL = ", ".join(f"count(*) FILTER (WHERE quality_level = '{n}') AS {n}_cou
 
 
 @query(with_blocks(["results"], f"""
-    SELECT job_id, count(*) AS total_validations, count(*) FILTER (WHERE is_valid) AS valid_count, round(avg(quality_score), 6) AS avg_quality_score, {_BY_LEVEL}
+    SELECT job_id, count(*) AS total_validations, count(*) FILTER (WHERE is_valid) AS valid_count, round(avg(quality_score), 9) AS avg_quality_score, {_BY_LEVEL}
     FROM results GROUP BY job_id"""))
 def job_validation_metrics(spark, sf_dir):
     return rounded(G.validation_metrics(X.results(spark, sf_dir)), "avg_quality_score")
 
 
-@query(with_blocks(["job_metrics"], "SELECT job_id, field_name, metric_type, round(metric_value, 6) AS metric_value FROM job_metrics WHERE job_id = (SELECT max(job_id) FROM jobs)"))
+@query(with_blocks(["job_metrics"], "SELECT job_id, field_name, metric_type, round(metric_value, 9) AS metric_value FROM job_metrics WHERE job_id = (SELECT max(job_id) FROM jobs)"))
 def job_field_metrics(spark, sf_dir):
     jobs = X.jobs(spark, sf_dir)
     last = X.read_table(spark, sf_dir, "orders").agg(F.max("o_orderkey")).first()[0]
     rows = W.job_metrics(jobs.filter(F.col("job_id") == last)).orderBy("field_name", "metric_type")
-    return rows.select("job_id", "field_name", "metric_type", F.round("metric_value", 6).alias("metric_value"))
+    return rows.select("job_id", "field_name", "metric_type", F.round("metric_value", 9).alias("metric_value"))
 
 
 @query(with_blocks(["quarantined", "jobs", "sources"], """
-    SELECT q.job_id, q.record_id, q.part_key, round(q.severity_score, 6) AS severity_score, q.validated_at, array_to_string(list_transform(q.issues, lambda i: split_part(i, ':', 1)), ',') AS issue_types,
+    SELECT q.job_id, q.record_id, q.part_key, round(q.severity_score, 9) AS severity_score, q.validated_at, array_to_string(list_transform(q.issues, lambda i: split_part(i, ':', 1)), ',') AS issue_types,
            j.job_name, s.source_name FROM quarantined q LEFT JOIN jobs j USING (job_id) LEFT JOIN sources s USING (source_id)
     ORDER BY q.validated_at DESC, q.job_id DESC, q.record_id DESC, q.part_key DESC, q.severity_score DESC LIMIT 100"""))
 def quarantine_listing(spark, sf_dir):
@@ -199,19 +205,19 @@ def quarantine_listing(spark, sf_dir):
     top = quarantined(spark, sf_dir).orderBy(*[F.desc(c) for c in ("validated_at", "job_id", "record_id", "part_key", "severity_score")]).limit(100)
     joined = top.join(X.jobs(spark, sf_dir).select("job_id", "job_name", "source_id"), "job_id", "left")
     return joined.join(X.sources(spark, sf_dir).select("source_id", "source_name"), "source_id", "left").select(
-        "job_id", "record_id", "part_key", F.round("severity_score", 6).alias("severity_score"), "validated_at",
+        "job_id", "record_id", "part_key", F.round("severity_score", 9).alias("severity_score"), "validated_at",
         F.array_join("issue_types", ",").alias("issue_types"), "job_name", "source_name")
 
 
 @query(with_blocks(["jobs"], f"""
     SELECT count(*) AS total_jobs, count(*) FILTER (WHERE status = 'completed') AS completed_jobs, count(*) FILTER (WHERE status = 'failed') AS failed_jobs,
-           count(*) FILTER (WHERE status = 'processing') AS running_jobs, round(avg(processing_duration_seconds), 6) AS avg_processing_time,
-           CAST(sum(total_records) AS BIGINT) AS total_records_processed, round(avg(avg_quality_score), 6) AS overall_avg_quality FROM jobs WHERE {since('started_at')}"""))
+           count(*) FILTER (WHERE status = 'processing') AS running_jobs, round(avg(processing_duration_seconds), 9) AS avg_processing_time,
+           CAST(sum(total_records) AS BIGINT) AS total_records_processed, round(avg(avg_quality_score), 9) AS overall_avg_quality FROM jobs WHERE {since('started_at')}"""))
 def warehouse_job_stats(spark, sf_dir):
     return rounded(G.job_stats(X.jobs(spark, sf_dir), X.now(), DAYS), "avg_processing_time", "overall_avg_quality")
 
 
-@query(with_blocks(["jobs", "sources"], f"""SELECT source_type, count(job_id) AS job_count, round(avg(success_rate), 6) AS avg_success_rate
+@query(with_blocks(["jobs", "sources"], f"""SELECT source_type, count(job_id) AS job_count, round(avg(success_rate), 9) AS avg_success_rate
     FROM sources LEFT JOIN jobs USING (source_id) WHERE {since('started_at')} GROUP BY source_type"""))
 def source_type_stats(spark, sf_dir):
     return rounded(G.source_type_stats(*jobs_of(spark, sf_dir), X.now(), DAYS), "avg_success_rate")
@@ -222,7 +228,7 @@ def quality_distribution(spark, sf_dir):
     return G.quality_distribution(X.results(spark, sf_dir), X.jobs(spark, sf_dir), X.now(), DAYS)
 
 
-@query(with_blocks(["jobs"], f"SELECT status, count(*) AS count, round(avg(processing_duration_seconds), 6) AS avg_duration FROM jobs WHERE {since('created_at')} GROUP BY status"))
+@query(with_blocks(["jobs"], f"SELECT status, count(*) AS count, round(avg(processing_duration_seconds), 9) AS avg_duration FROM jobs WHERE {since('created_at')} GROUP BY status"))
 def dashboard_status(spark, sf_dir):
     return rounded(G.dashboard_status(X.jobs(spark, sf_dir), X.now(), DAYS), "avg_duration")
 
@@ -232,7 +238,7 @@ block("trend", f"""
            CAST(sum(total_records) AS BIGINT) AS records_processed FROM jobs WHERE {since('created_at')} GROUP BY 1""", ["jobs"])
 
 
-@query(with_blocks(["trend"], "SELECT date, round(completeness, 6) AS completeness, round(validity, 6) AS validity, round(consistency, 6) AS consistency, records_processed FROM trend"))
+@query(with_blocks(["trend"], "SELECT date, round(completeness, 9) AS completeness, round(validity, 9) AS validity, round(consistency, 9) AS consistency, records_processed FROM trend"))
 def dashboard_trend(spark, sf_dir):
     return rounded(G.dashboard_trend(X.jobs(spark, sf_dir), X.now(), DAYS), "completeness", "validity", "consistency")
 
@@ -249,13 +255,13 @@ def dashboard_errors(spark, sf_dir):
 
 @query(with_blocks(["trend", "errors"], f"""
     SELECT (SELECT count(*) FROM jobs WHERE {since('created_at')}) AS total_jobs, CAST((SELECT sum(count) FROM errors) AS BIGINT) AS total_errors,
-           round(least(100, greatest(0, sum(coalesce(completeness, 0) + coalesce(validity, 0) + coalesce(consistency, 0)) / (3 * count(*)) * 100)), 6) AS avg_quality_score FROM trend"""))
+           round(least(100, greatest(0, sum(coalesce(completeness, 0) + coalesce(validity, 0) + coalesce(consistency, 0)) / (3 * count(*)) * 100)), 9) AS avg_quality_score FROM trend"""))
 def dashboard_summary(spark, sf_dir):
     return rounded(G.dashboard_summary(X.jobs(spark, sf_dir), X.now(), DAYS), "avg_quality_score")
 
 
 @query(with_blocks(["jobs"], f"""
-    SELECT date_trunc('hour', created_at) AS timestamp, status, count(*) AS count, round(avg(total_records), 6) AS avg_records, CAST(sum(total_records) AS BIGINT) AS total_records
+    SELECT date_trunc('hour', created_at) AS timestamp, status, count(*) AS count, round(avg(total_records), 9) AS avg_records, CAST(sum(total_records) AS BIGINT) AS total_records
     FROM jobs WHERE {since('created_at')} GROUP BY 1, 2"""))
 def processing_timeline(spark, sf_dir):
     return rounded(G.processing_timeline(X.jobs(spark, sf_dir), X.now(), DAYS), "avg_records")
@@ -263,15 +269,15 @@ def processing_timeline(spark, sf_dir):
 
 @query(with_blocks(["jobs", "sources"], f"""
     SELECT source_id, source_name, source_type, count(job_id) AS total_jobs, CAST(sum(CASE WHEN status = 'completed' THEN 1 ELSE 0 END) AS BIGINT) AS successful_jobs,
-           round(avg(total_records), 6) AS avg_records, max(created_at) AS last_processed
+           round(avg(total_records), 9) AS avg_records, max(created_at) AS last_processed
     FROM sources LEFT JOIN jobs USING (source_id) WHERE {since('created_at')} GROUP BY 1, 2, 3"""))
 def data_source_stats(spark, sf_dir):
     return rounded(G.source_stats(*jobs_of(spark, sf_dir), X.now(), DAYS), "avg_records")
 
 
 @query(with_blocks(["jobs"], f"""
-    SELECT CAST(created_at AS DATE) AS date, 'quality_score' AS metric_name, round(avg(avg_quality_score * 100), 6) AS avg_value, round(min(avg_quality_score * 100), 6) AS min_value,
-           round(max(avg_quality_score * 100), 6) AS max_value, count(*) AS sample_count
+    SELECT CAST(created_at AS DATE) AS date, 'quality_score' AS metric_name, round(avg(avg_quality_score * 100), 9) AS avg_value, round(min(avg_quality_score * 100), 9) AS min_value,
+           round(max(avg_quality_score * 100), 9) AS max_value, count(*) AS sample_count
     FROM jobs WHERE {since('created_at')} AND avg_quality_score IS NOT NULL GROUP BY 1"""))
 def daily_quality_metrics(spark, sf_dir):
     return rounded(G.daily_quality(X.jobs(spark, sf_dir), X.now(), DAYS), "avg_value", "min_value", "max_value")
@@ -347,7 +353,7 @@ def report_insights(spark, sf_dir):
     return I.report_insights(E.ingest_stats(results).join(top, how="left")).select("insight")  # one row each
 
 
-@query(with_blocks(["jobs"], "SELECT date_trunc('month', created_at)::DATE AS run_month, count(*) AS runs, round(avg(success_rate), 6) AS success_rate, CAST(sum(total_records) AS BIGINT) AS total_records FROM jobs GROUP BY 1"))
+@query(with_blocks(["jobs"], "SELECT date_trunc('month', created_at)::DATE AS run_month, count(*) AS runs, round(avg(success_rate), 9) AS success_rate, CAST(sum(total_records) AS BIGINT) AS total_records FROM jobs GROUP BY 1"))
 def quality_trend(spark, sf_dir):
     """Success and volume over the runs, by month."""
     month = F.date_trunc("month", "created_at").cast("date").alias("run_month")
@@ -371,17 +377,17 @@ def success_buckets(spark, sf_dir):
     return G.success_buckets(X.jobs(spark, sf_dir))
 
 
-@query(with_blocks(["jobs"], "SELECT round(avg(success_rate) * 100, 6) AS avg_success_pct, CAST(sum(total_records) AS BIGINT) AS total_records FROM jobs"))
+@query(with_blocks(["jobs"], "SELECT round(avg(success_rate) * 100, 9) AS avg_success_pct, CAST(sum(total_records) AS BIGINT) AS total_records FROM jobs"))
 def overview_cards(spark, sf_dir):
-    return X.jobs(spark, sf_dir).agg(F.round(F.avg("success_rate") * 100, 6).alias("avg_success_pct"), F.sum("total_records").alias("total_records"))
+    return X.jobs(spark, sf_dir).agg(F.round(F.avg("success_rate") * 100, 9).alias("avg_success_pct"), F.sum("total_records").alias("total_records"))
 
 
 @query(with_blocks(["jobs"], """
-    (SELECT 'invalid' AS list, job_id, round(invalid_records, 6) AS measure FROM jobs WHERE invalid_records > 0 ORDER BY invalid_records DESC, job_id LIMIT 5)
-    UNION ALL (SELECT 'missing_pct', job_id, round(invalid_records / total_records, 6) FROM jobs WHERE total_records > 0 ORDER BY round(invalid_records / total_records, 6) DESC, job_id LIMIT 10)"""))
+    (SELECT 'invalid' AS list, job_id, round(invalid_records, 9) AS measure FROM jobs WHERE invalid_records > 0 ORDER BY invalid_records DESC, job_id LIMIT 5)
+    UNION ALL (SELECT 'missing_pct', job_id, round(invalid_records / total_records, 9) FROM jobs WHERE total_records > 0 ORDER BY round(invalid_records / total_records, 9) DESC, job_id LIMIT 10)"""))
 def top_problem_jobs(spark, sf_dir):
     jobs = X.jobs(spark, sf_dir)
-    share = F.round(F.col("invalid_records") / F.col("total_records"), 6)
+    share = F.round(F.col("invalid_records") / F.col("total_records"), 9)
     a = jobs.filter("invalid_records > 0").select(F.lit("invalid").alias("list"), "job_id", F.col("invalid_records").cast("double").alias("measure"))
     b = jobs.filter("total_records > 0").select(F.lit("missing_pct").alias("list"), "job_id", share.alias("measure"))
     order = (F.desc("measure"), F.col("job_id"))
@@ -395,12 +401,12 @@ def quarantine_bands(spark, sf_dir):
 
 
 @query(with_blocks(["jobs"], """SELECT count(*) AS total, count(*) FILTER (WHERE status = 'completed') AS completed, count(*) FILTER (WHERE status = 'failed') AS failed,
-    count(*) FILTER (WHERE status = 'processing') AS active, round(avg(success_rate), 6) AS avg_success, CAST(sum(invalid_records) AS BIGINT) AS total_issues FROM jobs"""))
+    count(*) FILTER (WHERE status = 'processing') AS active, round(avg(success_rate), 9) AS avg_success, CAST(sum(invalid_records) AS BIGINT) AS total_issues FROM jobs"""))
 def result_cards(spark, sf_dir):
     return rounded(G.result_cards(X.jobs(spark, sf_dir)), "avg_success")
 
 
-@query(with_blocks(["jobs"], """SELECT job_type, status, count(*) AS jobs, round(count(*) / sum(count(*)) OVER (PARTITION BY job_type) * 100, 6) AS share_pct FROM jobs GROUP BY job_type, status"""))
+@query(with_blocks(["jobs"], """SELECT job_type, status, count(*) AS jobs, round(count(*) / sum(count(*)) OVER (PARTITION BY job_type) * 100, 9) AS share_pct FROM jobs GROUP BY job_type, status"""))
 def share_of_total(spark, sf_dir):
     counts = X.jobs(spark, sf_dir).groupBy("job_type", "status").agg(F.count(F.lit(1)).alias("jobs"))
     return rounded(G.share_of_total(counts, "jobs", ["job_type"]), "share_pct")
@@ -413,7 +419,7 @@ def job_status(spark, sf_dir):
 
 
 @query(with_blocks(["jobs"], """SELECT job_id, CASE WHEN success_rate * 100 >= 90 THEN 'success' WHEN success_rate * 100 >= 70 THEN 'warning' ELSE 'error' END AS band,
-    round(CASE WHEN processing_duration_seconds > 0 THEN total_records / processing_duration_seconds ELSE 0 END, 6) AS records_per_second FROM jobs"""))
+    round(CASE WHEN processing_duration_seconds > 0 THEN total_records / processing_duration_seconds ELSE 0 END, 9) AS records_per_second FROM jobs"""))
 def success_band(spark, sf_dir):
     rps = F.coalesce(F.try_divide(F.col("total_records"), F.col("processing_duration_seconds")), F.lit(0.0))
-    return X.jobs(spark, sf_dir).select("job_id", G.success_band(F.col("success_rate") * 100).alias("band"), F.round(rps, 6).alias("records_per_second"))
+    return X.jobs(spark, sf_dir).select("job_id", G.success_band(F.col("success_rate") * 100).alias("band"), F.round(rps, 9).alias("records_per_second"))

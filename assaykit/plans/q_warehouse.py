@@ -12,20 +12,26 @@ from ..session import work_path
 from . import fixtures as X
 from .catalog import query
 from .ctes import NOW, block, with_blocks
-from .q_profile import rounded
+from .q_profile import rounded as _rounded
 from .q_validate import learned, res
 
+
+def rounded(df, *names):
+    """Nine places: averages over a few jobs often end in a 5 at the seventh, where the order of adding would decide."""
+    return _rounded(df, *names, places=9)
+
+
 # most records of RES score above the default, so the routes are split higher
 ROUTE = 0.95
 
 
-@query(with_blocks(["res"], f"SELECT cust_key, round(quality_score, 6) AS quality_score, CASE WHEN is_valid THEN 'completed' ELSE 'pending' END AS status FROM res WHERE quality_score >= {ROUTE}"))
+@query(with_blocks(["res"], f"SELECT cust_key, round(quality_score, 9) AS quality_score, CASE WHEN is_valid THEN 'completed' ELSE 'pending' END AS status FROM res WHERE quality_score >= {ROUTE}"))
 def route_staging(spark, sf_dir):
     return rounded(W.staging(res(spark, sf_dir), ROUTE).select("cust_key", "quality_score", "status"), "quality_score")
 
 
 @query(with_blocks(["res"], f"""
-    SELECT cust_key, round(1 - quality_score, 6) AS severity_score, 'Quality score ' || printf('%.2f', quality_score) || ' below threshold {ROUTE}' AS quarantine_reason
+    SELECT cust_key, round(1 - quality_score, 9) AS severity_score, 'Quality score ' || printf('%.2f', quality_score) || ' below threshold {ROUTE}' AS quarantine_reason
     FROM res WHERE quality_score < {ROUTE}"""))
 def route_quarantine(spark, sf_dir):
     return rounded(W.quarantine(res(spark, sf_dir), ROUTE).select("cust_key", "severity_score", "quarantine_reason"), "severity_score")
@@ -111,15 +117,15 @@ def merge_job_status(spark, sf_dir):
         "job_id", "status", "completed_at", "error_message", "total_records", "valid_records")
 
 
-@query(with_blocks(["res"], """SELECT 'job-1' AS job_id, cust_key AS record_id, is_valid, round(quality_score, 6) AS quality_score, quality_level,
+@query(with_blocks(["res"], """SELECT 'job-1' AS job_id, cust_key AS record_id, is_valid, round(quality_score, 9) AS quality_score, quality_level,
     CAST(issue_count AS INTEGER) AS issue_count, CAST(warning_count AS INTEGER) AS warning_count FROM res"""))
 def fact_validation(spark, sf_dir):
     return rounded(W.validation_fact(res(spark, sf_dir), F.lit("job-1"), F.col("cust_key")), "quality_score")
 
 
 @query(with_blocks(["scored", "dprof"], """
-    SELECT p.field, p.detected_type, 'comprehensive' AS metric_type, round(avg(s.field_score), 6) AS metric_value, any_value(p.total_values)::BIGINT AS total_values,
-           any_value(p.null_count)::BIGINT AS null_count, any_value(p.unique_values) AS unique_values, round(any_value(p.mean_value), 6) AS mean_value
+    SELECT p.field, p.detected_type, 'comprehensive' AS metric_type, round(avg(s.field_score), 9) AS metric_value, any_value(p.total_values)::BIGINT AS total_values,
+           any_value(p.null_count)::BIGINT AS null_count, any_value(p.unique_values) AS unique_values, round(any_value(p.mean_value), 9) AS mean_value
     FROM scored s JOIN dprof p USING (field_id) GROUP BY p.field, p.detected_type"""))
 def fact_quality_metric(spark, sf_dir):
     profiled = P.profile(X.cleaned(spark, sf_dir), X.DIRTY_FIELDS)
@@ -134,7 +140,7 @@ _METRIC_ROWS = " UNION ALL ".join(
 block("job_metrics", _METRIC_ROWS, ["jobs"])
 
 
-@query(with_blocks(["job_metrics"], "SELECT job_id, created_at, field_name, metric_type, round(metric_value, 6) AS metric_value, metric_details FROM job_metrics"))
+@query(with_blocks(["job_metrics"], "SELECT job_id, created_at, field_name, metric_type, round(metric_value, 9) AS metric_value, metric_details FROM job_metrics"))
 def job_metrics_long(spark, sf_dir):
     return rounded(W.job_metrics(X.jobs(spark, sf_dir)), "metric_value")
 
@@ -142,7 +148,7 @@ def job_metrics_long(spark, sf_dir):
 @query(with_blocks(["res"], """
     SELECT count(*) AS total_records, count(*) FILTER (WHERE is_valid) AS valid_records, count(*) FILTER (WHERE NOT is_valid) AS invalid_records,
            count(*) FILTER (WHERE quality_score < 0.6) AS poor_records, count(*) FILTER (WHERE quality_score < 0.8) AS quarantined_records,
-           round(avg(quality_score), 6) AS avg_quality_score, round(count(*) FILTER (WHERE is_valid) / count(*), 6) AS success_rate FROM res"""))
+           round(avg(quality_score), 9) AS avg_quality_score, round(count(*) FILTER (WHERE is_valid) / count(*), 9) AS success_rate FROM res"""))
 def processing_metrics(spark, sf_dir):
     return rounded(W.processing_metrics(res(spark, sf_dir)), "avg_quality_score", "success_rate")
 
@@ -153,7 +159,7 @@ _RULES = {"missing_value": E.NULL_REQUIRED, "invalid_format": E.TYPE, "length_vi
 
 @query(with_blocks(["checks"], """
     SELECT field, rule, count(*) AS records_checked, count(*) FILTER (WHERE passed) AS records_passed, count(*) FILTER (WHERE NOT passed) AS records_failed,
-           round(count(*) FILTER (WHERE passed) / count(*), 6) AS success_rate FROM (
+           round(count(*) FILTER (WHERE passed) / count(*), 9) AS success_rate FROM (
         SELECT field, 'missing_value' AS rule, NOT (blank AND required) AS passed FROM checks
         UNION ALL SELECT field, 'invalid_format', blank OR NOT type_bad FROM checks
         UNION ALL SELECT field, 'length_violation', blank OR NOT (short_bad OR long_bad) FROM checks
@@ -180,7 +186,7 @@ def lineage_counts(spark, sf_dir):
     SELECT '{name}' AS period_type, CAST(date_trunc('{unit}', created_at) AS DATE) AS period_start, count(*) AS total_jobs,
            count(*) FILTER (WHERE status = 'completed') AS completed_jobs, count(*) FILTER (WHERE status = 'failed') AS failed_jobs,
            CAST(sum(total_records) AS BIGINT) AS total_records, CAST(sum(valid_records) AS BIGINT) AS valid_records,
-           CAST(sum(invalid_records) AS BIGINT) AS invalid_records, round(avg(avg_quality_score), 6) AS avg_quality_score
+           CAST(sum(invalid_records) AS BIGINT) AS invalid_records, round(avg(avg_quality_score), 9) AS avg_quality_score
     FROM jobs GROUP BY 2""" for name, unit in (("daily", "day"), ("weekly", "week"), ("monthly", "month")))))
 def period_summary(spark, sf_dir):
     return rounded(W.period_summary(X.jobs(spark, sf_dir)), "avg_quality_score")
