@@ -8,6 +8,8 @@ second exchange carries one row per column and task.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,10 +36,37 @@ def count_cells(df: DataFrame, columns: list[str], **conditions: Column) -> Data
     ).select(_names(columns).alias("field"), "total", *conditions)
 
 
-def histogram(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``field_id, value, n`` for every distinct value; null is one of the values."""
+def histogram(df: DataFrame, columns: list[str] | None = None, compact_over: int | None = None) -> DataFrame:
+    """``field_id, value, n`` for every distinct value; null is one of the values.
+
+    With ``compact_over`` a longer value travels as its SHA-256, together with what profiling needs
+    of it (``mark``: length, number, matching types, all taken from the whole value). Use it for
+    columns of long text, which would otherwise be moved as they are.
+    """
     columns = columns or df.columns
-    return cells(df, columns).groupBy(ID, "value").agg(F.count(F.lit(1)).alias("n"))
+    each, keys = cells(df, columns), [ID, "value"]
+    if compact_over is not None:
+        value = F.col("value")
+        long = F.length(value) > compact_over
+        kinds = reduce(lambda a, b: a.bitwiseOR(b), [
+            F.when(fn(value), F.lit(1 << i)).otherwise(F.lit(0)) for i, fn in enumerate(DETECTORS.values())])
+        mark = F.struct(F.length(value).alias("size"), number(value).alias("x"), kinds.alias("kinds"))
+        each = each.select(ID, F.when(long, F.sha2(value, 256)).otherwise(value).alias("value"), F.when(long, mark).alias("mark"))
+        keys = [*keys, "mark"]
+    return each.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _of_value(hist: DataFrame, part: str, plain: Column) -> Column:
+    """A property of the value: from its mark if it travels as a hash, else computed."""
+    return F.when(F.col("mark").isNotNull(), F.col(f"mark.{part}")).otherwise(plain) if "mark" in hist.columns else plain
+
+
+def _is_kind(hist: DataFrame, kind: str) -> Column:
+    plain = DETECTORS[kind](F.col("value"))
+    if "mark" not in hist.columns:
+        return plain
+    bit = 1 << list(DETECTORS).index(kind)
+    return F.when(F.col("mark").isNotNull(), F.col("mark.kinds").bitwiseAND(bit) != 0).otherwise(plain)
 
 
 def _weighted(cond: Column) -> Column:
@@ -48,8 +77,9 @@ def _summaries(hist: DataFrame, *extra: Column) -> DataFrame:
     value, n = F.col("value"), F.col("n")
     sized = hist.select(
         ID, "value", "n",
-        F.length(value).alias("size"),
-        number(value).alias("x"),
+        *(["mark"] if "mark" in hist.columns else []),
+        _of_value(hist, "size", F.length(value)).alias("size"),
+        _of_value(hist, "x", number(value)).alias("x"),
     )
     return sized.groupBy(ID).agg(
         F.sum("n").alias("total_values"),
@@ -62,8 +92,8 @@ def _summaries(hist: DataFrame, *extra: Column) -> DataFrame:
         F.max("x").alias("max_value"),
         F.sum(F.col("x") * n).alias("sum_value"),
         _weighted(F.col("x").isNotNull()).alias("numbers"),
-        *[_weighted(DETECTORS[t](value)).alias(f"is_{t}") for t in DETECTORS],
-        _weighted(DETECTORS["date"](value) | DETECTORS["datetime"](value)).alias("is_temporal"),
+        *[_weighted(_is_kind(hist, t)).alias(f"is_{t}") for t in DETECTORS],
+        _weighted(_is_kind(hist, "date") | _is_kind(hist, "datetime")).alias("is_temporal"),
     )
 
 
@@ -71,7 +101,7 @@ def _spread(hist: DataFrame, base: DataFrame) -> DataFrame:
     """Sum of squared distances from the mean; a second pass keeps it stable for large values."""
     means = base.select(ID, (F.col("sum_value") / F.when(F.col("numbers") > 0, F.col("numbers"))).alias("mean"))
     # one row per column of the table, so the broadcast cannot grow with the data
-    joined = hist.select(ID, "n", number(F.col("value")).alias("x")).join(F.broadcast(means), ID)
+    joined = hist.select(ID, "n", _of_value(hist, "x", number(F.col("value"))).alias("x")).join(F.broadcast(means), ID)
     gap = F.col("x") - F.col("mean")
     sums = joined.groupBy(ID).agg(
         F.sum(gap * gap * F.col("n")).alias("squares"), F.sum(gap * F.col("n")).alias("rest"), _weighted(gap.isNotNull()).alias("m"))
@@ -90,10 +120,10 @@ def resolve_type(order: list[str] | None = None, filled: str = "filled", distinc
 
 
 def profile(df: DataFrame, columns: list[str] | None = None, order: list[str] | None = None,
-            hist: DataFrame | None = None) -> DataFrame:
+            hist: DataFrame | None = None, compact_over: int | None = None) -> DataFrame:
     """One row per column: counts, resolved type, lengths, numbers, flags and scores."""
     columns = columns or df.columns
-    hist = histogram(df, columns) if hist is None else hist
+    hist = histogram(df, columns, compact_over) if hist is None else hist
     base = _summaries(hist)
     rows = base.join(F.broadcast(_spread(hist, base)), ID, "left")
     return _finish(rows, columns, order)

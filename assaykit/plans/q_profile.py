@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
-from ..functions.detectors import as_text
 from ..operators import profile as P
 from ..operators import rules as R
 from ..operators import validate as E
 from . import fixtures as X
 from .catalog import query
-from .ctes import histogram_block, profile_blocks, sql_level, text_list, with_blocks
+from .ctes import histogram_block, profile_blocks, sql_level, with_blocks
 
 
 def rounded(df, *names: str, places: int = 6):
@@ -153,6 +152,18 @@ def infer_schema_events(spark, sf_dir):
     return _schema(events_text(spark, sf_dir), _EVENT_COLUMNS)
 
 
+_DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+histogram_block("dochist", "documents", _DOCUMENT_COLUMNS)
+profile_blocks("docprof", "dochist")
+
+
+@query(with_blocks(["docprof"], f"{_SCHEMA_SQL} FROM docprof"))
+def infer_schema_documents(spark, sf_dir):
+    """A table of long text: whole values are profiled, hashes are moved."""
+    rows = P.profile(X.read_table(spark, sf_dir, "documents"), _DOCUMENT_COLUMNS, compact_over=256)
+    return rounded(rows.drop(P.ID), "avg_length", *_NUM, *_SCORES)
+
+
 profile_blocks("nprof", "ohist", V.TYPE_ORDER_NUMERIC_FIRST)
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import types as T
 
 from ..functions import fixed_values as V
 from ..operators import clean as C
-from ..operators import validate as E
 from ..operators import warehouse as W
 from ..session import table_path, work_path
 from ..sources import messages as M

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import rules as R
-from ..operators import validate as E
 from ..session import work_path
 from ..sources import messages as M
 from ..streaming import pipeline as S

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
-from ..functions.detectors import as_text, quality_level
+from ..functions.detectors import as_text, number
 from ..operators import checks as K
 from ..operators import insights as I
 from ..operators import profile as P
@@ -14,7 +14,7 @@ from ..operators import validate as E
 from ..session import work_path
 from . import fixtures as X
 from .catalog import query
-from .ctes import NOW, block, sql_level, sql_matches, sql_number, text_list, with_blocks
+from .ctes import NOW, block, sql_matches, sql_number, text_list, with_blocks
 from .q_detect import static_records
 from .q_profile import rounded
 
@@ -344,8 +344,6 @@ def validate_foreign_key(spark, sf_dir):
 def validate_outlier(spark, sf_dir):
     row = P.profile(X.train(spark, sf_dir), ["balance"]).select("mean_value", "std_value").first()
     df = X.cleaned(spark, sf_dir)
-    from ..functions.detectors import number
-
     far = K.outside_spread(number(as_text(df, "balance")), row["mean_value"], row["std_value"])
     return df.filter(far).select("cust_key", F.lit("outlier").alias("issue_type"))
 

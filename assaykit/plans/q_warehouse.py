@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import fixed_values as V
 from ..operators import profile as P
 from ..operators import validate as E
 from ..operators import warehouse as W

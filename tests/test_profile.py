@@ -119,3 +119,13 @@ def test_approximate_profile_is_close_and_moves_no_data(people):
             assert r[c] == want[c], c
         assert r["std_value"] == (pytest.approx(want["std_value"]) if want["std_value"] is not None else None)
     assert plan_of(approx).split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == 1
+
+
+def test_long_values_profile_alike_as_hashes(spark):
+    rows = [("https://x.example.com/" + "a" * (20 * (i % 7)), "9" * (1 + i % 40) + ".5", "word " * (i % 30)) for i in range(200)]
+    df = spark.createDataFrame(rows, "u string, n string, t string")
+    plain = {r["field"]: r.asDict() for r in P.profile(df).collect()}
+    hashed = {r["field"]: r.asDict() for r in P.profile(df, compact_over=20).collect()}
+    for field, want in plain.items():
+        for name, value in want.items():
+            assert hashed[field][name] == (pytest.approx(value) if isinstance(value, float) else value), (field, name)
