@@ -53,15 +53,15 @@ def is_float(value: Column) -> Column:
 
 
 def is_boolean(value: Column) -> Column:
-    return F.lower(value).isin(V.BOOLEAN_WORDS)
+    return (F.length(value) <= 5) & F.lower(value).isin(V.BOOLEAN_WORDS)
 
 
 def is_date(value: Column) -> Column:
-    return _parses(value, V.DATE_FORMATS)
+    return F.length(value).between(8, 19) & _parses(value, V.DATE_FORMATS)
 
 
 def is_datetime(value: Column) -> Column:
-    return _parses(value, V.DATETIME_FORMATS)
+    return F.length(value).between(14, 27) & _parses(value, V.DATETIME_FORMATS)
 
 
 def is_json(value: Column) -> Column:
@@ -76,8 +76,29 @@ def is_json(value: Column) -> Column:
         value.rlike(V.JSON_SCALAR_PATTERN))
 
 
+# What a value of a type must have, whatever the pattern says in detail: a length or a character.
+# Checking that first keeps most patterns from running at all. Lengths allow for the line end that
+# a pattern may leave unmatched.
+GATES: dict[str, Callable[[Column], Column]] = {
+    "email": lambda v: v.contains("@"),
+    "phone": lambda v: F.length(v) <= 20,
+    "url": lambda v: v.contains("://"),
+    "uuid": lambda v: F.length(v).between(36, 40),
+    "percentage": lambda v: v.contains("%"),
+    "postal_code": lambda v: F.length(v) <= 14,
+    "ip_address": lambda v: F.length(v) <= 20,
+    "credit_card": lambda v: F.length(v).between(16, 24),
+    "social_security": lambda v: F.length(v).between(9, 16),
+}
+
+
+def gated(kind: str, value: Column, check: Column) -> Column:
+    """``check`` behind the gate of the type."""
+    return GATES[kind](value) & check if kind in GATES else check
+
+
 def _pattern_detector(name: str) -> Callable[[Column], Column]:
-    return lambda value: matches_any(value, V.PATTERNS[name])
+    return lambda value: gated(name, value, matches_any(value, V.PATTERNS[name]))
 
 
 DETECTORS: dict[str, Callable[[Column], Column]] = {

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
-from ..functions.detectors import always_fits, as_text, fits_type, matches_any, number_of, quality_level
+from ..functions.detectors import always_fits, as_text, fits_type, number_of, quality_level
 from ..functions.settle import settle, sql_text
 from .rules import FieldRule
 
@@ -30,7 +30,7 @@ def check_bits(df: DataFrame, rule: FieldRule) -> Column:
     """The failed checks of one cell."""
     value, parts = as_text(df, rule.field), []
     if rule.patterns:
-        parts.append(_bit(~matches_any(value, rule.patterns), TYPE | PATTERN))
+        parts.append(_bit(~fits_type(value, rule.kind), TYPE | PATTERN))
     elif rule.kind not in ("string", "categorical") and not always_fits(df, rule.field, rule.kind):
         parts.append(_bit(~fits_type(value, rule.kind), TYPE))
     size = F.length(value)

@@ -86,6 +86,18 @@ def test_pattern_types(detected, kind, good, bad):
     assert detected[good][kind] and not detected[bad][kind]
 
 
+def test_gates_never_change_a_result(spark):
+    """Every gate lets through whatever its patterns match, line end included."""
+    from assaykit.functions.detectors import matches_any
+
+    longest = ["+1-(555)-123-4567", "+123456789012345", "K1A 0B1", "12345-6789", "255.255.255.255", "4111-1111-1111-1111", "123-45-6789",
+               "01234567-89ab-1cde-8f01-23456789abcd", "0123-4", "http://a", "HTTPS://A.B", "9%"]
+    values = [v + end for v in VALUES + longest for end in ("", "\n", "\r\n")]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    for kind, patterns in V.PATTERNS.items():
+        assert df.filter(DETECTORS[kind](F.col("v")) != matches_any(F.col("v"), patterns)).count() == 0, kind
+
+
 def test_number_rejects_java_suffixes(spark):
     df = spark.createDataFrame([("1d",), ("1.5f",), (" 2.5 ",), ("1e3",), ("x",), (None,)], "v string")
     assert [r[0] for r in df.select(number(F.col("v"))).collect()] == [None, None, 2.5, 1000.0, None, None]
