@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaykit.session import read_table
 
+from .bpe import token_digests
+from .html_text import extract_text
 from .line_dedup import line_dedup
 from .mixing import mix_sources
 from .quality_rules import quality_rules
@@ -54,3 +57,16 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query()
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_digests(docs, vocabulary, public_tokenizers.PATTERN).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query()
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = extract_text(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -6,9 +6,11 @@ shared folder and read again as the next one's input, so a lost executor costs o
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assaykit.llm.bpe import token_digests
 from assaykit.llm.common import stored
 from assaykit.llm.line_dedup import line_dedup
 from assaykit.llm.mixing import mixed
@@ -41,7 +43,14 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed(docs.select(COLUMNS))
 
 
-STAGES = [("quality_rules", quality), ("line_dedup", repeated_lines), ("simhash_near_dedup", near_copies), ("mix_sources", mix)]
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of every document of the mix, with their number and digests."""
+    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return token_digests(docs.select("doc_id", "text", "source"), vocabulary, public_tokenizers.PATTERN).drop("text")
+
+
+STAGES = [("quality_rules", quality), ("line_dedup", repeated_lines), ("simhash_near_dedup", near_copies), ("mix_sources", mix),
+          ("byte_bpe", tokens)]
 
 #: near copies and token ids have no SQL form; tests hold the pipeline against a brute-force version
 ORACLE_SQL = None
