@@ -14,6 +14,7 @@ from .bpe import token_digests
 from .html_text import extract_text
 from .line_dedup import line_dedup
 from .mixing import mix_sources
+from .pii import KINDS, find_pii, span_text
 from .quality_rules import quality_rules
 from .simhash import simhash_classes
 
@@ -70,3 +71,12 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = extract_text(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query()
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = find_pii(read_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: ~x["added"])
+    kinds = F.transform(base, lambda x: x["k"])
+    counts = [(F.size(base) - F.size(F.array_remove(kinds, n))).cast("long").alias(f"n_{k}") for n, k in enumerate(KINDS)]
+    return rows.select("doc_id", *counts, F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
