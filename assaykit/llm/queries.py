@@ -8,15 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.session import read_table
+from assaykit.session import read_table, work_path
 
 from .bpe import token_digests
+from .common import stored
+from .cotraining import classify
 from .html_text import extract_text
 from .line_dedup import line_dedup
 from .mixing import mix_sources
 from .pii import KINDS, find_pii, span_text
-from .quality_rules import quality_rules
+from .quality_rules import SYMBOLS, quality_rules
 from .simhash import simhash_classes
+from .token_rollup import commit, counted, signed, totals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -80,3 +83,26 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.transform(base, lambda x: x["k"])
     counts = [(F.size(base) - F.size(F.array_remove(kinds, n))).cast("long").alias(f"n_{k}") for n, k in enumerate(KINDS)]
     return rows.select("doc_id", *counts, F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
+
+
+@query()
+def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches: all documents come, toxic ones go, those with symbols are revised without them; one is delivered twice."""
+    docs = read_table(spark, sf_dir, "documents")
+    toxic = read_table(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").alias("id")).distinct()
+    clean = F.translate("text", SYMBOLS, "")
+    first = stored(counted(docs), "rollup-inserted")
+    changed = counted(docs.filter(clean != F.col("text")).withColumn("text", clean)).select("id", F.col("counts").alias("new"))
+    root = work_path(spark, "llm-rollup")
+    gone = signed(first.join(toxic, "id", "left_semi"), -1)
+    commit(signed(first, 1), root, "1-insert")
+    commit(gone, root, "2-delete")
+    revised = stored(first.join(changed, "id").join(toxic, "id", "left_anti"), "rollup-revised")
+    commit(signed(revised, -1).union(signed(revised.withColumn("counts", F.col("new")), 1)), root, "3-revise")
+    commit(gone, root, "2-delete")
+    return totals(spark, root)
+
+
+@query()
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
