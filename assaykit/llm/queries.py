@@ -20,6 +20,7 @@ from .pii import KINDS, find_pii, span_text
 from .quality_rules import SYMBOLS, quality_rules
 from .simhash import simhash_classes
 from .token_rollup import commit, counted, signed, totals
+from .vector_graph import near_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -106,3 +107,8 @@ def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query()
+def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(read_table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
