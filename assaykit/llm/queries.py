@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from assaykit.session import read_table, work_path
 
+from . import sql
 from .bpe import token_digests
 from .common import stored
 from .cotraining import classify
@@ -26,21 +27,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(text: str | None = None):
+    """Registers a query under its own name, with its SQL if there is one."""
     def keep(fn):
         QUERIES[fn.__name__] = fn
-        if sql:
-            SQL[fn.__name__] = sql
+        if text:
+            SQL[fn.__name__] = text
         return fn
 
     return keep
 
 
-# The SQL uses chr() for white space: tab, line feed, vertical tab, form feed, carriage return and blank.
-WHITE_SQL = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
-
-
-@query()
+@query(sql.mix_sources())
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mix_sources(read_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", "taken")
@@ -52,13 +50,13 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-@query()
+@query(sql.quality_rules())
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), with_text=False)
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-@query()
+@query(sql.LINE_DEDUP)
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -71,7 +69,7 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(docs, vocabulary, public_tokenizers.PATTERN).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-@query()
+@query(sql.HTML_TEXT)
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = extract_text(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -86,7 +84,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *counts, F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
 
 
-@query()
+@query(sql.TOKEN_ROLLUP)
 def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three batches: all documents come, toxic ones go, those with symbols are revised without them; one is delivered twice."""
     docs = read_table(spark, sf_dir, "documents")
