@@ -24,7 +24,7 @@ from .common import WHITE, body, col, inner, lines, stored, words
 
 MIN_WORDS = 50
 MAX_REPEATED = 50  # percent of the words
-ALPHA = 0.01       # share of good documents that one rule may lose in a stratum
+ALPHA = 0.02       # share of good documents that one rule may lose in a stratum
 DELTA = 0.05       # probability that any rule breaks that promise in any stratum
 SYMBOLS = "#*$%&|<>"
 #: rule -> (numerator, denominator, cutoffs per thousand from lenient to strict); beyond the cutoff a document is rejected
