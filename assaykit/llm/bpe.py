@@ -18,17 +18,18 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import body, col
+from .common import body, col, inner
 
 #: characters of text in one slice, cells of one matrix, and parts kept from earlier slices
-SLICE_CHARS = 4_000_000
-CELLS = 1_000_000
-CACHED = 300_000
+SLICE_CHARS = 1_000_000
+CELLS = 500_000
+CACHED = 150_000
 
 NONE = np.int32(2**31 - 1)
 APART = re.compile(r"(?<=\S) (?=\S)")
@@ -250,16 +251,30 @@ def coder_of(shared, pattern: str) -> Coder:
     return _CODERS[key]
 
 
-def sliced(texts: list[str]) -> Iterator[tuple[int, int]]:
+def sliced(lengths: list[int]) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``SLICE_CHARS`` characters; one text at least."""
     start = size = 0
-    for i, text in enumerate(texts):
-        if i > start and size + len(text) > SLICE_CHARS:
+    for i, length in enumerate(lengths):
+        if i > start and size + length > SLICE_CHARS:
             yield start, i
             start, size = i, 0
-        size += len(text)
-    if start < len(texts):
-        yield start, len(texts)
+        size += length
+    if start < len(lengths):
+        yield start, len(lengths)
+
+
+def encode_batch(coder: Coder, texts: pa.Array) -> pa.Array:
+    found = []
+    for a, b in sliced(pa.compute.utf8_length(texts).to_pylist()):
+        found.append(coder.encode(texts[a:b].to_pylist()))
+    values, sizes = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values))
+
+
+def decode_batch(coder: Coder, ids: pa.Array) -> pa.Array:
+    starts, values = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False)
+    valid = ids.is_valid().to_pylist()
+    return pa.array([coder.decode(values[a:b].tolist()) if ok else None for a, b, ok in zip(starts[:-1], starts[1:], valid)], pa.binary())
 
 
 def vocabulary(df: DataFrame, path: str):
@@ -280,10 +295,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def ids(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
-            coder, rows = coder_of(shared, pattern), batch.to_pylist()
-            found = [coder.encode(rows[a:b]) for a, b in sliced(rows)] or [(np.zeros(0, np.int32), np.zeros(0, np.int64))]
-            values, sizes = (np.concatenate(x) for x in zip(*found))
-            yield pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values))
+            yield encode_batch(coder_of(shared, pattern), batch)
 
     return docs.withColumn(out, ids(body(col(text))))
 
@@ -295,18 +307,30 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
     @F.arrow_udf(T.BinaryType())
     def raw(rows: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in rows:
-            coder = coder_of(shared, pattern)
-            starts, values = batch.offsets.to_numpy(), batch.values.to_numpy(zero_copy_only=False)
-            valid = batch.is_valid().to_pylist()
-            yield pa.array([coder.decode(values[a:b].tolist()) if ok else None for a, b, ok in zip(starts[:-1], starts[1:], valid)], pa.binary())
+            yield decode_batch(coder_of(shared, pattern), batch)
 
     return df.withColumn(out, raw(col(ids)))
 
 
 def token_digests(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """``docs`` with ids, n_tokens, and the SHA-256 of the ids and of the bytes they decode to."""
-    coded = decode(encode(docs, path, pattern, text), path, pattern)
-    return coded.select(*[col(c) for c in coded.columns if c not in ("decoded", "n_tokens", "ids_sha256", "decoded_sha256")],
-                        F.size("ids").cast("long").alias("n_tokens"),
-                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-                        F.sha2("decoded", 256).alias("decoded_sha256"))
+    """``docs`` with ids, n_tokens, and the SHA-256 of the ids and of the bytes they decode to.
+
+    One worker encodes and decodes, so a task holds one vocabulary.
+    """
+    shared = vocabulary(docs, path)
+    both = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())])
+
+    @F.arrow_udf(both)
+    def there_and_back(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            coder = coder_of(shared, pattern)
+            ids = encode_batch(coder, batch)
+            yield pa.StructArray.from_arrays([ids, decode_batch(coder, ids)], ["ids", "decoded"])
+
+    results = {"ids", "n_tokens", "ids_sha256", "decoded_sha256"}
+    (name,) = inner(docs, "coded")
+    coded = docs.withColumn(name, there_and_back(body(col(text))))
+    ids = col(name)["ids"]
+    return coded.select(*[col(c) for c in docs.columns if c.lower() not in results], ids.alias("ids"), F.size(ids).cast("long").alias("n_tokens"),
+                        F.sha2(F.array_join(ids.cast("array<string>"), ","), 256).alias("ids_sha256"),
+                        F.sha2(col(name)["decoded"], 256).alias("decoded_sha256"))
