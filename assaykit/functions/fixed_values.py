@@ -93,7 +93,7 @@ CATEGORY_RATIO = 0.1
 CATEGORY_DISTINCT = 50
 TOP_CATEGORIES = 20
 SAMPLE_VALUES = 10
-LEARN_ROWS = 1000
+RULE_VALUES = 1000
 
 # Quality bands, best first.
 LEVELS = [("excellent", 0.9), ("good", 0.8), ("fair", 0.6)]
@@ -146,13 +146,20 @@ STORAGE_TYPES = {
 
 # System columns of a structured store; user fields of these names are skipped.
 SYSTEM_COLUMNS = [
-    "id", "source_file", "ingestion_time", "job_id", "row_index", "validation_status",
-    "quality_score",
+    "id", "job_id", "source_file", "row_index", "validation_status", "quality_score",
+    "ingestion_time",
 ]
 
 # Keys preferred when an API payload is an object.
 PAYLOAD_KEYS = ["records", "data", "results"]
 
+# Records per second from which throughput is high, under which it is low, and what is said about it.
+THROUGHPUT_HIGH, THROUGHPUT_LOW = 1000, 100
+THROUGHPUT_TEXTS = ["High processing throughput achieved", "Low processing throughput - consider optimization"]
+
+# Encoding labels and the names readers take, the first that any file needs.
+READER_ENCODINGS = {"utf-16": "UTF-16", "cp1252": "windows-1252", "latin-1": "ISO-8859-1", "utf-8": "UTF-8"}
+
 READER_FORMATS = {
     "csv": "csv", "json": "json", "jsonl": "jsonl", "parquet": "parquet", "xml": "xml",
     "tsv": "delimited", "txt": "delimited", "dat": "delimited",

@@ -132,7 +132,8 @@ def validate_custom(df: DataFrame, rules: list[CustomRule]) -> DataFrame:
         text = rule.message or f"{rule.field}: {rule.rule_type}"
         if rule.rule_type == "unique":
             helper = f"__copies_{i}"
-            marked, helpers = mark_duplicates(marked, [rule.field], helper), [*helpers, helper]
+            # a null is no copy of another null
+            marked, helpers = mark_duplicates(marked, [rule.field], helper, nulls=False), [*helpers, helper]
             outcome.append((F.col(helper) > 1, text))
         else:
             outcome.append((rule_failed(marked, rule), text))
@@ -140,21 +141,27 @@ def validate_custom(df: DataFrame, rules: list[CustomRule]) -> DataFrame:
 
 
 # ---- keys, references, copies ------------------------------------------------------------------
+def _named(columns: list[str]) -> list[Column]:
+    """Columns by their plain names, dots included."""
+    return [F.col(f"`{c}`") for c in columns]
+
+
 def key_counts(df: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that occur more than once. Combined before the exchange, so a hot key costs one row per task."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")).filter(F.col("copies") > 1)
+    return df.groupBy(*_named(keys)).agg(F.count(F.lit(1)).alias("copies")).filter(F.col("copies") > 1)
 
 
-def mark_duplicates(df: DataFrame, keys: list[str], name: str = "copies") -> DataFrame:
+def mark_duplicates(df: DataFrame, keys: list[str], name: str = "copies", nulls: bool = True) -> DataFrame:
     """Number of rows that share the key, on every row.
 
     A window would bring all rows of a key into one task. Counting first leaves one row per
     repeated key, and the join back is an ordinary equi-join whose large side Spark may split.
+    Without ``nulls`` a row with a null in its key has no copies and takes no part in the join.
     """
-    counts = key_counts(df, keys).withColumnRenamed("copies", name)
-    renamed = counts.select(*[F.col(f"`{k}`").alias(f"__key_{i}") for i, k in enumerate(keys)], name)
-    same = [df[k].eqNullSafe(renamed[f"__key_{i}"]) for i, k in enumerate(keys)]
-    return df.join(renamed, same, "left").select(*df.columns, F.coalesce(name, F.lit(1)).alias(name))
+    counted = df if nulls else df.filter(reduce(lambda a, b: a & b, [c.isNotNull() for c in _named(keys)]))
+    renamed = key_counts(counted, keys).select(*[F.col(f"`{k}`").alias(f"__key_{i}") for i, k in enumerate(keys)], F.col("copies").alias(name))
+    same = [(F.col(f"`{k}`").eqNullSafe(F.col(f"__key_{i}")) if nulls else F.col(f"`{k}`") == F.col(f"__key_{i}")) for i, k in enumerate(keys)]
+    return df.join(renamed, same, "left").select(*_named(df.columns), F.coalesce(name, F.lit(1)).alias(name))
 
 
 def orphans(df: DataFrame, column: str, parent: DataFrame, parent_key: str) -> DataFrame:
@@ -171,7 +178,7 @@ def duplicate_records(df: DataFrame) -> DataFrame:
 
 def uniqueness(df: DataFrame) -> DataFrame:
     """Share of distinct records."""
-    per_record = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__n"))
+    per_record = df.groupBy(*_named(df.columns)).agg(F.count(F.lit(1)).alias("__n"))
     return per_record.agg(F.sum("__n").alias("records"), F.count(F.lit(1)).alias("distinct_records")).withColumn(
         "uniqueness", F.try_divide(F.col("distinct_records"), F.col("records")))
 

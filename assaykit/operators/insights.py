@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import fixed_values as V
+
 
 def _one_of(*cases: tuple[Column, str], otherwise: str | None = None) -> Column:
     out = None
@@ -41,7 +43,8 @@ def validator_insights(summary: DataFrame) -> DataFrame:
 
 
 def report_insights(summary: DataFrame) -> DataFrame:
-    """``summary``: one row of ingest stats with the most common error and the number of failing records."""
+    """``summary``: one row of ingest stats with the most common error and the number of failing records, and the
+    throughput if it is known."""
     c, valid = F.col, F.col("valid_records") > 0
     rate = c("success_rate_pct")
     excellent = F.try_divide(c("excellent_records"), c("valid_records")) * 100
@@ -63,4 +66,8 @@ def report_insights(summary: DataFrame) -> DataFrame:
         F.when(F.try_divide(c("top_error_count"), c("invalid_records")) > 0.5, F.concat(
             F.lit("Over 50% of errors are related to "), c("top_error"), F.lit(" - focus on fixing this issue"))),
     ]
+    if "throughput_records_per_second" in summary.columns:
+        speed = c("throughput_records_per_second")
+        findings.insert(4, F.when(some, _one_of(
+            (speed >= V.THROUGHPUT_HIGH, V.THROUGHPUT_TEXTS[0]), (speed < V.THROUGHPUT_LOW, V.THROUGHPUT_TEXTS[1]))))
     return _as_rows(summary, findings)

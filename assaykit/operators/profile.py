@@ -211,6 +211,8 @@ def top_values(hist: DataFrame, k: int, by_value: bool = False, fields: DataFram
     histogram: nulls are ranked last and dropped at the end, and the restriction is an inner join.
     So every reader of the histogram shares one exchange instead of scanning the source again.
     """
+    if "mark" in hist.columns:
+        raise ValueError("a compacted histogram has hashes in place of long values; take values from a plain one")
     kept = hist if fields is None else hist.join(F.broadcast(fields.select(ID)), ID)
     order = [F.col("value").isNull(), *([] if by_value else [F.col("n").desc()]), F.col("value")]
     ranked = kept.withColumn("position", F.row_number().over(Window.partitionBy(ID).orderBy(*order)))
@@ -239,14 +241,17 @@ def sample_values(df: DataFrame, columns: list[str] | None = None, k: int = V.SA
         _names(columns).alias("field"), "value", "position")
 
 
-def with_categories(df: DataFrame, columns: list[str] | None = None, k: int = V.TOP_CATEGORIES,
+def with_categories(df: DataFrame, columns: list[str] | None = None, k: int = V.RULE_VALUES,
                     order: list[str] | None = None) -> DataFrame:
-    """``profile`` plus an array of at most ``k`` categories: everything rules are made from."""
+    """``profile`` plus the categories of columns with at most ``k`` of them: everything rules are made from.
+
+    The list is complete or absent: a list cut short would make rare but valid values look wrong.
+    """
     columns = columns or df.columns
     hist = histogram(df, columns)
     base = profile(df, columns, order, hist=hist)
     tops = (
-        top_values(hist, k, fields=categorical_fields(hist))
+        top_values(hist, k, fields=categorical_fields(hist).filter(F.col("distinct") <= k))
         .groupBy(ID)
         .agg(F.transform(F.sort_array(F.collect_list(F.struct("position", "value"))), lambda s: s["value"]).alias("categories"))
     )

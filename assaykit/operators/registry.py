@@ -115,13 +115,13 @@ def structured_name(schema_name: str, version: int) -> str:
 
 def structured(df: DataFrame, definition: dict[str, str], *, row_index: Column, job_id: str, source_file: str,
                ingestion_time: Column, status: Column, score: Column) -> DataFrame:
-    """Typed columns and the seven system columns. Values that do not fit their type become null."""
+    """Typed columns and the seven system columns; a field named like one of them, in any case, is skipped. Values that do not fit their type become null."""
     typed = [F.col(f"`{c}`").try_cast(V.STORAGE_TYPES.get(kind, "string")).alias(c)
-             for c, kind in definition.items() if c not in V.SYSTEM_COLUMNS]
+             for c, kind in definition.items() if c.lower() not in V.SYSTEM_COLUMNS]
     return df.select(
-        F.concat_ws("-", F.lit(job_id), row_index.cast("string")).alias("id"), F.lit(source_file).alias("source_file"),
-        ingestion_time.alias("ingestion_time"), F.lit(job_id).alias("job_id"), row_index.alias("row_index"),
-        status.alias("validation_status"), score.alias("quality_score"), *typed)
+        F.concat_ws("-", F.lit(job_id), row_index.cast("string")).alias("id"), F.lit(job_id).alias("job_id"),
+        F.lit(source_file).alias("source_file"), row_index.alias("row_index"), status.alias("validation_status"),
+        score.alias("quality_score"), ingestion_time.alias("ingestion_time"), *typed)
 
 
 def flexible(df: DataFrame, columns: list[str], **system: Column) -> DataFrame:

@@ -89,31 +89,19 @@ def jobs_overview(jobs: DataFrame, now: Column, days: int = 30, n: int = 100) ->
         F.round(F.coalesce("avg_quality_score", F.lit(0.0)) * 100, 2).alias("quality_score_pct"), "created_at")
 
 
-# share of invalid records taken as missing, and its cap, by job name
-MISSING_ESTIMATES = [(("orders",), 0.4, 15.0), (("beneficiary",), 0.3, 8.0), (("training", "prediction"), 0.2, 5.0)]
-MISSING_OTHER = (0.25, 10.0)
-ORDERS_FLOOR = 1000
-
-
-def missing_pct_estimate(floor: int = ORDERS_FLOOR) -> Column:
-    """Rough share of missing values by job name; ``missing_by_job`` counts them."""
-    name, rate = F.lower("job_name"), F.col("invalid_records") / F.col("total_records") * 100
-    out = F.when((F.col("invalid_records") <= 0) | (F.col("total_records") <= 0), 0.0)
-    for words, share, cap in MISSING_ESTIMATES:
-        hit = F.lit(False)
-        for w in words:
-            hit = hit | name.contains(w)
-        if "orders" in words:
-            hit = hit & (F.col("invalid_records") > floor)
-        out = out.when(hit, F.least(F.lit(cap), rate * share))
-    return out.otherwise(F.least(F.lit(MISSING_OTHER[1]), rate * MISSING_OTHER[0]))
+MISSING_ISSUE = "(?i)missing|null|empty"
 
 
 def missing_by_job(results: DataFrame) -> DataFrame:
-    """Issues about missing, null or empty values per job."""
-    kinds = results.select("job_id", F.explode("issues").alias("issue"))
-    return kinds.groupBy("job_id").agg(
-        count_where(F.split_part("issue", F.lit(":"), F.lit(1)).rlike("(?i)missing|null|empty")).alias("missing_count"))
+    """Issues about missing, null or empty values per job; a job without issues has none of them."""
+    hits = F.filter("issues", lambda i: F.split_part(i, F.lit(":"), F.lit(1)).rlike(MISSING_ISSUE))
+    return results.groupBy("job_id").agg(F.sum(F.coalesce(F.size(hits), F.lit(0)).cast("long")).alias("missing_count"))
+
+
+def missing_pct(results: DataFrame, fields: int) -> DataFrame:
+    """Missing values per job in percent of its cells, of records with ``fields`` fields each."""
+    counted = results.groupBy("job_id").agg(count().alias("records")).join(missing_by_job(results), "job_id")
+    return counted.select("job_id", (F.col("missing_count") / (F.col("records") * fields) * 100).alias("missing_pct"))
 
 
 def quarantined_jobs(jobs: DataFrame) -> DataFrame:
@@ -196,9 +184,9 @@ def source_stats(jobs: DataFrame, sources: DataFrame, now: Column, days: int = 3
 
 
 def quality_distribution(results: DataFrame, jobs: DataFrame, now: Column, days: int = 30) -> DataFrame:
-    """Results of recent jobs per level, counted per job before the join."""
-    per_job = results.groupBy("job_id", "quality_level").agg(count().alias("n"))
-    return per_job.join(recent(jobs, "started_at", now, days).select("job_id"), "job_id").groupBy("quality_level").agg(F.sum("n").alias("count"))
+    """Results of recent jobs per level. The semi join comes first: results of older jobs are never aggregated."""
+    keys = recent(jobs, "started_at", now, days).select("job_id")
+    return results.join(keys, "job_id", "left_semi").groupBy("quality_level").agg(count().alias("count"))
 
 
 def dashboard_status(jobs: DataFrame, now: Column, days: int = 30) -> DataFrame:
@@ -296,8 +284,11 @@ def result_cards(jobs: DataFrame) -> DataFrame:
 
 
 def share_of_total(df: DataFrame, value: str, groups: list[str] | None = None) -> DataFrame:
-    """Share of each row in the total of its group; meant for small aggregates."""
-    total = F.sum(value).over(Window.partitionBy(*(groups or [F.lit(1)])))
+    """Share of each row in the total of its group, or of all rows."""
+    if not groups:  # a total of one row: no task sees all rows
+        joined = df.crossJoin(df.agg(F.sum(value).alias("__total")))
+        return joined.withColumn("share_pct", F.when(F.col("__total") > 0, F.col(value) / F.col("__total") * 100).otherwise(0.0)).drop("__total")
+    total = F.sum(value).over(Window.partitionBy(*groups))
     return df.withColumn("share_pct", F.when(total > 0, F.col(value) / total * 100).otherwise(0.0))
 
 

@@ -47,9 +47,12 @@ def rule_rows(profiled: DataFrame) -> DataFrame:
     )
 
 
-def learn_rules(df: DataFrame, columns: list[str] | None = None, max_categories: int = V.TOP_CATEGORIES,
+def learn_rules(df: DataFrame, columns: list[str] | None = None, max_categories: int = V.RULE_VALUES,
                 order: list[str] | None = None) -> list[FieldRule]:
-    """Profile the frame and bring its rules to the driver: one row per column, no more."""
+    """Profile the frame and bring its rules to the driver: one row per column, no more.
+
+    A categorical column with more than ``max_categories`` values has no list of allowed values.
+    """
     columns = columns or df.columns
     rows = rule_rows(with_categories(df, columns, max_categories, order)).collect()
     return [
@@ -67,10 +70,10 @@ def learn_rules(df: DataFrame, columns: list[str] | None = None, max_categories:
     ]
 
 
-def learn_definition(df: DataFrame, columns: list[str] | None = None) -> list[FieldRule]:
+def learn_definition(df: DataFrame, columns: list[str] | None = None, max_categories: int = V.RULE_VALUES) -> list[FieldRule]:
     """The inferred definition: the bounds as seen, without the tolerance that rules get."""
     columns = columns or df.columns
-    rows = with_categories(df, columns).collect()  # one row per column
+    rows = with_categories(df, columns, max_categories).collect()  # one row per column
     return [
         FieldRule(
             field=r["field"], kind=r["detected_type"], required=r["null_count"] == 0,

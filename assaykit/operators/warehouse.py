@@ -51,17 +51,31 @@ def date_dimension(spans: DataFrame) -> DataFrame:
 
 
 def new_rows(candidates: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
-    """Candidates whose key is not there yet."""
-    return candidates.join(existing.select(*keys), keys, "left_anti")
+    """Candidates whose key is not there yet, one row per key: of several the one that sorts first."""
+    rest = [c for c in candidates.columns if c not in keys]
+    first = F.min(F.struct(*[F.col(f"`{c}`") for c in rest])) if rest else F.count(F.lit(1))
+    one = candidates.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(first.alias("__first"))
+    columns = [F.col(f"`{c}`") if c in keys else F.col("__first").getField(c).alias(c) for c in candidates.columns]
+    return one.select(*columns).join(existing.select(*keys).distinct(), keys, "left_anti")
 
 
 # ---- job facts ------------------------------------------------------------------------------------
 METRICS = ["total_records", "valid_records", "invalid_records", "quarantined_records", "avg_quality_score",
-           "success_rate", "processing_duration_seconds"]
+           "success_rate", "processing_duration_seconds", "throughput_records_per_second"]
 
 
 def merge_job_status(jobs: DataFrame, updates: DataFrame, now: Column) -> DataFrame:
-    """Apply status updates (at most one per job): new metrics win where they are given."""
+    """Apply status updates: new metrics win where they are given.
+
+    Of several updates of a job the one with the latest ``updated_at`` counts; without that column
+    several updates of one job raise an error, as none is the last.
+    """
+    fields = [c for c in updates.columns if c not in ("job_id", "updated_at")]
+    if "updated_at" in updates.columns:
+        one = F.max_by(F.struct(*fields), F.struct("updated_at", *fields))
+    else:
+        one = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("several updates of one job without updated_at"))).otherwise(F.first(F.struct(*fields)))
+    updates = updates.groupBy("job_id").agg(one.alias("__one")).select("job_id", "__one.*")
     changes = updates.select(
         "job_id", *[F.col(c).alias(f"new_{c}") for c in ("status", "error_message", *METRICS) if c in updates.columns],
         F.lit(True).alias("changed"))
@@ -159,6 +173,14 @@ def lineage(step: str, before: DataFrame, after: DataFrame) -> DataFrame:
     return a.crossJoin(b).select(F.lit(step).alias("transformation"), "records_in", "records_out")  # one row each
 
 
+def rewrite(df: DataFrame, path: str, partition: str) -> None:
+    """Write the given partitions of a stored table anew and leave the others; doing it again changes nothing.
+
+    ``df`` must not read ``path`` itself: write it as a table of its own first.
+    """
+    df.hint("rebalance", partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+
+
 def delete_jobs(table: DataFrame, doomed: DataFrame) -> DataFrame:
     """The table without the rows of the given jobs."""
     return table.join(doomed.select("job_id"), "job_id", "left_anti")

@@ -94,10 +94,10 @@ ctes.histogram_block("thist", "train", DIRTY_FIELDS)
 ctes.profile_blocks("tprof", "thist")
 
 # Rules of the training rows, the cells they judge and the record results.
-block("tallowed", """
+block("tallowed", f"""
     SELECT h.field_id, h.field, h.value FROM thist h JOIN tprof p USING (field_id)
     WHERE p.is_categorical AND h.value IS NOT NULL
-    QUALIFY row_number() OVER (PARTITION BY h.field_id ORDER BY h.n DESC, h.value) <= 20""", ["thist", "tprof"])
+    QUALIFY count(*) OVER (PARTITION BY h.field_id) <= {V.RULE_VALUES}""", ["thist", "tprof"])
 block("trules", """
     SELECT field_id, field, detected_type AS kind, NOT nullable AS required,
            CASE WHEN min_length IS NOT NULL THEN greatest(1, min_length - 2) END AS min_length, max_length + 10 AS max_length,
@@ -113,7 +113,7 @@ block("checks", f"""
            coalesce(length(value) < min_length, false) AS short_bad, coalesce(length(value) > max_length, false) AS long_bad,
            coalesce(kind IN ('integer', 'float') AND x < min_value, false) AS below_bad,
            coalesce(kind IN ('integer', 'float') AND x > max_value, false) AS above_bad,
-           coalesce(categorical AND value IS NOT NULL AND allowed_value IS NULL, false) AS category_bad,
+           coalesce(categorical AND value IS NOT NULL AND allowed_value IS NULL AND field_id IN (SELECT field_id FROM tallowed), false) AS category_bad,
            kind IN ({ctes.text_list(list(V.PATTERNS))}) AS patterned,
            min_length, max_length
     FROM (SELECT c.*, r.* EXCLUDE (field_id, field), a.value AS allowed_value, {ctes.sql_number('c.value')} AS x

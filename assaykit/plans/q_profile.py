@@ -220,38 +220,12 @@ def schema_info_view(spark, sf_dir):
     return rows.select("field", "detected_type", "nullable", F.round("overall_quality", 6).alias("quality_score"), "sample_values")
 
 
-# ---- learn on the first rows, judge all -------------------------------------------------------
-_FIRST = [f for f in X.DIRTY_FIELDS if f in ("name", "email", "phone")]
-X.block("first_rows", f"SELECT * FROM (SELECT * FROM cleaned ORDER BY cust_key LIMIT {V.LEARN_ROWS})", ["cleaned"])
-histogram_block("fhist", "first_rows", _FIRST)
-profile_blocks("fprof", "fhist")
-
-
-def _judged(alias: str, f: str) -> str:
-    bad_type = " ".join(f"WHEN '{t}' THEN NOT {_m(t, 'c.' + f)}" for t in ("email", "phone"))
-    return f"""SELECT c.cust_key, {_FIRST.index(f)} AS i, {f} IS NULL AS blank, p.nullable,
-               CASE WHEN {f} IS NULL THEN CASE WHEN p.nullable THEN 0.9 ELSE 0.0 END ELSE
-               CAST(CASE WHEN CASE p.detected_type {bad_type} ELSE false END THEN 0.5 ELSE 1.0 END AS DOUBLE)
-               * CAST(CASE WHEN length({f}) < greatest(1, p.min_length - 2) THEN 0.7 WHEN length({f}) > p.max_length + 10 THEN 0.8 ELSE 1.0 END AS DOUBLE)
-               * CAST(CASE WHEN CASE p.detected_type {bad_type} ELSE false END THEN 0.6 ELSE 1.0 END AS DOUBLE) END AS score,
-               {f} IS NOT NULL AND (CASE p.detected_type {bad_type} ELSE false END OR coalesce(length({f}) < greatest(1, p.min_length - 2) OR length({f}) > p.max_length + 10, false)) AS bad
-               FROM cleaned c JOIN fprof p ON p.field = '{f}'"""
-
-
-def _m(kind: str, col: str) -> str:
-    from .ctes import sql_matches
-
-    return sql_matches(kind, col)
-
-
-@query(with_blocks(["cleaned", "fprof"], f"""
-    SELECT count(*) AS total_records, count(*) FILTER (WHERE ok) AS valid_records, round(avg(score), 6) AS avg_quality_score
-    FROM (SELECT cust_key, NOT bool_or(bad OR (blank AND NOT nullable)) AND sum(score) / {len(_FIRST)} >= 0.6 AS ok, sum(score) / {len(_FIRST)} AS score
-          FROM ({' UNION ALL '.join(_judged(f, f) for f in _FIRST)}) GROUP BY cust_key)"""))
+# ---- learn on the training rows, judge all ------------------------------------------------------
+@query(with_blocks(["res"], """
+    SELECT count(*) AS total_records, count(*) FILTER (WHERE is_valid) AS valid_records, round(avg(quality_score), 6) AS avg_quality_score FROM res"""))
 def learn_then_validate(spark, sf_dir):
-    """Rules from the first thousand records by key, applied to all of them."""
-    df = X.cleaned(spark, sf_dir).select("cust_key", *_FIRST)
-    rules = R.learn_rules(df.orderBy("cust_key").limit(V.LEARN_ROWS), _FIRST)
-    res = E.validate(df, rules, ["cust_key"])
+    """Rules from all training rows and all fields, applied to all records."""
+    rules = R.learn_rules(X.train(spark, sf_dir), X.DIRTY_FIELDS)
+    res = E.validate(X.cleaned(spark, sf_dir), rules, ["cust_key"])
     return res.agg(F.count(F.lit(1)).alias("total_records"), F.count_if("is_valid").alias("valid_records"),
                    F.round(F.avg("quality_score"), 6).alias("avg_quality_score"))

@@ -145,28 +145,25 @@ def jobs_overview(spark, sf_dir):
 
 
 @query(with_blocks(["results"], """
-    SELECT job_id, count(*) FILTER (WHERE regexp_matches(split_part(issue, ':', 1), '(?i)missing|null|empty')) AS missing_count
-    FROM (SELECT job_id, unnest(issues) AS issue FROM results) GROUP BY job_id"""))
+    SELECT job_id, CAST(sum(len(list_filter(issues, lambda i: regexp_matches(split_part(i, ':', 1), '(?i)missing|null|empty')))) AS BIGINT) AS missing_count
+    FROM results GROUP BY job_id"""))
 def missing_by_job(spark, sf_dir):
     return G.missing_by_job(X.results(spark, sf_dir))
 
 
-@query(with_blocks(["jobs"], """
-    SELECT job_id, round(CASE WHEN invalid_records <= 0 OR total_records <= 0 THEN 0
-        WHEN contains(job_name, 'orders') AND invalid_records > 50 THEN least(15.0, invalid_records / total_records * 100 * 0.4)
-        WHEN contains(job_name, 'beneficiary') THEN least(8.0, invalid_records / total_records * 100 * 0.3)
-        WHEN contains(job_name, 'training') OR contains(job_name, 'prediction') THEN least(5.0, invalid_records / total_records * 100 * 0.2)
-        ELSE least(10.0, invalid_records / total_records * 100 * 0.25) END, 9) AS missing_pct FROM jobs"""))
-def missing_pct_estimate(spark, sf_dir):
-    return X.jobs(spark, sf_dir).select("job_id", F.round(G.missing_pct_estimate(50), 9).alias("missing_pct"))
+@query(with_blocks(["results"], f"""
+    SELECT job_id, round(sum(len(list_filter(issues, lambda i: regexp_matches(split_part(i, ':', 1), '(?i)missing|null|empty')))) / (count(*) * {len(X.DIRTY_FIELDS)}) * 100, 9) AS missing_pct
+    FROM results GROUP BY job_id"""))
+def missing_pct(spark, sf_dir):
+    """The counted share of missing cells; no guess from a job's name."""
+    return rounded(G.missing_pct(X.results(spark, sf_dir), len(X.DIRTY_FIELDS)), "missing_pct")
 
 
 @query(with_blocks(["results", "jobs"], f"""
     SELECT job_id, count(*) AS result_count FROM results WHERE job_id IN (SELECT job_id FROM jobs WHERE {since('created_at')}) GROUP BY job_id"""))
 def validations_for_jobs(spark, sf_dir):
     keys = G.recent(X.jobs(spark, sf_dir), "created_at", X.now(), DAYS).select("job_id")
-    counts = X.results(spark, sf_dir).groupBy("job_id").agg(F.count(F.lit(1)).alias("result_count"))
-    return counts.join(keys, "job_id", "left_semi")
+    return X.results(spark, sf_dir).join(keys, "job_id", "left_semi").groupBy("job_id").agg(F.count(F.lit(1)).alias("result_count"))
 
 
 @query(with_blocks(["jobs"], """
@@ -337,29 +334,29 @@ block("rstats", """SELECT count(*) AS total_records, count(*) FILTER (WHERE is_v
     count(*) FILTER (WHERE is_valid AND quality_level = 'poor') AS poor FROM results""", ["results"])
 
 
-@query(with_blocks(["rstats", "patterns"], """
+@query(with_blocks(["rstats", "patterns", "jobs"], """
     SELECT unnest(list_filter([
         CASE WHEN valid_records / total_records >= 0.95 THEN 'Excellent data quality with very high success rate' WHEN valid_records / total_records >= 0.85 THEN 'Good data quality with acceptable success rate'
              WHEN valid_records / total_records >= 0.70 THEN 'Fair data quality - consider data source review' ELSE 'Poor data quality - immediate attention required' END,
         CASE WHEN excellent / valid_records >= 0.8 THEN 'Majority of valid records have excellent quality scores'
              WHEN poor / valid_records >= 0.3 THEN 'High percentage of poor quality records - review data collection processes' END,
         CASE WHEN (excellent + good) / valid_records >= 0.9 THEN 'Strong overall data quality suitable for production use' END,
+        CASE WHEN speed >= 1000 THEN 'High processing throughput achieved' WHEN speed < 100 THEN 'Low processing throughput - consider optimization' END,
         'Most common validation issue: ' || error_type,
         CASE WHEN count / invalid_records > 0.5 THEN 'Over 50% of errors are related to ' || error_type || ' - focus on fixing this issue' END], lambda x: x IS NOT NULL)) AS insight
-    FROM rstats, (SELECT * FROM patterns ORDER BY count DESC, error_type LIMIT 1)"""))
+    FROM rstats, (SELECT * FROM patterns ORDER BY count DESC, error_type LIMIT 1), (SELECT sum(total_records) / sum(processing_duration_seconds) AS speed FROM jobs)"""))
 def report_insights(spark, sf_dir):
     results = X.results(spark, sf_dir)
     top = G.error_patterns(results, 1).select(F.col("error_type").alias("top_error"), F.col("count").alias("top_error_count"))
-    return I.report_insights(E.ingest_stats(results).join(top, how="left")).select("insight")  # one row each
+    speed = X.jobs(spark, sf_dir).agg((F.sum("total_records") / F.sum("processing_duration_seconds")).alias("throughput_records_per_second"))
+    return I.report_insights(E.ingest_stats(results).join(top, how="left").crossJoin(speed)).select("insight")  # one row each
 
 
-@query(with_blocks(["jobs"], "SELECT date_trunc('month', created_at)::DATE AS run_month, count(*) AS runs, round(avg(success_rate), 9) AS success_rate, CAST(sum(total_records) AS BIGINT) AS total_records FROM jobs GROUP BY 1"))
+@query(with_blocks(["jobs"], "SELECT created_at AS run_at, job_id, round(success_rate, 9) AS success_rate, total_records FROM jobs"))
 def quality_trend(spark, sf_dir):
-    """Success and volume over the runs, by month."""
-    month = F.date_trunc("month", "created_at").cast("date").alias("run_month")
-    rows = X.jobs(spark, sf_dir).groupBy(month).agg(
-        F.count(F.lit(1)).alias("runs"), F.avg("success_rate").alias("success_rate"), F.sum("total_records").alias("total_records"))
-    return rounded(rows, "success_rate").orderBy("run_month")
+    """Success and volume, one row per run in the order of time."""
+    rows = X.jobs(spark, sf_dir).select(F.col("created_at").alias("run_at"), "job_id", "success_rate", "total_records")
+    return rounded(rows, "success_rate").orderBy("run_at", "job_id")
 
 
 @query(with_blocks(["res"], """SELECT cust_key, CASE WHEN is_valid THEN 'Valid' ELSE 'Invalid' END AS status, round(quality_score, 2) AS quality_score,

@@ -348,18 +348,24 @@ def validate_outlier(spark, sf_dir):
     return df.filter(far).select("cust_key", F.lit("outlier").alias("issue_type"))
 
 
-_LINE = ["l_orderkey", "l_linenumber", "l_returnflag"]
+def _repeated(spark, sf_dir):
+    """Order lines, every hundredth order's twice; whole records."""
+    lines = X.read_table(spark, sf_dir, "lineitem")
+    return lines.unionByName(lines.filter(F.col("l_orderkey") % 100 == 0))
 
 
-@query(f"SELECT {', '.join(_LINE)}, count(*) AS copies FROM lineitem GROUP BY {', '.join(_LINE)} HAVING count(*) > 1")
+_REPEATED = "(SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_orderkey % 100 = 0)"
+
+
+@query(f"SELECT *, count(*) AS copies FROM {_REPEATED} GROUP BY ALL HAVING count(*) > 1")
 def duplicate_records(spark, sf_dir):
-    return K.duplicate_records(X.read_table(spark, sf_dir, "lineitem").select(*_LINE))
+    return K.duplicate_records(_repeated(spark, sf_dir))
 
 
 @query(f"""SELECT CAST(sum(n) AS BIGINT) AS records, count(*) AS distinct_records, round(count(*) / sum(n), 6) AS uniqueness
-           FROM (SELECT count(*) AS n FROM lineitem GROUP BY {', '.join(_LINE)})""")
+           FROM (SELECT n FROM (SELECT *, count(*) AS n FROM {_REPEATED} GROUP BY ALL))""")
 def record_uniqueness(spark, sf_dir):
-    return rounded(K.uniqueness(X.read_table(spark, sf_dir, "lineitem").select(*_LINE)), "uniqueness")
+    return rounded(K.uniqueness(_repeated(spark, sf_dir)), "uniqueness")
 
 
 @query(f"""SELECT o_orderkey, greatest(0.0, least(1.0, 2.0 - date_diff('day', CAST(o_orderdate AS DATE), DATE '{NOW[:10]}') / 1000)) AS timeliness FROM orders""")

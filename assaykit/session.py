@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -35,13 +36,14 @@ def build_session(master: str | None = None, app: str = "assaykit", **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a temporary folder: on a cluster every executor has to
-    see the files.
+    Where it is unset, only a session that is one process on one machine (``local[..]``, as in tests)
+    gets a folder of its own; ``local-cluster`` and every cluster must name one that all executors
+    share.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_DIRS:

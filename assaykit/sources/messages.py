@@ -12,7 +12,7 @@ JSON_OPTIONS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timestampNTZ
 def encode(df: DataFrame, key: str | None = None, columns: list[str] | None = None) -> DataFrame:
     """``key, value``: the value is the record as JSON with ISO times, null fields included."""
     key_column = F.col(f"`{key}`").cast("string") if key else F.lit(None).cast("string")
-    value = F.to_json(F.struct(*(columns or df.columns)), {**JSON_OPTIONS, "ignoreNullFields": "false"})
+    value = F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns or df.columns]), {**JSON_OPTIONS, "ignoreNullFields": "false"})
     return df.select(key_column.alias("key"), value.alias("value"))
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed_values as V
 
@@ -29,10 +32,34 @@ def json_records(df: DataFrame, payload: str, keep: list[str]) -> DataFrame:
     return df.select(*keep, F.posexplode(record_list(F.col(payload))).alias("record_index", "record"))
 
 
+def _outside_quotes(sep: str) -> str:
+    """The separator where an even number of quotes follows."""
+    return sep + r'(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
+
+def _unquoted(cell: Column) -> Column:
+    bare = F.regexp_extract(cell, r'(?s)^\s*"(.*)"\s*$', 1)
+    return F.when(cell.rlike(r'(?s)^\s*".*"\s*$'), F.replace(bare, F.lit('""'), F.lit('"'))).otherwise(cell)
+
+
 def csv_records(df: DataFrame, payload: str, schema: str, keep: list[str], sep: str = ",") -> DataFrame:
-    """Records of CSV text with a header line."""
-    lines = F.split(F.rtrim(F.regexp_replace(payload, "\r\n?", "\n")), "\n")
-    rows = df.select(*keep, F.posexplode(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))).alias("record_index", "line"))
-    parsed = rows.filter(F.trim("line") != "").select(
-        *keep, "record_index", F.from_csv("line", F.lit(schema), {"sep": sep, "mode": "PERMISSIVE", "escape": '"'}).alias("record"))
-    return parsed.select(*keep, "record_index", "record.*")
+    """Records of CSV text by the names of its own header line, whatever their order.
+
+    Quoted cells may hold separators and line breaks. A field the header lacks, and a cell that does
+    not fit its type or is empty, is null.
+    """
+    text = F.rtrim(F.regexp_replace(payload, "\r\n?", "\n"))
+    rows = df.select(*keep, F.split(text, _outside_quotes("\n")).alias("__lines"))
+    split = lambda line: F.transform(F.split(line, _outside_quotes(re.escape(sep))), _unquoted)
+    header = F.transform(split(F.get("__lines", F.lit(0))), F.trim)
+    lines = rows.select(*keep, header.alias("__header"), F.posexplode(
+        F.slice("__lines", 2, F.greatest(F.size("__lines") - 1, F.lit(0)))).alias("record_index", "__line"))
+    cells = lines.filter(F.trim("__line") != "").withColumn("__cells", split(F.col("__line")))
+    fields = T.StructType.fromDDL(schema).fields
+
+    def of(field: T.StructField) -> Column:
+        at = F.array_position("__header", field.name).cast("int")
+        cell = F.when(at > 0, F.get("__cells", at - 1))
+        return F.when(cell != "", cell).try_cast(field.dataType).alias(field.name)
+
+    return cells.select(*keep, "record_index", *[of(f) for f in fields])

@@ -32,10 +32,11 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: str | T.StructT
     return reader_nulls(reader.csv(path))
 
 
-def separator_counts(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def separator_counts(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8") -> DataFrame:
     """Fewest and most fields per line under each candidate separator, in one pass; quoted parts do not count."""
     bare = F.regexp_replace("value", '"[^"]*"', "")
-    sizes = spark.read.text(path).filter(F.trim("value") != "").select(*[
+    lines = spark.read.options(sep="\x01", quote="", encoding=encoding, multiLine=encoding.upper().startswith("UTF-16")).schema("value string").csv(path)
+    sizes = lines.filter(F.trim("value") != "").select(*[
         (F.length(bare) - F.length(F.replace(bare, F.lit(s))) + 1).alias(f"n{i}") for i, s in enumerate(V.SEPARATORS)])
     wide = sizes.agg(*[f(f"n{i}").alias(f"{n}{i}") for i in range(len(V.SEPARATORS)) for n, f in (("min", F.min), ("max", F.max))])
     return wide.select(F.inline(F.array(*[
@@ -43,9 +44,9 @@ def separator_counts(spark: SparkSession, path: str | list[str]) -> DataFrame:
         for i, s in enumerate(V.SEPARATORS)])))
 
 
-def sniff_separator(spark: SparkSession, path: str | list[str]) -> str:
+def sniff_separator(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8") -> str:
     """The separator that splits every line alike into the most fields; else the one with the largest minimum."""
-    rows = separator_counts(spark, path).collect()  # one row per candidate
+    rows = separator_counts(spark, path, encoding).collect()  # one row per candidate
     steady = [r for r in rows if r["fewest"] == r["most"] and (r["fewest"] or 0) > 1]
     best = max(steady or rows, key=lambda r: (r["fewest"] or 0, -r["rank"]))
     return best["separator"]
@@ -55,14 +56,15 @@ def read_csv_sniffed(spark: SparkSession, path: str | list[str], schema: str | T
     return read_csv(spark, path, schema, sniff_separator(spark, path))
 
 
-def read_csv_marked(spark: SparkSession, path: str | list[str], schema: T.StructType, sep: str = ",", header: bool = True) -> DataFrame:
+def read_csv_marked(spark: SparkSession, path: str | list[str], schema: T.StructType, sep: str = ",", header: bool = True,
+                    encoding: str = "UTF-8", mode: str = "PERMISSIVE", multi_line: bool = False) -> DataFrame:
     """CSV that keeps malformed lines: their text is in ``_corrupt_record``.
 
     The fields leave the scan as one struct, so all of them are parsed whatever a query reads: a
     line must not look sound because its broken field was pruned.
     """
     full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    reader = spark.read.options(header=header, sep=sep, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, escape='"')
+    reader = spark.read.options(header=header, sep=sep, encoding=encoding, multiLine=multi_line, mode=mode, columnNameOfCorruptRecord=CORRUPT, escape='"')
     lines = reader.schema(full).csv(path)
     return reader_nulls(lines.select(F.inline(F.array(F.struct(*lines.columns)))))
 
@@ -111,11 +113,57 @@ def format_of(path: str) -> str:
     return V.READER_FORMATS[extension]
 
 
-def load(spark: SparkSession, path: str, fmt: str | None = None, schema: str | T.StructType | None = None, row_tag: str = "row") -> DataFrame:
-    """Read a path by its extension or by the named format."""
+def encoding_of(spark: SparkSession, path: str) -> str:
+    """Encoding of all files under a path, as a name that readers take; an ASCII-only part does not hide what the others are."""
+    labels = {r["encoding"] for r in encoding_audit(spark, path).select("encoding").distinct().collect()}  # four labels at most
+    return next((V.READER_ENCODINGS[x] for x in V.READER_ENCODINGS if x in labels), "UTF-8")
+
+
+def holds_lines(spark: SparkSession, path: str | list[str]) -> bool:
+    """Whether JSON files hold one object per line: the first line with text is a whole object."""
+    first = spark.read.text(path).filter(F.trim("value") != "").select(F.json_object_keys("value").isNotNull().alias("whole")).limit(1).collect()
+    return bool(first and first[0]["whole"])
+
+
+def read_json_either(spark: SparkSession, path: str | list[str], schema: str | T.StructType | None = None) -> DataFrame:
+    """JSON documents or JSON lines under one extension; lines that turn out to be no objects raise an error, none is lost."""
+    if not holds_lines(spark, path):
+        return read_json(spark, path, schema)
+    reader = spark.read.option("mode", "FAILFAST")
+    return (reader.schema(schema) if schema is not None else reader).json(path)
+
+
+def read_csv_any(spark: SparkSession, path: str | list[str], schema: str | T.StructType | None = None, sep: str | None = None,
+                 encoding: str | None = "UTF-8", malformed: str = "fail") -> DataFrame:
+    """CSV whose separator and encoding may be unknown.
+
+    Without ``sep`` the comma is tried; only if it gives a single column the lines are counted for the
+    other separators. ``encoding`` None looks at the bytes. With a schema, lines that do not fit it
+    raise an error (``malformed="fail"``) or are kept with their text (``"keep"``, in
+    ``_corrupt_record``): none is cut in silence. Without a schema all columns are text.
+    """
+    encoding = encoding or encoding_of(spark, path)
+    whole = encoding.upper().startswith("UTF-16")  # its line ends are two bytes: such a file is read in one piece
+    if sep is None:
+        sep = ","
+        if len(spark.read.options(header=True, encoding=encoding, multiLine=whole).csv(path).columns) <= 1:
+            sep = sniff_separator(spark, path, encoding)
+    if schema is None:
+        return read_csv(spark, path, None, sep, encoding, whole)
+    full = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    if malformed == "keep":
+        return read_csv_marked(spark, path, full, sep, encoding=encoding, multi_line=whole)
+    if malformed != "fail":
+        raise ValueError("malformed is 'fail' or 'keep'")
+    return read_csv_marked(spark, path, full, sep, encoding=encoding, mode="FAILFAST", multi_line=whole).drop(CORRUPT)
+
+
+def load(spark: SparkSession, path: str, fmt: str | None = None, schema: str | T.StructType | None = None, row_tag: str = "row",
+         sep: str | None = None, encoding: str | None = "UTF-8", malformed: str = "fail") -> DataFrame:
+    """Read a path by its extension or by the named format; the last three are those of ``read_csv_any``."""
     readers = {
-        "csv": lambda: read_csv(spark, path, schema),
-        "json": lambda: read_json(spark, path, schema),
+        "csv": lambda: read_csv_any(spark, path, schema, sep, encoding, malformed),
+        "json": lambda: read_json_either(spark, path, schema),
         "jsonl": lambda: read_json(spark, path, schema, lines=True),
         "parquet": lambda: read_parquet(spark, path, schema),
         "delimited": lambda: read_delimited(spark, path, schema),

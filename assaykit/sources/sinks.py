@@ -49,8 +49,11 @@ def read_high_quality(spark, path: str) -> DataFrame:
 
 
 def append_fact(fact: DataFrame, path: str, partition: str) -> None:
-    """Append to a fact table. ``rebalance`` keeps few files per partition value and splits a large one."""
-    fact.hint("rebalance", partition).write.mode("append").partitionBy(partition).parquet(path)
+    """Add facts to a table by job or day, whose partitions are replaced: a load that runs again leaves no second copy.
+
+    ``rebalance`` keeps few files per partition value and splits a large one.
+    """
+    fact.hint("rebalance", partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
 def append_jdbc(fact: DataFrame, url: str, table: str, batch: int = 5000, **properties: str) -> None:

@@ -20,10 +20,13 @@ from ..sources import messages as M
 from ..sources.sinks import disposition
 
 
-def read_files(spark: SparkSession, path: str, schema: str | T.StructType, fmt: str = "parquet", per_trigger: int | None = None) -> DataFrame:
-    """Stream of the files under a path."""
-    reader = spark.readStream.format(fmt).schema(schema)
-    return (reader.option("maxFilesPerTrigger", per_trigger) if per_trigger else reader).load(path)
+#: files of a micro-batch unless the caller says otherwise
+FILES_PER_TRIGGER = 1000
+
+
+def read_files(spark: SparkSession, path: str, schema: str | T.StructType, fmt: str = "parquet", per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
+    """Stream of the files under a path, a bounded number of them in each micro-batch."""
+    return spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", per_trigger).load(path)
 
 
 def validate_stream(messages: DataFrame, schema: str | T.StructType, rules: list[FieldRule], keys: list[str]) -> DataFrame:
@@ -38,10 +41,12 @@ def run_available(df: DataFrame, path: str, checkpoint: str, fmt: str = "parquet
 
 
 def finish(query: StreamingQuery, timeout: int | None = None) -> None:
-    """Wait for the end; a query over its time is stopped and goes on from its checkpoint next time."""
+    """Wait for the end. A query over its time is stopped and raises: what it has written is a part, which the
+    next run completes from the checkpoint."""
     done = query.awaitTermination(timeout) if timeout else (query.awaitTermination() or True)
     if not done:
         query.stop()
+        raise TimeoutError(f"the stream was not done after {timeout} s; run it again to go on from its checkpoint")
 
 
 def run_batches(df: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None]) -> None:
@@ -84,7 +89,12 @@ def running_stats(validated: DataFrame) -> DataFrame:
         (ratio(F.count_if("is_valid"), n) * 100).alias("success_rate_pct"))
 
 
-def hourly(df: DataFrame, stamp: str, by: list[str | Column], late: str = "1 hour") -> DataFrame:
-    """Counts per hour and group; state of an hour is dropped once the watermark has passed it."""
-    windowed = df.withWatermark(stamp, late).groupBy(F.window(stamp, "1 hour").alias("w"), *by).agg(F.count(F.lit(1)).alias("count"))
+def hourly(df: DataFrame, stamp: str, by: list[str | Column], late: str | None = None) -> DataFrame:
+    """Counts per hour and group.
+
+    With ``late`` the state of an hour is dropped once the watermark has passed it, and rows that come
+    later still are not counted; a replay of files in any order must not set it.
+    """
+    rows = df.withWatermark(stamp, late) if late else df
+    windowed = rows.groupBy(F.window(stamp, "1 hour").alias("w"), *by).agg(F.count(F.lit(1)).alias("count"))
     return windowed.select(F.col("w.start").alias("hour"), *[c for c in windowed.columns if c != "w"])

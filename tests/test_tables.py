@@ -108,7 +108,7 @@ def test_structured_store_skips_reserved_names_and_bad_values(spark):
     df = spark.createDataFrame([(1, "5", "x"), (2, "five", "y")], "k long, n string, id string")
     out = S.structured(df, {"n": "integer", "id": "string"}, row_index=F.col("k"), job_id="j", source_file="f", ingestion_time=F.lit("2024-01-01").cast("timestamp_ntz"),
                        status=F.lit("valid"), score=F.lit(1.0))
-    assert out.columns == ["id", "source_file", "ingestion_time", "job_id", "row_index", "validation_status", "quality_score", "n"]
+    assert out.columns == ["id", "job_id", "source_file", "row_index", "validation_status", "quality_score", "ingestion_time", "n"]
     assert [(r["id"], r["n"]) for r in out.collect()] == [("j-1", 5), ("j-2", None)]
 
 
