@@ -258,6 +258,34 @@ def with_categories(df: DataFrame, columns: list[str] | None = None, k: int = V.
     return base.join(F.broadcast(tops), ID, "left")
 
 
+def many_valued(df: DataFrame, columns: list[str], rsd: float = 0.02) -> list[str]:
+    """Columns that certainly have too many distinct values to be categorical, from one pass of sketches.
+
+    The sketch has to exceed the limit by five of its standard errors, so no column near the limit is
+    taken for one of them. One row reaches the driver.
+    """
+    texts = df.select(*[as_text(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
+    seen = texts.agg(F.count(F.lit(1)).alias("total"), *[F.approx_count_distinct(f"c{i}", rsd).alias(f"u{i}") for i in range(len(columns))]).first()
+    return [c for i, c in enumerate(columns) if seen[f"u{i}"] > (1 + 5 * rsd) * V.CATEGORY_RATIO * seen["total"] > 0]
+
+
+def rule_profile(df: DataFrame, columns: list[str], k: int = V.RULE_VALUES, order: list[str] | None = None) -> DataFrame:
+    """What rules are made from, without moving the values of columns that hardly repeat.
+
+    Columns that a sketch shows to be many-valued are profiled in one pass without a data-sized
+    exchange; only the others get an exact histogram. Types, bounds and lists do not depend on which
+    way a column took.
+    """
+    many = set(many_valued(df, columns))
+    few = [c for c in columns if c not in many]
+    parts = [with_categories(df, few, k, order)] if few else []
+    if many:
+        wide = profile_approx(df, [c for c in columns if c in many], order)
+        parts.append(wide.withColumn("categories", F.lit(None).cast("array<string>")))
+    place = F.array_position(F.array(*[F.lit(c) for c in columns]), F.col("field")).cast("int") - 1
+    return reduce(lambda a, b: a.unionByName(b), parts).withColumn(ID, place)
+
+
 def field_metrics(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Completeness, uniqueness and null rate per column; an empty text counts as null."""
     columns = columns or df.columns

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
-from .profile import with_categories
+from .profile import rule_profile
 
 
 @dataclass(frozen=True)
@@ -54,7 +54,7 @@ def learn_rules(df: DataFrame, columns: list[str] | None = None, max_categories:
     A categorical column with more than ``max_categories`` values has no list of allowed values.
     """
     columns = columns or df.columns
-    rows = rule_rows(with_categories(df, columns, max_categories, order)).collect()
+    rows = rule_rows(rule_profile(df, columns, max_categories, order)).collect()
     return [
         FieldRule(
             field=r["field"],
@@ -73,7 +73,7 @@ def learn_rules(df: DataFrame, columns: list[str] | None = None, max_categories:
 def learn_definition(df: DataFrame, columns: list[str] | None = None, max_categories: int = V.RULE_VALUES) -> list[FieldRule]:
     """The inferred definition: the bounds as seen, without the tolerance that rules get."""
     columns = columns or df.columns
-    rows = with_categories(df, columns, max_categories).collect()  # one row per column
+    rows = rule_profile(df, columns, max_categories).collect()  # one row per column
     return [
         FieldRule(
             field=r["field"], kind=r["detected_type"], required=r["null_count"] == 0,

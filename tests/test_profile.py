@@ -129,3 +129,15 @@ def test_long_values_profile_alike_as_hashes(spark):
     for field, want in plain.items():
         for name, value in want.items():
             assert hashed[field][name] == (pytest.approx(value) if isinstance(value, float) else value), (field, name)
+
+
+def test_rules_do_not_move_columns_that_hardly_repeat(spark):
+    df = spark.range(3000).select(F.concat(F.lit("user"), F.col("id"), F.lit("@mail.example.org")).alias("mail"), (F.col("id") % 7).alias("kind"))
+    assert P.many_valued(df, ["mail", "kind"]) == ["mail"]
+    alone = P.rule_profile(df, ["mail"])._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(field_id" in alone and not any("value" in line for line in alone.splitlines() if "hashpartitioning" in line)
+    whole = {r["field"]: r for r in P.rule_profile(df, ["kind", "mail"]).collect()}
+    exact = {r["field"]: r for r in P.with_categories(df, ["kind", "mail"]).collect()}
+    for name, row in exact.items():
+        for c in ("field_id", "detected_type", "nullable", "min_length", "max_length", "min_value", "max_value", "is_categorical", "categories"):
+            assert whole[name][c] == row[c]
