@@ -209,13 +209,14 @@ def dashboard_errors(jobs: DataFrame, now: Column, days: int = 30, n: int = 10)
 
 
 def dashboard_summary(jobs: DataFrame, now: Column, days: int = 30) -> DataFrame:
-    """Totals and the clamped mean of the three daily rates."""
-    total = dashboard_status(jobs, now, days).agg(F.coalesce(F.sum("count"), F.lit(0)).alias("total_jobs"))
-    rates = sum((F.coalesce(c, F.lit(0.0)) for c in ("completeness", "validity", "consistency")), F.lit(0.0))
+    """Totals and the clamped mean of the three daily rates, from one pass: rows per day, then one row."""
+    daily = recent(jobs, "created_at", now, days).groupBy(F.to_date("created_at").alias("date")).agg(
+        count().alias("jobs"), F.avg("avg_quality_score").alias("completeness"), F.avg("success_rate").alias("validity"),
+        count_where(F.col("status") == "failed").alias("failed"), F.coalesce(F.sum("invalid_records"), F.lit(0)).alias("invalid"))
+    rates = sum((F.coalesce(c, F.lit(0.0)) for c in ("completeness", "validity", "completeness")), F.lit(0.0))
     score = F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.coalesce(F.avg(rates / 3) * 100, F.lit(0.0))))
-    trend = dashboard_trend(jobs, now, days).agg(score.alias("avg_quality_score"))
-    errors = dashboard_errors(jobs, now, days).agg(F.coalesce(F.sum("count"), F.lit(0)).alias("total_errors"))
-    return total.crossJoin(trend).crossJoin(errors)  # three frames of one row
+    return daily.agg(F.coalesce(F.sum("jobs"), F.lit(0)).alias("total_jobs"), score.alias("avg_quality_score"),
+                     F.coalesce(F.sum(F.col("failed") + F.col("invalid")), F.lit(0)).alias("total_errors"))
 
 
 def processing_timeline(jobs: DataFrame, now: Column, days: int = 7) -> DataFrame:

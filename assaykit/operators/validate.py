@@ -163,13 +163,18 @@ def bad(results: DataFrame) -> DataFrame:
     return results.filter(~F.col("is_valid"))
 
 
+def is_high_quality(floor: float = V.ROUTE_SCORE) -> Column:
+    """Valid and at or above a score."""
+    return F.col("is_valid") & (F.col("quality_score") >= floor)
+
+
 def high_quality(results: DataFrame, floor: float = V.ROUTE_SCORE) -> DataFrame:
     """Valid records at or above a score; the rest is ``low_quality``."""
-    return results.filter(F.col("is_valid") & (F.col("quality_score") >= floor))
+    return results.filter(is_high_quality(floor))
 
 
 def low_quality(results: DataFrame, floor: float = V.ROUTE_SCORE) -> DataFrame:
-    return results.filter(~(F.col("is_valid") & (F.col("quality_score") >= floor)))
+    return results.filter(~is_high_quality(floor))
 
 
 def ingest_stats(results: DataFrame) -> DataFrame:

@@ -44,18 +44,27 @@ def scan_csv_sniff_sep(spark, sf_dir):
     return out
 
 
-@query("""SELECT name AS folder, encoding, issue AS encoding_issue FROM (VALUES ('latin', 'latin-1', true), ('plain', 'utf-8', false), ('wide', 'utf-16', false)) t(name, encoding, issue)
-          WHERE (SELECT count(*) FROM documents WHERE lang = 'fr') > 0""")
+_LATIN = r"[^\x20-\x7e\xa0-\xff]"
+
+
+@query(rf"""SELECT name AS folder, encoding, issue AS encoding_issue, (SELECT count(*) FROM documents) AS records,
+            (SELECT CAST(sum(length(regexp_replace(coalesce(text, ''), '[^\x20-\x7e\x{{a0}}-\x{{ff}}]', ' ', 'g'))) AS BIGINT) FROM documents) AS characters
+            FROM (VALUES ('latin', 'latin-1', true), ('plain', 'utf-8', false), ('wide', 'utf-16', false)) t(name, encoding, issue)""")
 def encoding_audit(spark, sf_dir):
-    """The same documents written in three encodings; every file of a folder gets one label."""
-    root = work_path(spark, "encodings")
+    """All documents written in three encodings and read back by the label that their bytes get."""
+    root, out = work_path(spark, "encodings"), None
+    plain = {"sep": "\t", "quote": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     # one source row per line; C1 bytes do not occur in the text
-    text = X.read_table(spark, sf_dir, "documents").filter(F.col("lang") == "fr").select(F.regexp_replace("text", r"[^\x20-\x7e -ÿ]", " ").alias("t"))
+    text = X.read_table(spark, sf_dir, "documents").select(F.concat(F.lit("|"), F.regexp_replace(F.coalesce("text", F.lit("")), _LATIN, " ")).alias("t"))
     for folder, encoding in (("plain", "UTF-8"), ("latin", "ISO-8859-1"), ("wide", "UTF-16")):
-        text.write.options(encoding=encoding, sep="\t", quoteAll=False).csv(f"{root}/{folder}")
-    audit = D.encoding_audit(spark, f"{root}/*")
-    folder = F.regexp_extract("file", r"/([^/]+)/[^/]+$", 1).alias("folder")
-    return audit.select(folder, "encoding", "encoding_issue").distinct()
+        text.write.options(encoding=encoding, **plain).csv(f"{root}/{folder}")
+        found = D.encoding_of(spark, f"{root}/{folder}")
+        back = spark.read.options(encoding=found, multiLine=found == "UTF-16", **plain).schema("t string").csv(f"{root}/{folder}")
+        label = {v: k for k, v in V.READER_ENCODINGS.items()}[found]
+        part = back.agg(F.count(F.lit(1)).alias("records"), F.sum(F.length("t") - 1).alias("characters")).select(
+            F.lit(folder).alias("folder"), F.lit(label).alias("encoding"), F.lit(label not in ("utf-8", "utf-16")).alias("encoding_issue"), "records", "characters")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 _LINE = T.StructType([T.StructField("id", T.LongType()), T.StructField("city", T.StringType()), T.StructField("amount", T.DoubleType())])

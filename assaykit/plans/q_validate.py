@@ -130,17 +130,13 @@ def score_warnings(spark, sf_dir):
 # ---- splits -----------------------------------------------------------------------------------------
 @query(with_blocks(["res", "cleaned"], "SELECT CASE WHEN is_valid THEN 'good' ELSE 'bad' END AS side, c.* FROM res JOIN cleaned c USING (cust_key)"))
 def split_good_bad(spark, sf_dir):
-    r = res(spark, sf_dir)
-    keep = ["cust_key", *X.DIRTY_FIELDS]
-    a = E.good(r).select(F.lit("good").alias("side"), *keep)
-    return a.unionByName(E.bad(r).select(F.lit("bad").alias("side"), *keep))
+    """Both sides from one pass: the side is a column."""
+    return res(spark, sf_dir).select(F.when(F.col("is_valid"), "good").otherwise("bad").alias("side"), "cust_key", *X.DIRTY_FIELDS)
 
 
 @query(with_blocks(["res"], "SELECT cust_key, CASE WHEN is_valid AND quality_score >= 0.95 THEN 'high' ELSE 'low' END AS side FROM res"))
 def split_by_quality(spark, sf_dir):
-    r = res(spark, sf_dir)
-    a = E.high_quality(r, 0.95).select("cust_key", F.lit("high").alias("side"))
-    return a.unionByName(E.low_quality(r, 0.95).select("cust_key", F.lit("low").alias("side")))
+    return res(spark, sf_dir).select("cust_key", F.when(E.is_high_quality(0.95), "high").otherwise("low").alias("side"))
 
 
 _LEVELS = [name for name, _ in V.LEVELS] + [V.LOWEST_LEVEL]
