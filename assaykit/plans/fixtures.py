@@ -115,7 +115,7 @@ block("checks", f"""
            coalesce(kind IN ('integer', 'float') AND x > max_value, false) AS above_bad,
            coalesce(categorical AND value IS NOT NULL AND allowed_value IS NULL AND field_id IN (SELECT field_id FROM tallowed), false) AS category_bad,
            kind IN ({ctes.text_list(list(V.PATTERNS))}) AS patterned,
-           min_length, max_length
+           min_length, max_length, min_value, max_value
     FROM (SELECT c.*, r.* EXCLUDE (field_id, field), a.value AS allowed_value, {ctes.sql_number('c.value')} AS x
           FROM cells c JOIN trules r USING (field_id) LEFT JOIN tallowed a ON a.field_id = c.field_id AND a.value = c.value)""",
       ["cells", "trules", "tallowed"])

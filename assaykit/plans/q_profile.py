@@ -30,15 +30,29 @@ def profile_basic(spark, sf_dir):
     return P.profile_basic(X.cleaned(spark, sf_dir), X.DIRTY_FIELDS)
 
 
-@query()
+#: a sketch may miss a count by five of its standard errors
+_BOUND = 0.1
+
+
+def _near(spark, sf_dir, rows):
+    """Whether each sketched number of distinct values lies within the bound of the exact one."""
+    exact = P.profile_basic(X.cleaned(spark, sf_dir), X.DIRTY_FIELDS).select("field", F.col("unique_values").alias("exact"))
+    near = F.abs(F.col("unique_values") - F.col("exact")) <= F.greatest(F.lit(1.0), F.col("exact") * _BOUND)
+    return rows.join(exact, "field").withColumn("distinct_near", near).drop("exact", "unique_values")
+
+
+@query(with_blocks(["dprof"], "SELECT field, detected_type, total_values::BIGINT AS total_values, null_count::BIGINT AS null_count, nullable, "
+                   + ", ".join(f"round({c}, 6) AS {c}" for c in ("min_value", "max_value", "mean_value", "std_value")) + ", true AS distinct_near FROM dprof"))
 def infer_schema_approx(spark, sf_dir):
-    """The sketched form; compared with the exact one in the tests."""
-    return P.profile_approx(X.cleaned(spark, sf_dir), X.DIRTY_FIELDS).drop(P.ID)
+    """The sketched form: all but the number of distinct values is exact."""
+    rows = P.profile_approx(X.cleaned(spark, sf_dir), X.DIRTY_FIELDS)
+    numbers = ["min_value", "max_value", "mean_value", "std_value"]
+    return _near(spark, sf_dir, rounded(rows, *numbers).select("field", "detected_type", "total_values", "null_count", "unique_values", "nullable", *numbers))
 
 
-@query()
+@query(with_blocks(["dprof"], "SELECT field, total_values::BIGINT AS total_values, null_count::BIGINT AS null_count, nullable, true AS distinct_near FROM dprof"))
 def profile_basic_approx(spark, sf_dir):
-    return P.profile_basic_approx(X.cleaned(spark, sf_dir), X.DIRTY_FIELDS)
+    return _near(spark, sf_dir, P.profile_basic_approx(X.cleaned(spark, sf_dir), X.DIRTY_FIELDS))
 
 
 @query(with_blocks(["dhist"], """

@@ -106,12 +106,17 @@ def validate_record(spark, sf_dir):
         F.size("issues").cast("long").alias("issue_count"), F.size("warnings").cast("long").alias("warning_count"))
 
 
-@query(with_blocks(["issues"], """SELECT cust_key, field, issue_type,
-       CASE WHEN issue_type = 'out_of_range' THEN split_part(description, ' (', 1) ELSE description END AS description FROM issues"""))
+@query(with_blocks(["issues", "checks"], """SELECT i.cust_key, i.field, i.issue_type,
+       CASE WHEN i.issue_type = 'out_of_range' THEN split_part(i.description, ' (', 1) ELSE i.description END AS description,
+       CASE WHEN i.description LIKE 'Value below minimum%' THEN round(c.min_value, 4) WHEN i.description LIKE 'Value above maximum%' THEN round(c.max_value, 4) END AS bound
+       FROM issues i JOIN checks c ON i.cust_key = c.cust_key AND i.field_id = c.field_id"""))
 def validation_issues(spark, sf_dir):
+    """The bound of a range issue is compared as a number, as its text depends on the last digit of a sum."""
     rows = E.issue_rows(res(spark, sf_dir), ["cust_key"])
-    short = F.when(F.col("issue_type") == "out_of_range", F.split_part("description", F.lit(" ("), F.lit(1))).otherwise(F.col("description"))
-    return rows.withColumn("description", short)
+    ranged = F.col("issue_type") == "out_of_range"
+    bound = F.when(ranged, F.round(F.regexp_extract("description", r"(-?[0-9.]+(?:E-?[0-9]+)?)\)$", 1).try_cast("double"), 4))
+    short = F.when(ranged, F.split_part("description", F.lit(" ("), F.lit(1))).otherwise(F.col("description"))
+    return rows.withColumns({"bound": bound, "description": short})
 
 
 @query(with_blocks(["res"], "SELECT cust_key, quality_level FROM res"), name="quality_level")
