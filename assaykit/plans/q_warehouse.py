@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import profile as P
+from ..operators import rules as R
 from ..operators import validate as E
 from ..operators import warehouse as W
+from ..operators.batch import run_batch
 from ..session import work_path
 from . import fixtures as X
 from .catalog import query
@@ -218,3 +220,23 @@ def delete_job(spark, sf_dir):
 @query(with_blocks(["jobs"], "SELECT job_id, CASE WHEN status IN ('completed', 'failed') THEN 100 WHEN status = 'processing' THEN 50 ELSE 0 END AS progress FROM jobs"))
 def job_progress(spark, sf_dir):
     return X.jobs(spark, sf_dir).select("job_id", W.progress(F.col("status")).alias("progress"))
+
+
+@query(with_blocks(["res", "issues"], """
+    SELECT 'job-1' AS job_id, count(*) AS total_records, count(*) FILTER (WHERE is_valid) AS valid_records,
+           count(*) FILTER (WHERE quality_score >= 0.95) AS staged, count(*) FILTER (WHERE quality_score < 0.95) AS quarantined,
+           count(*) AS facts, count(*) FILTER (WHERE is_valid) AS summary_valid, (SELECT count(*) FROM issues) AS issues FROM res"""))
+def batch_load(spark, sf_dir):
+    """A whole load, run twice: the second run leaves no second copy."""
+    out = work_path(spark, "batch")
+    rules = R.learn_rules(X.train(spark, sf_dir), X.DIRTY_FIELDS)
+    for _ in range(2):
+        job = run_batch(X.cleaned(spark, sf_dir), out, "job-1", "cust_key", X.DIRTY_FIELDS, X.now(), rules, ROUTE)
+    counted = {name: spark.read.parquet(f"{out}/{folder}").agg(F.count(F.lit(1)).alias(name))
+               for name, folder in (("staged", "staging"), ("quarantined", "quarantine"), ("facts", "validation"))}
+    summary = spark.read.json(f"{out}/reports/job-1/summary").select(F.col("valid_records").alias("summary_valid"))
+    issues = spark.read.json(f"{out}/reports/job-1/issues").agg(F.sum("issue_count").alias("issues"))
+    rows = job.select("job_id", "total_records", "valid_records")
+    for part in (*counted.values(), summary, issues):  # one row each
+        rows = rows.crossJoin(part)
+    return rows
