@@ -53,7 +53,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 def work_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder; nothing else writes there."""
-    return f"{shared_dir(spark).rstrip('/')}/assaykit/{label}-{uuid.uuid4().hex[:12]}"
+    return f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/assaykit/{spark.sparkContext.applicationId}"
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Remove all work tables of this application, once no DataFrame that reads them is needed any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def table_path(sf_dir: str, name: str) -> str:

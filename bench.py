@@ -12,7 +12,7 @@ import tempfile
 import time
 
 from assaykit.plans import load_all
-from assaykit.session import build_session
+from assaykit.session import build_session, clear_work
 
 HEADLINE = [
     "infer_schema", "infer_schema_orders", "infer_schema_events", "validate_record", "sink_split_outputs", "validate_declared_rules",
@@ -39,6 +39,7 @@ def main() -> None:
         times[name] = round(time.perf_counter() - start, 3)
     print(json.dumps({"metric": "total_query_seconds", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
                       "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}))
+    clear_work(spark)
     spark.stop()
 
 

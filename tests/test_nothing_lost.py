@@ -154,3 +154,19 @@ def test_a_hot_key_is_split(spark):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_work_tables_are_removed(spark):
+    from assaykit import session
+
+    other = spark.newSession()
+    before = session._own_folder
+    try:
+        session._own_folder = lambda s: f"{session.shared_dir(s)}/assaykit/test-only"
+        path = session.work_path(other, "x")
+        other.range(3).write.parquet(path)
+        session.clear_work(other)
+        with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+            other.read.parquet(path)
+    finally:
+        session._own_folder = before
