@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from assaykit.functions.settle import settle
 
-from .common import WHITE, body, col, inner, lines, lowered, pair_hash
+from .common import WHITE, body, col, inner, lines, lowered, pair_hash, stored
 
 MIN_DOCS = 10
 MIN_CHARS = 1
@@ -48,7 +48,8 @@ def line_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", min_docs
     placed = docs.select(r1.alias(k1), r2.alias(k2), col(text).alias("text")).select(
         k1, k2, F.posexplode(line_keys(F.col("text"))).alias(at, "key")).filter(F.length("key") >= min_chars)
     h1, h2 = pair_hash(F.col("key"))
-    hot = frequent_lines(docs, text, min_docs, min_chars).select("h1", "h2")
+    # a table: its size decides whether it is broadcast; if not, Spark can split the rows of a very frequent line
+    hot = stored(frequent_lines(docs, text, min_docs, min_chars).select("h1", "h2"), "frequent-lines")
     dropped = (placed.select(k1, k2, at, h1.alias("h1"), h2.alias("h2")).join(hot, ["h1", "h2"], "left_semi")
                .groupBy(k1, k2).agg(F.collect_set(at).alias(lost)))
     rows = docs.withColumns({k1: r1, k2: r2}).join(dropped, [k1, k2], "left")
