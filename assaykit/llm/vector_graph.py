@@ -228,12 +228,14 @@ def assign(nodes: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
     if nodes.empty or pivots.empty:
         return pd.DataFrame({"node": [], "shard": [], "rank": []}).astype("int64")
     pivots = pivots.sort_values("shard", ignore_index=True)
-    near = unit(matrix(nodes["vec"])) @ unit(matrix(pivots["vec"])).T
-    order = np.argsort(-near, axis=1, kind="stable")
-    ranked = np.take_along_axis(near, order, 1)
-    take = (np.arange(near.shape[1]) < ROUTES) | (ranked >= REACH)
-    row, rank = np.nonzero(take)
-    return pd.DataFrame({"node": nodes["node"].to_numpy()[row], "shard": pivots["shard"].to_numpy()[order[row, rank]], "rank": rank})
+    shards, centres, ids, found = pivots["shard"].to_numpy(), unit(matrix(pivots["vec"])), nodes["node"].to_numpy(), []
+    for a in range(0, len(nodes), 512):  # with all pivots of a label, 512 rows are 16 MB of cosines
+        near = unit(matrix(nodes["vec"][a:a + 512])) @ centres.T
+        order = np.argsort(-near, axis=1, kind="stable")
+        take = (np.arange(near.shape[1]) < ROUTES) | (np.take_along_axis(near, order, 1) >= REACH)
+        row, rank = np.nonzero(take)
+        found.append(pd.DataFrame({"node": ids[a + row], "shard": shards[order[row, rank]], "rank": rank}))
+    return pd.concat(found)
 
 
 def search_block(threshold: float):
