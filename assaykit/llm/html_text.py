@@ -3,14 +3,16 @@
 A page is cut into lines at its block elements. Markup, scripts and what says itself that it is not
 article (menus, adverts, footers ...) leave lines of length zero. Over a sliding window of lines the
 text lengths are summed: where the sum rises over a threshold the text surges, where it falls to
-zero it dives, and the lines between are kept. Inside an ``article`` or ``main`` element every line
-with text surges, so short paragraphs stay; other pages need more text than a menu entry has.
+zero it dives, and the lines between are kept. Where an ``article`` or ``main`` element that is no
+boilerplate itself holds the page's largest surge, all text of such elements is kept, short paragraphs
+too, and nothing else is; on other pages the line blocks of the whole page decide.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,7 +21,7 @@ from pyspark.sql import types as T
 
 from .common import body, col
 
-#: lines in a window, and characters with which a text surges outside of article and main
+#: lines in a window, and characters with which a text surges
 WINDOW = 3
 SURGE = 60
 
@@ -35,7 +37,12 @@ MARKS = frozenset("""ad ads adv advert adverts advertisement advertising banner
 footer gdpr login menu modal nav navbar navigation newsletter notice notices notification paywall popup promo promotion related reply replies
 share sharing sidebar signup social sponsor sponsored subscribe toolbar widget contentinfo complementary search""".split())
 MARKS_OUTSIDE = frozenset(["header", "masthead"])
-UNMARKED = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())
+UNMARKED = frozenset("html body main h1 h2 h3 h4 h5 h6".split())
+ROOTS = frozenset(["article", "main"])
+#: an article may be of a topic or layout that MARKS names; these say that it is not the page's own text
+ARTICLE_MARKS = frozenset("""ad ads adv advert adverts advertisement advertising comment comments promo promotion related reply replies
+sponsor sponsored teaser teasers""".split())
+ARTICLE_NOTES = frozenset("category format has is no not tag type with without".split())  # has-comments, tag-related: a property, not a kind
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"'=]|=\s*+"[^"]*"|=\s*+'[^']*'|[="'])*+)(?:>|\Z)""", re.S)
 LABEL = re.compile(r"""(?:^|[\s"'/])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -80,26 +87,32 @@ def is_boilerplate(name: str, attributes: str, inside: bool) -> bool:
         return True
     if name in UNMARKED or name in VOID or "=" not in attributes:
         return False
-    said = {w for m in LABEL.finditer(attributes) for w in WORD.findall((m[1] or m[2] or m[3] or "").lower())}
+    names = [n for m in LABEL.finditer(attributes) for n in (m[1] or m[2] or m[3] or "").lower().split()]
+    if name == "article":
+        said = [WORD.findall(n) for n in names]
+        return any(w and w[0] not in ARTICLE_NOTES and not ARTICLE_MARKS.isdisjoint(w) for w in said)
+    said = {w for n in names for w in WORD.findall(n)}
     return bool(said & MARKS or not inside and said & MARKS_OUTSIDE)
 
 
-def page_lines(page: str) -> tuple[list[str], bool]:
-    """The page's lines in order, boilerplate as empty lines, and whether they are those of article or main elements."""
+def page_lines(page: str) -> tuple[list[str], list[int]]:
+    """The page's lines in order, boilerplate as empty lines, and the number of the outermost article or main each is in (0: none)."""
     found = tokens(page)
     match = partners(found)
-    roots = {name for kind, name, _ in found if kind == "open"} & {"article", "main"}
-    lines, parts, inside, until, i = [], [], 0, [], 0
+    lines, owners, parts, inside, n_roots, until, i = [], [], [], 0, 0, [], 0
+
+    def add(line: str) -> None:
+        lines.append(line)
+        owners.append(n_roots if inside else 0)
 
     def new_line() -> None:
-        lines.append(BLANK.sub(" ", "".join(parts)).strip(" "))
+        add(BLANK.sub(" ", "".join(parts)).strip(" "))
         parts.clear()
 
     while i < len(found):
         kind, name, attributes = found[i]
         if kind == "text":
-            if inside or not roots:
-                parts.append(html.unescape(name))
+            parts.append(html.unescape(name))
         else:
             if name in BLOCKS:
                 new_line()
@@ -107,20 +120,24 @@ def page_lines(page: str) -> tuple[list[str], bool]:
                 end = match.get(i)
                 if end is None and (name in DROPPED or name in DROPPED_OUTSIDE):
                     # never closed: it ends where an article begins, or with the page
-                    end = next((k - 1 for k in range(i + 1, len(found)) if found[k][0] == "open" and found[k][1] in roots), len(found))
+                    end = next((k - 1 for k in range(i + 1, len(found)) if found[k][0] == "open" and found[k][1] in ROOTS), len(found))
                 if end is not None:
                     if name in BLOCKS:
-                        lines.extend([""] * WINDOW)
+                        for _ in range(WINDOW):
+                            add("")
                     i = end
-            elif kind == "open" and name in roots:
+            elif kind == "open" and name in ROOTS:
+                n_roots += not inside
                 inside += 1
                 until.append(match.get(i, len(found)))
             while until and until[-1] <= i:
+                if parts and inside == 1:  # closed within boilerplate
+                    new_line()
                 until.pop()
                 inside -= 1
         i += 1
     new_line()
-    return lines, bool(roots)
+    return lines, owners
 
 
 def surging(lengths: list[int], threshold: int) -> list[tuple[int, int]]:
@@ -138,13 +155,31 @@ def surging(lengths: list[int], threshold: int) -> list[tuple[int, int]]:
     return spans
 
 
+def in_roots(lengths: list[int], owners: list[int]) -> bool:
+    """Whether the lines of article and main elements are the page's text: one of them holds the largest surge.
+
+    A stretch is what lies between two bounds of outermost elements. The surges of one add up, so an
+    advert in the middle of a text does not make it smaller than a comment. Without a surge any text
+    in such an element will do.
+    """
+    best, rooted = 0, any(n and o for n, o in zip(lengths, owners))
+    for owner, group in groupby(zip(owners, lengths), key=lambda x: x[0]):
+        stretch = [n for _, n in group]
+        size = sum(sum(stretch[a:b]) for a, b in surging(stretch, SURGE))
+        if size > best:
+            best, rooted = size, owner > 0
+    return rooted
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks in page order, joined by one space; empty if there is none."""
     if not page:
         return ""
-    lines, rooted = page_lines(page)
+    lines, owners = page_lines(page)
     lengths = [len(x) for x in lines]
-    spans = surging(lengths, 0 if rooted else SURGE)
+    if in_roots(lengths, owners):
+        return " ".join(x for x, o in zip(lines, owners) if x and o)
+    spans = surging(lengths, SURGE)
     if not spans and any(lengths):  # a short page without any surge: its largest run of lines
         spans = [max(surging(lengths, 0), key=lambda s: sum(lengths[s[0]:s[1]]))]
     return " ".join(x for a, b in spans for x in lines[a:b] if x)

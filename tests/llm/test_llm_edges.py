@@ -151,6 +151,24 @@ def test_main_text(page, text):
     assert main_text(page) == text
 
 
+STORY = "".join(f"<p>{'story ' * 20}{i}</p>" for i in range(4))
+TOLD = " ".join(f"{'story ' * 20}{i}" for i in range(4))
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<div class=post>{STORY}</div><article class=comment><p>{'nice ' * 30}</p></article><article class='related teaser'>{'more ' * 30}</article>", TOLD),
+    (f"<div>{STORY}</div><aside><article><p>{'teaser ' * 99}</p></article></aside>", TOLD),
+    (f"<main>{STORY}<article class='reader-comment' id=comment-3><p>{'nice ' * 99}</p></article></main>", TOLD),
+    (f"<div>{STORY[:300]}</div><div class=ad>x</div><div>{STORY[300:]}</div><article><p>{'teaser ' * 25}</p></article>", None),
+    (f"<article class='post tag-related has-comments category-ads'>{STORY}<p>end</p></article><div>{'terms ' * 20}</div>", TOLD + " end"),
+])
+def test_articles_that_are_not_the_text(page, text):
+    if text is None:  # an article that is smaller than the rest hides nothing of it
+        assert all(f"story {i}" in main_text(page) for i in range(4))
+    else:
+        assert main_text(page) == text
+
+
 def test_simhash(docs, none):
     got = simhash_classes(docs).collect()
     prints = [(r[0], brute.fingerprint(r[1])) for r in ROWS]
