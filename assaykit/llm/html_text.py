@@ -1,9 +1,10 @@
 """Main text of web pages by line-block distribution.
 
-A page is cut into lines at its block elements. Markup, scripts and what says itself that it is not
-article (menus, adverts, footers ...) leave lines of length zero. Over a sliding window of lines the
-text lengths are summed: where the sum rises over a threshold the text surges, where it falls to
-zero it dives, and the lines between are kept. Where an ``article`` or ``main`` element that is no
+A page is cut into lines at its block elements; tags with no text between make no line, however
+deeply they are nested. What says itself that it is not article (menus, adverts, footers ...) leaves
+lines of length zero. Over a sliding window of lines the text lengths are summed: where the sum rises
+over a threshold the text surges, where it falls to zero it dives, and the lines between are kept,
+with the short ones that lead up to the surge. Where an ``article`` or ``main`` element that is no
 boilerplate itself holds the page's largest surge, all text of such elements is kept, short paragraphs
 too, and nothing else is; on other pages the line blocks of the whole page decide.
 """
@@ -106,7 +107,8 @@ def page_lines(page: str) -> tuple[list[str], list[int]]:
         owners.append(n_roots if inside else 0)
 
     def new_line() -> None:
-        add(BLANK.sub(" ", "".join(parts)).strip(" "))
+        if line := BLANK.sub(" ", "".join(parts)).strip(" "):
+            add(line)
         parts.clear()
 
     while i < len(found):
@@ -141,15 +143,19 @@ def page_lines(page: str) -> tuple[list[str], list[int]]:
 
 
 def surging(lengths: list[int], threshold: int) -> list[tuple[int, int]]:
-    """Ranges of lines from a surge (the window's sum exceeds the threshold) to the next dive (the sum is zero)."""
+    """Ranges of lines from a surge (the window's sum exceeds the threshold) to the next dive (the sum is zero).
+
+    A surge starts after the dive before it: a title or a byline belongs to the text that it adjoins.
+    """
     windows = [sum(lengths[i:i + WINDOW]) for i in range(len(lengths))]
-    spans, start = [], None
+    spans, start, dived = [], None, 0
     for i, total in enumerate(windows):
         if start is None and lengths[i] and total > threshold:
-            start = i
-        elif start is not None and total == 0:
-            spans.append((start, i))
-            start = None
+            start = dived
+        elif total == 0:
+            if start is not None:
+                spans.append((start, i))
+            start, dived = None, i + 1
     if start is not None:
         spans.append((start, len(lengths)))
     return spans

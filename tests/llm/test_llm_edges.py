@@ -151,6 +151,20 @@ def test_main_text(page, text):
     assert main_text(page) == text
 
 
+LINE = ("long line of text " * 9).strip()
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<h1>Title</h1><div><p>{LINE}</p></div>", f"Title {LINE}"),
+    (f"<div><div><p>{LINE}</p></div></div><div><p>Short.</p></div><div><div><p>{LINE}</p></div></div>", f"{LINE} Short. {LINE}"),
+    (f"<div><div><p>{LINE}</p></div></div><div><div><p>End.</p></div></div>", f"{LINE} End."),
+    (f"<div><h1>Title</h1></div><p>By X</p><p>Today</p><p>Place</p><table><tr><td><p>{LINE}</p></table>", f"Title By X Today Place {LINE}"),
+    (f"<p>Home</p><nav>menu</nav><h1>T</h1><div><div><p>{LINE}</p></div></div><footer>f</footer><p>Imprint</p>", f"T {LINE}"),
+])
+def test_nested_tags_are_no_gaps(page, text):
+    assert main_text(page) == text
+
+
 STORY = "".join(f"<p>{'story ' * 20}{i}</p>" for i in range(4))
 TOLD = " ".join(f"{'story ' * 20}{i}" for i in range(4))
 
