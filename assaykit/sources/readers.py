@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -119,18 +121,47 @@ def encoding_of(spark: SparkSession, path: str) -> str:
     return next((V.READER_ENCODINGS[x] for x in V.READER_ENCODINGS if x in labels), "UTF-8")
 
 
-def holds_lines(spark: SparkSession, path: str | list[str]) -> bool:
-    """Whether JSON files hold one object per line: the first line with text is a whole object."""
-    first = spark.read.text(path).filter(F.trim("value") != "").select(F.json_object_keys("value").isNotNull().alias("whole")).limit(1).collect()
-    return bool(first and first[0]["whole"])
+def one_value(text: Column) -> Column:
+    """Whether a text is exactly one JSON value, with nothing before or after it.
+
+    What follows a value can go on as an array or as an object, but not as both.
+    """
+    in_array = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
+    in_object = F.size(F.json_object_keys(F.concat(F.lit('{"v":'), text, F.lit("}")))) == 1
+    return F.coalesce(in_array & in_object, F.lit(False))
+
+
+def json_layouts(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, lines): whether a JSON file holds one value per line, from all its lines; files without text are left out."""
+    record = F.col("value").rlike(r"^\s*[{\[]") & one_value(F.col("value"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value").filter(F.col("value").rlike(r"\S"))
+    return lines.groupBy("file").agg(F.bool_and(record).alias("lines"))
 
 
 def read_json_either(spark: SparkSession, path: str | list[str], schema: str | T.StructType | None = None) -> DataFrame:
-    """JSON documents or JSON lines under one extension; lines that turn out to be no objects raise an error, none is lost."""
-    if not holds_lines(spark, path):
-        return read_json(spark, path, schema)
-    reader = spark.read.option("mode", "FAILFAST")
-    return (reader.schema(schema) if schema is not None else reader).json(path)
+    """JSON documents or JSON lines under one extension, decided for each file by all of its lines.
+
+    A file that is neither one value per line nor one document raises an error that names it, as do
+    records that do not fit the schema: none is lost. Texts in UTF-16 or UTF-32 are read as documents.
+    """
+    files: dict[bool, list[str]] = {True: [], False: []}
+    for r in json_layouts(spark, path).collect():  # one row per file, as in the driver's own list of files
+        files[r["lines"]].append(re.sub(r"([\\{}\[\]*?])", r"\\\1", unquote(r["file"])))
+    if files[False]:
+        text = F.regexp_replace("value", "^\ufeff", "")
+        broken = spark.read.text(files[False], wholetext=True).filter(~F.contains("value", F.lit("\0")) & ~one_value(text))
+        bad = [r["file"] for r in broken.select(F.col("_metadata.file_path").alias("file")).limit(5).collect()]
+        if bad:
+            raise ValueError(f"malformed: neither JSON lines nor one JSON document: {', '.join(bad)}")
+    parts = []
+    for lines, names in files.items():
+        if names or lines and not files[False]:
+            reader = spark.read.options(mode="FAILFAST", multiLine=not lines)
+            one_file = len(names) == 1 and isinstance(path, str) and names[0].endswith(path)
+            if files[False] and isinstance(path, str) and not one_file and not re.search(r"[\\{}\[\]*?]", path):
+                reader = reader.option("basePath", path)  # columns in folder names
+            parts.append((reader.schema(schema) if schema is not None else reader).json(names if files[False] else path))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def read_csv_any(spark: SparkSession, path: str | list[str], schema: str | T.StructType | None = None, sep: str | None = None,

@@ -32,6 +32,28 @@ def test_json_lines_under_the_extension_of_documents(spark, tmp_path):
         D.load(spark, str(tmp_path / "mixed.json"), schema="id long").collect()
 
 
+def test_json_layout_is_decided_for_each_file(spark, tmp_path):
+    lines = "\n".join(f'{{"a": {i}}}' for i in range(1000))
+    (tmp_path / "m.json").mkdir()
+    (tmp_path / "m.json" / "lines.json").write_text(lines)
+    (tmp_path / "m.json" / "arrays.json").write_text('[{"a": 5}]\n[{"a": 6}, {"a": 7}]\n')
+    (tmp_path / "m.json" / "doc b%20.json").write_text('[\n {"a": 2000},\n {"a": 2001}\n]\n')
+    (tmp_path / "m.json" / "pretty.json").write_text('{\n "a": 2002\n}\n')
+    (tmp_path / "m.json" / "empty.json").write_text("")
+    assert D.load(spark, str(tmp_path / "m.json")).agg(F.count("a"), F.max("a")).first()[:] == (1003 + 3, 2002)
+    (tmp_path / "m.json" / "doc [2].json").write_text('[\n {"a": 2003}\n]\n')
+    assert D.load(spark, str(tmp_path / "m.json"), schema="a long").agg(F.count("a"), F.max("a")).first()[:] == (1007, 2003)
+
+
+@pytest.mark.parametrize("text", [
+    '{"a": 1\n' + '{"a": 2}\n' * 1000, "[]\n" + '{"a": 2}\n' * 1000 + "x", '{\n"a": 1\n}\n{\n"a": 2\n}\n', '{"a": 1}{"a": 2}\n{"a": 3}\n', '[\n{"a": 1}\n',
+])
+def test_broken_json_raises(spark, tmp_path, text):
+    (tmp_path / "b.json").write_text(text)
+    with pytest.raises(ValueError, match="malformed.*b.json"):
+        D.load(spark, str(tmp_path / "b.json"), schema="a long")
+
+
 @pytest.mark.parametrize("sep", [";", "|", "\t"])
 def test_separator_is_found(spark, tmp_path, sep):
     (tmp_path / "a.csv").write_text(f"a{sep}b\n1{sep}x, y\n2{sep}z\n")
