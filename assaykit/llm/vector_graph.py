@@ -5,8 +5,8 @@ label gets pivots (a bounded sample of its nodes) and each node joins the shards
 pivots, so shards overlap; a shard that is too large is split into blocks by hash. On every block a
 graph is built: near neighbours and some far ones, robustly pruned, with edges back, all reachable
 from the block's medoid. A node's adjacency lists of all its blocks are united. Then every node is
-searched in the shards of its nearest pivots, and of all pivots so close that links may lie there: a
-greedy search runs from the medoid and from the node's own list, and once it is in range it expands
+searched in the shards of its nearest pivots, and of all other pivots that can be the nearest one of a
+vector linked with it, so routing loses no link: a greedy search runs from the medoid and from the node's own list, and once it is in range it expands
 from all that is in range until nothing new turns up. What was found is verified by the exact cosine.
 
 Each block counts the links to the nodes at home in it and gives a spanning star of the links found,
@@ -28,9 +28,10 @@ from .components import components
 THRESHOLD = 0.98
 SHARD = 1000        # nodes of a block, about; as many again come from overlap
 VISITORS = 2000     # nodes that a task searches in a block, about
-CHUNK = 8192        # nodes that a task compares with the pivots of their label, about
+CHUNK = 8192        # nodes that a task compares with the pivots of their label, about; fewer with over PAIRED pivots
+PAIRED = 1024
 PIVOTS = 4096       # pivots of a label at most: the documented bound of the sample
-HOMES, ROUTES, REACH = 2, 4, 0.9  # shards a node is built into, is searched in, and cosine of further pivots it is searched at
+HOMES, ROUTES = 2, 4  # shards a node is built into, and is searched in at least
 DEGREE, NEAR, FAR, ALPHA = 24, 40, 16, 1.2
 BEAM, SLACK = 12, 0.06
 BROADCAST_LABELS = 10_000
@@ -223,19 +224,28 @@ def build_block(block: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"node": ids, "near": [ids[x].tolist() for x in lists]})
 
 
-def assign(nodes: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
-    """(node, shard, rank): rank counts a node's pivots from the nearest."""
-    if nodes.empty or pivots.empty:
-        return pd.DataFrame({"node": [], "shard": [], "rank": []}).astype("int64")
-    pivots = pivots.sort_values("shard", ignore_index=True)
-    shards, centres, ids, found = pivots["shard"].to_numpy(), unit(matrix(pivots["vec"])), nodes["node"].to_numpy(), []
-    for a in range(0, len(nodes), 512):  # with all pivots of a label, 512 rows are 16 MB of cosines
-        near = unit(matrix(nodes["vec"][a:a + 512])) @ centres.T
-        order = np.argsort(-near, axis=1, kind="stable")
-        take = (np.arange(near.shape[1]) < ROUTES) | (np.take_along_axis(near, order, 1) >= REACH)
-        row, rank = np.nonzero(take)
-        found.append(pd.DataFrame({"node": ids[a + row], "shard": shards[order[row, rank]], "rank": rank}))
-    return pd.concat(found)
+def assign(threshold: float):
+    # a link turns x by an angle a at most, which shifts p.x - q.x by sin(a) |p - q| at most before q can be nearer than p
+    turn = np.sqrt(1 - threshold ** 2) if threshold > 0 else np.inf
+
+    def run(nodes: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+        """(node, shard, rank): rank counts a node's pivots from the nearest; all that can be the nearest of a linked vector are there."""
+        if nodes.empty or pivots.empty:
+            return pd.DataFrame({"node": [], "shard": [], "rank": []}).astype("int64")
+        pivots = pivots.sort_values("shard", ignore_index=True)
+        shards, centres, ids, found = pivots["shard"].to_numpy(), unit(matrix(pivots["vec"])), nodes["node"].to_numpy(), []
+        for a in range(0, len(nodes), 512):  # with all pivots of a label, 512 rows are 16 MB of cosines
+            near = unit(matrix(nodes["vec"][a:a + 512])) @ centres.T
+            order = np.argsort(-near, axis=1, kind="stable")
+            first = order[:, 0]
+            apart = np.sqrt(np.maximum(0, 2 - 2 * centres[first] @ centres.T))
+            behind = near[np.arange(len(near)), first][:, None] - near
+            take = (np.arange(near.shape[1]) < ROUTES) | np.take_along_axis(behind <= turn * apart + 1e-7, order, 1)
+            row, rank = np.nonzero(take)
+            found.append(pd.DataFrame({"node": ids[a + row], "shard": shards[order[row, rank]], "rank": rank}))
+        return pd.concat(found)
+
+    return run
 
 
 def search_block(threshold: float):
@@ -303,7 +313,7 @@ def near_vectors(vectors: DataFrame, id: str = "vec_id", vec: str = "embedding",
     nodes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "vector-nodes")  # numbered once, then read
 
     groups = stored(nodes.groupBy("grp").agg(F.count("*").alias("n")).select(
-        "grp", F.least(F.lit(PIVOTS), F.ceil(F.col("n") / SHARD)).alias("k"), F.ceil(F.col("n") / CHUNK).alias("chunks")), "vector-groups")
+        "grp", F.least(F.lit(PIVOTS), F.ceil(F.col("n") / SHARD)).alias("k"), F.ceil(F.col("n") / CHUNK * F.greatest(F.lit(1.0), F.least(F.lit(PIVOTS), F.ceil(F.col("n") / SHARD)) / PAIRED)).alias("chunks")), "vector-groups")
     small = F.broadcast if groups.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS else (lambda df: df)
     lean = nodes.select("grp", "node", "vec")
     chunked = lean.join(small(groups), "grp").withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks"))
@@ -312,7 +322,7 @@ def near_vectors(vectors: DataFrame, id: str = "vec_id", vec: str = "embedding",
               .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))))
     routes = (chunked.select("grp", "chunk", "node", "vec").groupBy("grp", "chunk")
               .cogroup(renamed(pivots.select("grp", "chunk", "shard", "vec"), "grp", "chunk"))
-              .applyInPandas(assign, "node long, shard long, rank long"))
+              .applyInPandas(assign(threshold), "node long, shard long, rank long"))
     routes = stored(routes, "vector-routes").join(nodes.select("grp", "node", "size", "vec"), "node")
     routes = stored(routes, "vector-routed")
 

@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, repeated rows, empty tables and clashing column names."""
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from assaykit.llm.pii import find_pii, span_text
 from assaykit.llm.quality_rules import binomial_tail, quality_rules
 from assaykit.llm.simhash import anchors_of, near_dedup, simhash_classes
 from assaykit.llm.token_rollup import commit, counted, signed, totals
-from assaykit.llm.vector_graph import near_vectors
+from assaykit.llm.vector_graph import assign, near_vectors, unit
 
 from . import brute
 
@@ -275,6 +276,19 @@ def test_vectors(spark):
     assert {r["n_links"] for r in extra if r["vec_id"] in (1, 2, 3, None)} == {4} and len(extra) == len(rows) + 2
 
 
+def test_a_node_visits_the_home_of_every_vector_linked_with_it():
+    rng = np.random.default_rng(7)
+    x = unit(rng.normal(size=(2000, 64)))
+    side = rng.normal(size=x.shape)
+    side = unit(side - (side * x).sum(1, keepdims=True) * x)
+    y = 0.981 * x + np.sqrt(1 - 0.981 ** 2) * side
+    pivots = pd.DataFrame({"shard": range(256), "vec": list(rng.normal(size=(256, 64)))})
+    routes = assign(0.98)(pd.DataFrame({"node": range(4000), "vec": [*x, *y]}), pivots)
+    home = routes[routes["rank"] == 0].set_index("node")["shard"]
+    visited = set(zip(routes["node"], routes["shard"]))
+    assert all((n, home[(n + 2000) % 4000]) in visited for n in range(4000))
+
+
 def test_inner_names(spark):
     df = spark.createDataFrame([(1, 2, 3)], "__a int, `__a_` int, B int")
     assert inner(df, "a", "b") == ["__a__", "__b"]
