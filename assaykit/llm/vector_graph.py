@@ -292,6 +292,18 @@ def usable(vec: Column) -> Column:
     return F.coalesce(finite & F.exists(vec, lambda x: x != 0), F.lit(False))
 
 
+def drawn(nodes: DataFrame, groups: DataFrame, small) -> DataFrame:
+    """(grp, node, shard, chunks): the k nodes with the smallest hashes of each label, numbered from 1.
+
+    Only hashes up to about twice the k-th smallest are ranked, so the task that ranks a label holds
+    a few thousand nodes of it, without their vectors.
+    """
+    hashed = nodes.join(small(groups), "grp").withColumn("h", F.xxhash64(F.lit(5), "node"))
+    low = hashed.filter((F.col("h") / F.lit(2.0 ** 64) + 0.5) * F.col("n") <= 2 * F.col("k") + 64)
+    rank = F.row_number().over(Window.partitionBy("grp").orderBy("h", "node"))
+    return low.withColumn("shard", rank.cast("long")).filter("shard <= k").select("grp", "node", "shard", "chunks")
+
+
 def near_vectors(vectors: DataFrame, id: str = "vec_id", vec: str = "embedding", label: str = "label", threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``vectors``: id, label, n_links, component_id and kept.
 
@@ -313,12 +325,11 @@ def near_vectors(vectors: DataFrame, id: str = "vec_id", vec: str = "embedding",
     nodes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "vector-nodes")  # numbered once, then read
 
     groups = stored(nodes.groupBy("grp").agg(F.count("*").alias("n")).select(
-        "grp", F.least(F.lit(PIVOTS), F.ceil(F.col("n") / SHARD)).alias("k"), F.ceil(F.col("n") / CHUNK * F.greatest(F.lit(1.0), F.least(F.lit(PIVOTS), F.ceil(F.col("n") / SHARD)) / PAIRED)).alias("chunks")), "vector-groups")
+        "grp", "n", F.least(F.lit(PIVOTS), F.ceil(F.col("n") / SHARD)).alias("k"), F.ceil(F.col("n") / CHUNK * F.greatest(F.lit(1.0), F.least(F.lit(PIVOTS), F.ceil(F.col("n") / SHARD)) / PAIRED)).alias("chunks")), "vector-groups")
     small = F.broadcast if groups.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS else (lambda df: df)
     lean = nodes.select("grp", "node", "vec")
     chunked = lean.join(small(groups), "grp").withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks"))
-    draw = F.row_number().over(Window.partitionBy("grp").orderBy(F.xxhash64(F.lit(5), "node"), "node"))
-    pivots = (lean.withColumn("shard", draw.cast("long")).filter(F.col("shard") <= PIVOTS).join(small(groups), "grp").filter("shard <= k")
+    pivots = (lean.join(drawn(nodes.select("grp", "node"), groups, small), ["grp", "node"])
               .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))))
     routes = (chunked.select("grp", "chunk", "node", "vec").groupBy("grp", "chunk")
               .cogroup(renamed(pivots.select("grp", "chunk", "shard", "vec"), "grp", "chunk"))

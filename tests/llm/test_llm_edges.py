@@ -17,7 +17,7 @@ from assaykit.llm.pii import find_pii, span_text
 from assaykit.llm.quality_rules import binomial_tail, quality_rules
 from assaykit.llm.simhash import anchors_of, near_dedup, simhash_classes
 from assaykit.llm.token_rollup import commit, counted, signed, totals
-from assaykit.llm.vector_graph import assign, near_vectors, unit
+from assaykit.llm.vector_graph import assign, drawn, near_vectors, unit
 
 from . import brute
 
@@ -289,6 +289,18 @@ def test_a_node_visits_the_home_of_every_vector_linked_with_it():
     assert all((n, home[(n + 2000) % 4000]) in visited for n in range(4000))
 
 
+def test_pivots_are_ranked_among_few_nodes(spark):
+    nodes = spark.range(0, 60_000, 1, 4).select(F.when(F.col("id") % 50 > 0, "hot").otherwise(F.col("id").cast("string")).alias("grp"), F.col("id").alias("node"))
+    groups = nodes.groupBy("grp").agg(F.count("*").alias("n")).select("grp", "n", F.ceil(F.col("n") / 1000).alias("k"), F.lit(1).alias("chunks"))
+    got = drawn(nodes, groups, F.broadcast)
+    plain = nodes.filter("grp = 'hot'").orderBy(F.xxhash64(F.lit(5), "node"), "node").limit(59).collect()
+    assert [r["node"] for r in got.filter("grp = 'hot'").orderBy("shard").collect()] == [r["node"] for r in plain]
+    assert got.count() == 59 + 1200
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    ranked = plan[plan.index("Window"):]
+    assert "Filter" in ranked and "vec" not in plan
+
+
 def test_inner_names(spark):
     df = spark.createDataFrame([(1, 2, 3)], "__a int, `__a_` int, B int")
     assert inner(df, "a", "b") == ["__a__", "__b"]
