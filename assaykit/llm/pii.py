@@ -3,10 +3,12 @@
 Base patterns find e-mail addresses, IP addresses, payment cards and phone numbers. They are the
 seeds: the words to their left induce lexical patterns, and patterns and the instances they extract
 form a bipartite graph, which Spark scores in rounds. A pattern's confidence for a kind is the score
-mass of that kind among all distinct identifier-like tokens it extracts (with one imagined failure
-added, so that few seeds never make a sure pattern); an instance's score is the noisy-or of its
-patterns. Instances that score high count as known in the next round. In the end the sure patterns
-mark identifiers that no base pattern matches.
+mass of that kind against that mass and the failures: distinct tokens that do not look like the kind
+or are seeds of another, and one imagined failure, so that few seeds never make a sure pattern. A
+token that looks like the kind but is not known yet is what is to be discovered; the part of it that
+has no score counts as a quarter of a failure. An instance's score is the noisy-or of its patterns,
+also of those that are not sure yet, and counts in the next round. In the end the sure patterns mark
+identifiers that no base pattern matches.
 
 Only built-in functions are used. Distinct instances are counted, not occurrences, so a copied
 passage has the weight of one. What leaves the scan of the texts are the few tokens with a digit or
@@ -25,7 +27,8 @@ from .common import body, col, lowered, pair_hash, stored, words
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
 SURE_PATTERN = 0.9
-SURE_INSTANCE = 0.85
+PASSING_PATTERN = 0.5  # patterns from here on pass scores between the rounds
+UNKNOWN = 0.25         # failures that a plausible token without a score counts as
 #: characters to the left in which the words of a context are looked for
 REACH = 80
 
@@ -117,23 +120,29 @@ def mentions(docs: DataFrame, id: str, text: str) -> DataFrame:
     return df.select("id", "k1", "k2", base.alias("base"), more.alias("more"))
 
 
-def sure_patterns(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def sure_patterns(edges: DataFrame, seeds: DataFrame, plausible: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Patterns (c, k, confidence) that are sure after scoring the graph in rounds.
 
-    ``edges``: distinct (c, i) of contexts and instances; ``seeds``: distinct (i, k) of base matches.
+    ``edges``: distinct (c, i) of contexts and instances; ``seeds``: distinct (i, k) of base matches;
+    ``plausible``: distinct (i, k) of other tokens and the kinds that they look like.
     """
     totals = edges.groupBy("c").agg(F.count("*").alias("total"))
-    known = seeds.withColumn("score", F.lit(1.0))
+    unknown = plausible.join(seeds.select("i").distinct(), "i", "left_anti")
+    kinds = seeds.withColumn("seed", F.lit(True)).unionByName(unknown.withColumn("seed", F.lit(False)))
+    graph = stored(edges.join(kinds, "i"), "pii-graph")
+    scores = graph.filter("false").select("i", "k", F.lit(0.0).alias("score"))
     for r in range(rounds):
-        mass = edges.join(known, "i").groupBy("c", "k").agg(F.sum("score").alias("mass"))
-        confidence = F.round(F.col("mass") / (F.col("total") + 1), 9)
-        patterns = stored(mass.filter(F.col("mass") >= 1).join(totals, "c").select("c", "k", confidence.alias("confidence"))
-                          .filter(F.col("confidence") >= SURE_PATTERN), "pii-patterns")
+        score = F.when(F.col("seed"), 1.0).otherwise(F.coalesce("score", F.lit(0.0)))
+        counted = graph.join(scores, ["i", "k"], "left").withColumn("score", score).groupBy("c", "k").agg(
+            F.sum("score").alias("mass"), F.count("*").alias("n"), F.sum(UNKNOWN * (1 - F.col("score"))).alias("open"))
+        failures = F.col("total") - F.col("n") + F.col("open") + 1
+        confidence = F.round(F.col("mass") / (F.col("mass") + failures), 9)
+        patterns = stored(counted.filter(F.col("mass") >= 1).join(totals, "c").select("c", "k", confidence.alias("confidence"))
+                          .filter(F.col("confidence") >= (PASSING_PATTERN if r < rounds - 1 else SURE_PATTERN)), "pii-patterns")
         if r == rounds - 1:
             return patterns
         noisy_or = F.round(1 - F.exp(F.sum(F.log(1 - F.col("confidence")))), 9)
-        scored = edges.join(patterns, "c").groupBy("i", "k").agg(noisy_or.alias("score")).filter(F.col("score") >= SURE_INSTANCE)
-        known = stored(seeds.withColumn("score", F.lit(1.0)).unionByName(scored).groupBy("i", "k").agg(F.max("score").alias("score")), "pii-known")
+        scores = stored(graph.filter(~F.col("seed")).join(patterns, ["c", "k"]).groupBy("i", "k").agg(noisy_or.alias("score")), "pii-scores")
 
 
 def find_pii(docs: DataFrame, id: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
@@ -149,7 +158,8 @@ def find_pii(docs: DataFrame, id: str = "doc_id", text: str = "text", rounds: in
     base = rows.select(F.explode("base").alias("x")).select("x.k", "x.i", "x.c")
     more = rows.select("k1", "k2", F.explode("more").alias("x")).select("k1", "k2", "x.looks", "x.d.*")
     edges = stored(base.select(F.explode("c").alias("c"), "i").union(more.select(F.explode("c").alias("c"), "i")).distinct(), "pii-edges")
-    patterns = sure_patterns(edges, base.select("i", "k").distinct(), rounds)
+    plausible = more.select("i", F.explode("looks").alias("k")).distinct()
+    patterns = sure_patterns(edges, base.select("i", "k").distinct(), plausible, rounds)
     hits = (more.select("k1", "k2", "s", "e", "looks", F.explode("c").alias("c")).join(patterns.select("c", F.col("k").alias("kind")), "c")
             .filter(F.array_contains("looks", F.col("kind")))
             .groupBy("k1", "k2").agg(F.collect_set(F.struct(F.col("kind").alias("k"), "s", "e", F.lit(True).alias("added"))).alias("hits")))

@@ -239,6 +239,16 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert all(not t for i, t in out.items() if i != 100)
 
 
+def test_contexts_with_many_unseen_identifiers(spark):
+    rows = [(i, f"noise{i} please dial +1 555 {1000 + i} {2000 + i} now") for i in range(60)]
+    rows += [(100 + i, f"noise{i} please dial 555-{3000 + i} now") for i in range(40)]
+    rows += [(200 + i, f"noise{i} order number +1 555 {1000 + i} {5000 + i} now") for i in range(60)]  # as many tokens that look like no phone
+    rows += [(300 + i, f"noise{i} order number x{i} now") for i in range(60)] + [(400, "order number 555-9999 now")]
+    out = {r["doc_id"]: r["t"] for r in find_pii(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", span_text(F.filter("spans", lambda x: x["added"])).alias("t")).collect()}
+    assert {i for i, t in out.items() if t} == set(range(100, 140))
+    assert out[100] == "phone:19:27"
+
+
 def test_rollup(docs, none, spark, tmp_path):
     root = str(tmp_path / "totals")
     rows = counted(docs)
