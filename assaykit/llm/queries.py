@@ -18,10 +18,13 @@ from .html_text import extract_text
 from .line_dedup import line_dedup
 from .mixing import mix_sources
 from .pii import KINDS, find_pii, span_text
+from .prefix_trie import branched, prefix_trie, sequences
 from .quality_rules import SYMBOLS, quality_rules
 from .simhash import simhash_classes
+from .token_files import read_tokens, write_tokens
 from .token_rollup import commit, counted, signed, totals
 from .vector_graph import near_vectors
+from .whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -110,3 +113,20 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(read_table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
+
+
+@query()
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = work_path(spark, "llm-tokens")
+    write_tokens(read_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    return read_tokens(spark, folder, ids=False)
+
+
+@query(sql.PREFIX_TRIE)
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(branched(sequences(read_table(spark, sf_dir, "conversations"))))

