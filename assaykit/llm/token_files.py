@@ -19,7 +19,7 @@ import os
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -36,9 +36,11 @@ from .common import body, col
 
 END = 0               # the id appended to every document
 SAMPLED = 256         # set bits between two stored positions
-CACHED = 400_000      # parts of texts whose ids a worker keeps
+CACHED = 800_000      # parts of texts whose ids a worker keeps
 JOINED = 1000         # new parts that go through the library as one text
 FLUSHED = 1 << 20     # ids that a task reads back at a time, unless one document has more
+# marks behind a word; a piece of a text never goes on from a Latin letter to one of them
+MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
 MAGIC = b"EFTOK001"
 HEAD = "<8sQQQB"      # magic, documents, of these without an id, ids, bytes of an id
 SEQUENCE = "<QqQB"    # values, least value, largest less least, low bits
@@ -212,16 +214,42 @@ class Encoder:
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum())), sizes
 
+    def gather(self, numbers: list[int] | np.ndarray, counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of runs of ``counts`` cached parts each, one run after the other, and their numbers."""
+        used = np.asarray(numbers, np.int64)
+        starts, sizes = self.starts[used], self.starts[used + 1] - self.starts[used]
+        ends = np.cumsum(sizes)
+        lengths = np.diff(np.concatenate([[0], ends[np.cumsum(counts) - 1]]))
+        return self.ids[np.arange(int(ends[-1])) + np.repeat(starts - (ends - sizes), sizes)], lengths
+
     def learn(self, words: list[str], odd: list[str]) -> None:
-        """Takes parts up into the cache: words, which can stand side by side in one text, and others."""
+        """Takes parts up into the cache; a word with something behind its letters is put together from the two."""
+        cut, pieces = [], set()
+        for word in words:
+            head = word.rstrip(MARKS)
+            if len(head) < len(word) and head[-1].isalpha() and head[-1] < "\u0250":
+                cut.append((head, word[len(head):]))
+            else:
+                pieces.add(word)
+        pieces = pieces.union(chain.from_iterable(cut)).difference(odd).difference(self.known)
+        heads = [p for p in pieces if p[0] == " "]
+        self.take(heads, list(pieces.difference(heads).union(odd)))
+        if cut:
+            ids, lengths = self.gather(list(map(self.known.__getitem__, chain.from_iterable(cut))), [2] * len(cut))
+            self.keep(map("".join, cut), ids, np.cumsum(lengths))
+
+    def keep(self, parts: Iterable[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        self.known.update(zip(parts, range(len(self.known), len(self.known) + len(ends))))
+        self.starts = np.concatenate([self.starts, self.starts[-1] + ends])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def take(self, words: list[str], odd: list[str]) -> None:
+        """Puts parts through the library: words, which can stand side by side in one text, and others."""
         ids, _ = self.library_ids(["".join(words[a:a + JOINED]) for a in range(0, len(words), JOINED)])
         ends = np.cumsum(pa.compute.binary_length(pa.array(words, pa.string())).to_numpy(), dtype=np.int64)
         upto = np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 1
         single, sizes = self.library_ids(odd)
-        self.known.update(zip(chain(words, odd), range(len(self.known), len(self.known) + len(words) + len(odd))))
-        last = self.starts[-1]
-        self.starts = np.concatenate([self.starts, last + upto, last + len(ids) + np.cumsum(sizes)])
-        self.ids = np.concatenate([self.ids, ids, single])
+        self.keep(chain(words, odd), np.concatenate([ids, single]), np.concatenate([upto, len(ids) + np.cumsum(sizes)]))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, each with the end id, and their numbers."""
@@ -238,17 +266,10 @@ class Encoder:
             flat.extend(map(" ".__add__, own[1:]))
             odd.add(flat[-1])  # may end in white space
             counts.append(len(own))
-        words = set(flat)
-        words.difference_update(odd)
-        words.difference_update(self.known)
-        odd.difference_update(self.known)
+        words, odd = set(flat).difference(odd).difference(self.known), odd.difference(self.known)
         if words or odd:
             self.learn(list(words), list(odd))
-        used = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
-        starts, sizes = self.starts[used], self.starts[used + 1] - self.starts[used]
-        ends = np.cumsum(sizes)
-        lengths = np.diff(np.concatenate([[0], ends[np.cumsum(counts) - 1]]))
-        ids = self.ids[np.arange(int(ends[-1])) + np.repeat(starts - (ends - sizes), sizes)]
+        ids, lengths = self.gather(np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat)), counts)
         return np.insert(ids, np.cumsum(lengths), END), lengths + 1
 
 
