@@ -30,6 +30,7 @@ MAX_DIM = 4096        # 128 MB a matrix
 PASSES = 10           # Gram passes at most; three are usual
 ROUNDING = 1e-12      # rows count as orthonormal when their Gram matrix is this close to the identity
 NOTHING = 1e-18       # squared length, against one, under which a direction holds nothing
+NOISE = 1e-12         # deviation, against the largest, that rounding alone can make
 EPS = np.finfo(float).eps
 FITS = 2.0 ** 55      # entries below this have a grid value that is a long with room
 
@@ -178,7 +179,7 @@ def whiten(vectors: DataFrame, id: str = "vec_id", vec: str = "embedding", compo
 
     _, lengths_, axes = np.linalg.svd(r)
     variance = lengths_ ** 2 / n
-    rank = min(k, int((lengths_ > dim * EPS * lengths_[0]).sum())) if lengths_[0] > 0 else 0
+    rank = min(k, int((lengths_ > NOISE * lengths_[0]).sum())) if lengths_[0] > 0 else 0
     signs = np.sign(axes[np.arange(dim), np.abs(axes).argmax(1)])
     turn = (axes * signs[:, None])[:rank].T / np.sqrt(variance[:rank])
     explained = [float(v / variance.sum()) if i < rank else 0.0 for i, v in enumerate(variance[:k])]

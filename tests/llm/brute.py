@@ -2,7 +2,9 @@
 
 import hashlib
 import re
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import xxhash
@@ -104,3 +106,44 @@ def vectors(rows, threshold=0.98):
     count = Counter(x for pair in links for x in pair)
     component = least_reachable([r[0] for r in rows], links)
     return {r[0]: (count[r[0]], component[r[0]]) for r in rows}
+
+
+def prefix_trie(rows):
+    """Sorted rows of the trie of rebuilt conversations, of (conv_id, turn, role, text)."""
+    turns = defaultdict(list)
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            role, text = role or "", text or ""
+            turns[conv].append((turn is not None, turn or 0, hashlib.md5(f"{len(role)}:{role}{text}".encode()).hexdigest(), (role, text)))
+    turns = {c: [t[3] for t in sorted(own)] for c, own in turns.items()}
+    members, ends, children = defaultdict(list), defaultdict(list), defaultdict(set)
+    for c in sorted(turns):
+        h = zlib.crc32(str(c).encode()) % 9
+        seq = tuple(turns.get(c - c % 5, [])[:h] + turns[c][h:])
+        for d in range(len(seq) + 1):
+            members[seq[:d]].append(c)
+        ends[seq].append(c)
+    leaves, saved, out = Counter(), Counter(), []
+    for p in sorted(members, key=len, reverse=True):
+        leaves[p] = leaves[p] or 1
+        if p:
+            saved[p] += (len(members[p]) - 1) * len(p[-1][1].encode())
+            children[p[:-1]].add(p)
+            leaves[p[:-1]] += leaves[p]
+            saved[p[:-1]] += saved[p]
+        out.append((members[p][0], len(p), members[p[:-1]][0] if p else None, len(members[p]), len(children[p]), leaves[p], saved[p],
+                    sha(",".join(map(str, ends[p])))))
+    return sorted(out, key=str)
+
+
+def whitening(vectors, components=16):
+    """(n, deviations, whitened, explained) of finite vectors, exact up to the eigenvectors."""
+    x = np.floor(np.array(vectors, float) * 64).astype(np.int64) + 1_000_000
+    fit = np.unique(x, axis=0)
+    n, sums = len(fit), fit.sum(0)
+    z = (n * fit - sums).astype(object)
+    cov = np.array([[float(Fraction(int(v), n ** 3)) for v in row] for row in z.T.dot(z)])
+    values, axes = np.linalg.eigh(cov)
+    values, axes = values[::-1][:components], axes[:, ::-1][:, :components]
+    apart = n * x - sums
+    return n, (apart ** 2).sum(1), apart / n @ axes / np.sqrt(values), values / np.trace(cov)
