@@ -65,7 +65,7 @@ METRICS = ["total_records", "valid_records", "invalid_records", "quarantined_rec
 
 
 def merge_job_status(jobs: DataFrame, updates: DataFrame, now: Column) -> DataFrame:
-    """Apply status updates: new metrics win where they are given.
+    """Apply status updates: new metrics and messages win where they are given.
 
     Of several updates of a job the one with the latest ``updated_at`` counts; without that column
     several updates of one job raise an error, as none is the last.
@@ -87,8 +87,6 @@ def merge_job_status(jobs: DataFrame, updates: DataFrame, now: Column) -> DataFr
             out.append(F.coalesce("new_status", "status").alias(c))
         elif c == "completed_at":
             out.append(F.when(changed & done, now).otherwise(F.col(c)).alias(c))
-        elif c == "error_message":
-            out.append(F.when(changed, F.col("new_error_message")).otherwise(F.col(c)).alias(c))
         elif f"new_{c}" in changes.columns:
             out.append(F.coalesce(f"new_{c}", c).alias(c))
         else:

@@ -13,6 +13,7 @@ from ..sources import messages as M
 from ..sources import payloads as L
 from ..sources import readers as D
 from ..sources import sinks as Z
+from ..sources.tables import Tables
 from . import fixtures as X
 from .catalog import query
 from .ctes import block, text_list, with_blocks
@@ -280,8 +281,8 @@ def sink_split_outputs(spark, sf_dir):
 
 @query(with_blocks(["res"], "SELECT 'job-1' AS job_id, cust_key AS record_id, is_valid, round(quality_score, 6) AS quality_score, quality_level FROM res"))
 def load_validation_fact(spark, sf_dir):
-    path = work_path(spark, "fact")
+    tables = Tables(spark, work_path(spark, "fact"))
     fact = W.validation_fact(res(spark, sf_dir), F.lit("job-1"), F.col("cust_key"))
     for _ in range(2):  # a repeated load replaces the job's partition
-        Z.append_fact(fact, path, "job_id")
-    return rounded(spark.read.parquet(path).select("job_id", "record_id", "is_valid", "quality_score", "quality_level"), "quality_score")
+        tables.replace({"validation": fact}, ["job-1"])
+    return rounded(tables.read("validation").select("job_id", "record_id", "is_valid", "quality_score", "quality_level"), "quality_score")

@@ -10,6 +10,7 @@ from ..operators import validate as E
 from ..operators import warehouse as W
 from ..operators.batch import run_batch
 from ..session import work_path
+from ..sources.tables import Tables
 from . import fixtures as X
 from .catalog import query
 from .ctes import NOW, block, with_blocks
@@ -95,6 +96,14 @@ _JOB_COLUMNS = ["job_id", "job_name", "job_type", "status", "source_id", "start_
                 "valid_records", "invalid_records", "quarantined_records"]
 
 
+def _stored(spark, **frames):
+    """Tables of jobs in buckets: a job has few rows."""
+    tables = Tables(spark, work_path(spark, "warehouse"), buckets={name: 16 for name in frames})
+    jobs = frames["jobs"].select("job_id")
+    tables.replace(frames, jobs)
+    return tables
+
+
 @query(with_blocks(["jobs"], f"SELECT {', '.join(_JOB_COLUMNS)} FROM jobs"))
 def fact_job(spark, sf_dir):
     return X.jobs(spark, sf_dir).select(*_JOB_COLUMNS)
@@ -107,14 +116,17 @@ def fact_job(spark, sf_dir):
            CASE WHEN u AND job_id % 3 = 0 THEN total_records + 5 ELSE total_records END AS total_records, valid_records
     FROM (SELECT *, status = 'processing' AND job_id % 5 = 0 AS u FROM jobs)"""))
 def merge_job_status(spark, sf_dir):
-    """Every fifth running job ends; every third of those also reports a new total."""
+    """Every fifth running job ends; every third of those also reports a new total. Merged twice into the stored table, whose other buckets stay."""
     jobs = X.jobs(spark, sf_dir)
     k = F.col("job_id")
     updates = jobs.filter((F.col("status") == "processing") & (k % 5 == 0)).select(
         "job_id", F.when(k % 2 == 0, "completed").otherwise("failed").alias("status"),
         F.when(k % 2 != 0, "timed out").alias("error_message"),
         F.when(k % 3 == 0, F.col("total_records") + 5).alias("total_records"))
-    return W.merge_job_status(jobs, updates, X.now()).select(
+    tables = _stored(spark, jobs=jobs)
+    for _ in range(2):
+        tables.merge("jobs", updates, lambda rows, new: W.merge_job_status(rows, new, X.now()))
+    return tables.read("jobs").select(
         "job_id", "status", "completed_at", "error_message", "total_records", "valid_records")
 
 
@@ -208,13 +220,17 @@ def partitioned_staging(spark, sf_dir):
     SELECT 'jobs' AS table_name, count(*) AS remaining FROM jobs WHERE NOT (status = 'failed' AND job_id % 2 = 0)
     UNION ALL SELECT 'results', count(*) FROM results WHERE job_id NOT IN (SELECT job_id FROM jobs WHERE status = 'failed' AND job_id % 2 = 0)"""))
 def delete_job(spark, sf_dir):
+    """Deleted twice from the stored tables, in one commit each."""
     jobs = X.jobs(spark, sf_dir)
+    tables = _stored(spark, jobs=jobs, results=X.results(spark, sf_dir))
     doomed = jobs.filter((F.col("status") == "failed") & (F.col("job_id") % 2 == 0))
+    for _ in range(2):
+        tables.delete(doomed)
 
-    def count(name, df):
-        return W.delete_jobs(df, doomed).agg(F.count(F.lit(1)).alias("remaining")).select(F.lit(name).alias("table_name"), "remaining")
+    def count(name):
+        return tables.read(name).agg(F.count(F.lit(1)).alias("remaining")).select(F.lit(name).alias("table_name"), "remaining")
 
-    return count("jobs", jobs).unionByName(count("results", X.results(spark, sf_dir)))
+    return count("jobs").unionByName(count("results"))
 
 
 @query(with_blocks(["jobs"], "SELECT job_id, CASE WHEN status IN ('completed', 'failed') THEN 100 WHEN status = 'processing' THEN 50 ELSE 0 END AS progress FROM jobs"))
@@ -232,7 +248,8 @@ def batch_load(spark, sf_dir):
     rules = R.learn_rules(X.train(spark, sf_dir), X.DIRTY_FIELDS)
     for _ in range(2):
         job = run_batch(X.cleaned(spark, sf_dir), out, "job-1", "cust_key", X.DIRTY_FIELDS, X.now(), rules, ROUTE)
-    counted = {name: spark.read.parquet(f"{out}/{folder}").agg(F.count(F.lit(1)).alias(name))
+    tables = Tables(spark, out)
+    counted = {name: tables.read(folder).agg(F.count(F.lit(1)).alias(name))
                for name, folder in (("staged", "staging"), ("quarantined", "quarantine"), ("facts", "validation"))}
     summary = spark.read.json(f"{out}/reports/job-1/summary").select(F.col("valid_records").alias("summary_valid"))
     issues = spark.read.json(f"{out}/reports/job-1/issues").agg(F.sum("issue_count").alias("issues"))
@@ -240,3 +257,18 @@ def batch_load(spark, sf_dir):
     for part in (*counted.values(), summary, issues):  # one row each
         rows = rows.crossJoin(part)
     return rows
+
+
+@query(with_blocks(["res"], """SELECT t.table_name, count(r.cust_key) AS records FROM (VALUES ('staging'), ('quarantine'), ('validation')) t(table_name)
+    LEFT JOIN res r ON t.table_name <> 'quarantine' GROUP BY t.table_name"""))
+def batch_rerun(spark, sf_dir):
+    """A load that quarantines records runs again with a floor that none is under: its old quarantined rows are gone."""
+    out = work_path(spark, "rerun")
+    rules = R.learn_rules(X.train(spark, sf_dir), X.DIRTY_FIELDS)
+    for floor in (ROUTE, 0.0):
+        run_batch(X.cleaned(spark, sf_dir), out, "job-1", "cust_key", X.DIRTY_FIELDS, X.now(), rules, floor)
+    tables, rows = Tables(spark, out), None
+    for name in ("staging", "quarantine", "validation"):
+        part = tables.read(name).agg(F.count(F.lit(1)).alias("records")).select(F.lit(name).alias("table_name"), "records")
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
