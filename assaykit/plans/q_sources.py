@@ -12,6 +12,7 @@ from ..session import table_path, work_path
 from ..sources import messages as M
 from ..sources import payloads as L
 from ..sources import readers as D
+from ..sources import records as N
 from ..sources import sinks as Z
 from ..sources.tables import Tables
 from . import fixtures as X
@@ -103,6 +104,77 @@ def validate_corrupt_rows(spark, sf_dir):
         F.lit("Validation exception").alias("quarantine_reason"))
 
 
+def _faulty(spark, sf_dir):
+    """Order lines in four formats, (format, folder): a broken record every fiftieth, a word for a number every seventieth."""
+    root, k = work_path(spark, "faulty"), F.col("o_orderkey")
+    broken, amount = k % 50 == 0, F.when(k % 70 == 0, F.lit("many")).otherwise((k % 100).cast("string"))
+    orders = X.read_table(spark, sf_dir, "orders")
+    for ext, sep in (("csv", ","), ("tsv", "\t")):
+        line = F.concat_ws(sep, k.cast("string"), F.when(broken, F.lit(f"Rua do Paco{sep} 67")).otherwise(F.lit("Oslo")), amount)
+        orders.select(line.alias(sep.join(("id", "city", "amount")))).write.options(
+            header=True, sep="\x01", quote="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(f"{root}/in.{ext}")
+    value = F.when(k % 70 == 0, F.lit('"many"')).otherwise((k % 100).cast("string"))
+    orders.select(F.concat(F.lit('{"id":'), k.cast("string"), F.when(broken, F.lit(',"city"')).otherwise(F.lit(',"city":"Oslo"')),
+                           F.lit(',"amount":'), value, F.lit("}"))).write.text(f"{root}/in.jsonl")
+    element = F.concat(F.lit("<row><id>"), k.cast("string"), F.lit("</id><city>Oslo</city><amount>"),
+                       F.when(broken, F.lit("none")).otherwise(amount), F.lit("</amount></row>"))
+    orders.select(element).write.text(f"{root}/in.xml")
+    return [(ext, f"{root}/in.{ext}") for ext in ("csv", "tsv", "jsonl", "xml")]
+
+
+@query("""
+    WITH k AS (SELECT o_orderkey AS k, o_orderkey % 50 = 0 AS broken, o_orderkey % 70 = 0 AS word FROM orders),
+    f(format, typed, syntax) AS (VALUES ('csv', true, '4 cells, not 3'), ('tsv', true, '4 cells, not 3'), ('jsonl', true, 'no JSON'), ('xml', true, 'value does not fit'),
+                                ('csv', false, '4 cells, not 3'), ('tsv', false, '4 cells, not 3'), ('jsonl', false, 'no JSON'), ('xml', false, NULL))
+    SELECT format, typed, CASE WHEN broken THEN syntax WHEN word AND typed THEN 'value does not fit' END AS reason, count(*) AS records,
+           CAST(sum(k) AS BIGINT) AS ids, CAST(sum(k) FILTER (WHERE NOT broken AND NOT word) AS BIGINT) AS plain
+    FROM (SELECT *, CASE WHEN broken THEN syntax WHEN word AND typed THEN 'x' END IS NULL AS sound FROM k, f) GROUP BY ALL""")
+def scan_malformed(spark, sf_dir):
+    """Every text format with planted faults, with a schema and without: a record is either read or kept with its text and the reason."""
+    out, plain = None, (F.col("id") % 50 != 0) & (F.col("id") % 70 != 0)
+    for ext, path in _faulty(spark, sf_dir):
+        for schema in ("id long, city string, amount long", None):
+            rows = D.load(spark, path, schema=schema, malformed="keep")
+            first = F.regexp_extract(D.CORRUPT, "[0-9]+", 0).cast("long")  # the id is the first number of a record
+            part = rows.select(F.col(N.REASON).alias("reason"), F.when(F.col(D.CORRUPT).isNull(), F.col("id").cast("long")).otherwise(first).alias("id")).groupBy("reason").agg(
+                F.count(F.lit(1)).alias("records"), F.sum("id").alias("ids"), F.sum(F.when(plain, F.col("id"))).alias("plain")).select(
+                F.lit(ext).alias("format"), F.lit(schema is not None).alias("typed"), "reason", "records", "ids", "plain")
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+_DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@query("SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256, lang, source, n_chars FROM documents")
+def csv_quoted_text(spark, sf_dir):
+    """All documents through CSV and back: their texts hold quotes, commas and line breaks."""
+    path = work_path(spark, "texts") + ".csv"
+    Z.save(X.read_table(spark, sf_dir, "documents"), path, "csv")
+    return D.load(spark, path, schema=_DOCUMENT).select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), "lang", "source", "n_chars")
+
+
+_FILE_ENCODINGS = ("UTF-8", "UTF-16", "windows-1252", "ISO-8859-1")
+
+
+@query(r"""SELECT doc_id, sha256(CASE WHEN doc_id % 4 < 2 THEN 'é漢字ελ' || coalesce(text, '')
+            ELSE 'é' || CASE WHEN doc_id % 4 = 2 THEN '€' ELSE '' END || regexp_replace(coalesce(text, ''), '[^\x0a\x20-\x7e\x{a0}-\x{ff}]', ' ', 'g') END) AS text_sha256 FROM documents""")
+def scan_mixed_encodings(spark, sf_dir):
+    """One folder with files in four encodings, every document in one of them, all scripts where the encoding has them."""
+    root, kind = work_path(spark, "mixed"), F.col("doc_id") % 4
+    text = F.coalesce("text", F.lit(""))
+    docs = X.read_table(spark, sf_dir, "documents").select("doc_id", F.concat(
+        F.when(kind < 2, F.lit("é漢字ελ")).otherwise(F.lit("é")), F.when(kind == 2, F.lit("€")).otherwise(F.lit("")),
+        F.when(kind < 2, text).otherwise(F.regexp_replace(text, r"[^\x0a\x20-\x7e\xa0-\xff]", " "))).alias("text"))
+    for i, encoding in enumerate(_FILE_ENCODINGS):
+        part = docs.filter(kind == i)
+        if encoding == "windows-1252":  # the euro sign is its byte 0x80, as one of Latin-1's control characters is
+            part, encoding = part.withColumn("text", F.translate("text", "€", "\x80")), "ISO-8859-1"
+        part.write.options(**Z.KEEP_SPACES, encoding=encoding, quoteAll=True).csv(f"{root}/{i}")
+    back = D.load(spark, f"{root}/*", "csv", schema="doc_id long, text string", encoding=None)
+    return back.select("doc_id", F.sha2("text", 256).alias("text_sha256"))
+
+
 _NESTED = "id long, place struct<city:string,zip:long>"
 
 

@@ -77,15 +77,17 @@ def encoding_audit(spark: SparkSession, path: str | list[str]) -> DataFrame:
     The text source hands over the bytes of a line as they are, so a large file is read in splits
     and combined per file, where a whole-file scan would need each file in one task's memory.
     """
-    raw = F.hex(F.col("value").cast("binary"))
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.is_valid_utf8("value").alias("utf8"),
-        raw.rlike("^(FFFE|FEFF)").alias("bom16"),
-        raw.rlike("^([0-9A-F]{2})*[89][0-9A-F]").alias("c1"))
-    seen = lines.groupBy("file").agg(F.bool_and("utf8").alias("utf8"), F.bool_or("bom16").alias("bom16"), F.bool_or("c1").alias("c1"))
-    return seen.select("file", F.when(F.col("bom16"), "utf-16").when(F.col("utf8"), "utf-8").when(F.col("c1"), "cp1252")
-                       .otherwise("latin-1").alias("encoding"), (~F.col("utf8") & ~F.col("bom16")).alias("encoding_issue"))
+    flags, seen, label = encoding_label(F.col("value"))
+    files = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), *flags).groupBy("file").agg(*seen)
+    return files.select("file", label.alias("encoding"), (~F.col("utf8") & ~F.col("bom16")).alias("encoding_issue"))
+
+
+def encoding_label(line: Column) -> tuple[list[Column], list[Column], Column]:
+    """What a line's bytes tell, how that is combined per file, and the label that follows."""
+    raw = F.hex(line.cast("binary"))
+    flags = [F.is_valid_utf8(line).alias("utf8"), raw.rlike("^(FFFE|FEFF)").alias("bom16"), raw.rlike("^([0-9A-F]{2})*[89][0-9A-F]").alias("c1")]
+    seen = [F.bool_and("utf8").alias("utf8"), F.bool_or("bom16").alias("bom16"), F.bool_or("c1").alias("c1")]
+    return flags, seen, F.when(F.col("bom16"), "utf-16").when(F.col("utf8"), "utf-8").when(F.col("c1"), "cp1252").otherwise("latin-1")
 
 
 def read_json(spark: SparkSession, path: str | list[str], schema: str | T.StructType | None = None, lines: bool = False) -> DataFrame:
@@ -191,14 +193,27 @@ def read_csv_any(spark: SparkSession, path: str | list[str], schema: str | T.Str
 
 def load(spark: SparkSession, path: str, fmt: str | None = None, schema: str | T.StructType | None = None, row_tag: str = "row",
          sep: str | None = None, encoding: str | None = "UTF-8", malformed: str = "fail") -> DataFrame:
-    """Read a path by its extension or by the named format; the last three are those of ``read_csv_any``."""
+    """Read a path by its extension or by the named format.
+
+    ``malformed`` says what becomes of records that cannot be read or do not fit: "fail" raises an
+    error, "keep" keeps them with their text, the reason and the file in ``_corrupt_record``,
+    ``_corrupt_reason`` and ``_corrupt_file`` (delimited text, JSON lines, XML; a broken JSON document
+    always raises). ``sep`` and ``encoding`` are those of delimited text; None looks at the files.
+    """
+    from . import records as R
+
+    def done(df: DataFrame) -> DataFrame:
+        return df if malformed == "keep" else R.strict(df)
+
+    if malformed not in ("fail", "keep"):
+        raise ValueError("malformed is 'fail' or 'keep'")
     readers = {
-        "csv": lambda: read_csv_any(spark, path, schema, sep, encoding, malformed),
+        "csv": lambda: done(R.delimited_records(spark, path, schema, sep, encoding, malformed)),
         "json": lambda: read_json_either(spark, path, schema),
-        "jsonl": lambda: read_json(spark, path, schema, lines=True),
+        "jsonl": lambda: done(R.json_line_records(spark, path, schema, malformed)),
         "parquet": lambda: read_parquet(spark, path, schema),
-        "delimited": lambda: read_delimited(spark, path, schema),
-        "xml": lambda: read_xml(spark, path, row_tag, schema),
+        "delimited": lambda: done(R.delimited_records(spark, path, schema, sep, encoding, malformed, usual="\t")),
+        "xml": lambda: done(R.xml_records(spark, path, row_tag, schema, malformed)),
     }
     kind = fmt or format_of(path)
     if kind not in readers:
