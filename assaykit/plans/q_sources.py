@@ -195,8 +195,8 @@ def scan_json_multiline(spark, sf_dir):
     return C.drop_empty_rows(C.flatten(D.read_json(spark, path + "/*/*.txt", _NESTED)))
 
 
-_PLAIN = ["o_orderkey", "o_orderstatus", "o_orderpriority"]
-_PLAIN_SCHEMA = "o_orderkey long, o_orderstatus string, o_orderpriority string"
+_PLAIN_SCHEMA = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
+_PLAIN = [field.split()[0] for field in _PLAIN_SCHEMA.split(", ")]
 _PLAIN_SQL = f"SELECT {', '.join(_PLAIN)} FROM orders"
 
 
@@ -211,16 +211,12 @@ def scan_jsonl(spark, sf_dir):
     return D.read_json(spark, path, _PLAIN_SCHEMA, lines=True)
 
 
-_ORDER_SCHEMA = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string"
-_ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
-
-
-@query(f"SELECT {', '.join(_ORDER_COLUMNS)} FROM orders")
+@query(_PLAIN_SQL)
 def scan_json_lines_as_json(spark, sf_dir):
     """JSON lines under the extension of documents, as the library's own sink writes them: no record is lost."""
     path = work_path(spark, "lines") + ".json"
-    Z.save(X.read_table(spark, sf_dir, "orders").select(*_ORDER_COLUMNS), path, "json")
-    return D.load(spark, path, schema=_ORDER_SCHEMA)
+    Z.save(X.read_table(spark, sf_dir, "orders").select(*_PLAIN), path, "json")
+    return D.load(spark, path, schema=_PLAIN_SCHEMA)
 
 
 @query(_PLAIN_SQL)
@@ -301,9 +297,10 @@ def payload_csv_to_records(spark, sf_dir):
 
 
 # ---- messages -----------------------------------------------------------------------------------
-@query("""SELECT CAST(event_id AS VARCHAR) AS key, '{"event_id":' || event_id || ',"ts":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '","user_id":' || user_id || ',"event_type":"' || event_type || '"}' AS value FROM events""")
+@query("""SELECT CAST(event_id AS VARCHAR) AS key, '{"event_id":' || event_id || ',"ts":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '","user_id":' || user_id ||
+          ',"event_type":"' || event_type || '","value":' || coalesce(CAST(value AS VARCHAR), 'null') || ',"props":' || coalesce(CAST(to_json(props) AS VARCHAR), 'null') || '}' AS value FROM events""")
 def kafka_encode(spark, sf_dir):
-    return M.encode(X.read_table(spark, sf_dir, "events"), "event_id", ["event_id", "ts", "user_id", "event_type"])
+    return M.encode(X.read_table(spark, sf_dir, "events"), "event_id")
 
 
 def _messages(spark, sf_dir):
