@@ -5,9 +5,12 @@ label gets pivots (a bounded sample of its nodes) and each node joins the shards
 pivots, so shards overlap; a shard that is too large is split into blocks by hash. On every block a
 graph is built: near neighbours and some far ones, robustly pruned, with edges back, all reachable
 from the block's medoid. A node's adjacency lists of all its blocks are united. Then every node is
-searched in the shards of its nearest pivots, and of all other pivots that can be the nearest one of a
-vector linked with it, so routing loses no link: a greedy search runs from the medoid and from the node's own list, and once it is in range it expands
-from all that is in range until nothing new turns up. What was found is verified by the exact cosine.
+searched in the shard of its nearest pivot, its home, and in those of all other pivots that can be the
+home of a vector linked with it, as far as they are numbered below its own: of two linked nodes with
+different homes the one with the higher home visits the other's, which counts for both. So routing
+loses no link. A greedy search runs from the medoid and from the node's own list, and once it is in
+range it expands from all that is in range until nothing new turns up. What was found is verified by
+the exact cosine.
 
 Each block counts the links to the nodes at home in it and gives a spanning star of the links found,
 so a dense family yields rows in proportion to its members, not to its pairs. A task holds one block
@@ -26,12 +29,13 @@ from .common import col, pair_hash, stored
 from .components import components
 
 THRESHOLD = 0.98
-SHARD = 1000        # nodes of a block, about; as many again come from overlap
+SHARD = 4000        # nodes of a block, about; as many again come from overlap
+ROWS = 512          # nodes of a block that are compared with all of it at a time
 VISITORS = 2000     # nodes that a task searches in a block, about
 CHUNK = 8192        # nodes that a task compares with the pivots of their label, about; fewer with over PAIRED pivots
 PAIRED = 1024
 PIVOTS = 4096       # pivots of a label at most: the documented bound of the sample
-HOMES, ROUTES = 2, 4  # shards a node is built into, and is searched in at least
+HOMES = 2           # shards that a node is built into
 DEGREE, NEAR, FAR, ALPHA = 24, 40, 16, 1.2
 BEAM, SLACK = 12, 0.06
 BROADCAST_LABELS = 10_000
@@ -79,17 +83,19 @@ def build_graph(units: np.ndarray, seed: int) -> list[np.ndarray]:
     n = len(units)
     if n == 1:
         return [np.zeros(0, np.int64)]
-    near = units @ units.T
-    np.fill_diagonal(near, -2)
     k = min(NEAR, n - 1)
-    closest = np.argpartition(-near, k - 1, axis=1)[:, :k]
+    light, closest = units.astype(np.float32), np.empty((n, k), np.int64)
+    for a in range(0, n, ROWS):  # single precision chooses edges; links are verified in double
+        near = light[a:a + ROWS] @ light.T
+        near[np.arange(len(near)), np.arange(a, a + len(near))] = -2
+        closest[a:a + ROWS] = np.argpartition(-near, k - 1, axis=1)[:, :k]
     far = np.random.default_rng(seed).integers(0, n, (n, FAR))
     cand = np.concatenate([closest, far], 1)
-    rows = np.arange(n)[:, None]
-    order = np.argsort(-near[rows, cand], axis=1, kind="stable")
-    cand = cand[rows, order]
-    score = near[rows, cand]
-    cand[score < -1.5] = -1  # the node itself
+    score = similarity(units, units, np.repeat(np.arange(n), cand.shape[1]), cand.ravel()).reshape(cand.shape)
+    score[cand == np.arange(n)[:, None]] = -2  # the node itself
+    order = np.argsort(-score, axis=1, kind="stable")
+    cand, score = np.take_along_axis(cand, order, 1), np.take_along_axis(score, order, 1)
+    cand[score < -1.5] = -1
     chosen = robust_prune(score, cand, units)
     src, dst = np.nonzero(chosen >= 0)[0], chosen[chosen >= 0]
     pairs = np.unique(np.concatenate([src * n + dst, dst * n + src]))  # edges back
@@ -99,10 +105,12 @@ def build_graph(units: np.ndarray, seed: int) -> list[np.ndarray]:
     full = [i for i, x in enumerate(lists) if len(x) > 2 * DEGREE]
     if full:
         width = max(len(lists[i]) for i in full)
-        again = np.full((len(full), width), -1, np.int64)
+        again, closer = np.full((len(full), width), -1, np.int64), np.full((len(full), width), -2.0)
         for j, i in enumerate(full):
-            again[j, :len(lists[i])] = lists[i][np.argsort(-near[i, lists[i]], kind="stable")]
-        kept = robust_prune(near[np.array(full)[:, None], again], again, units)
+            own = units[lists[i]] @ units[i]
+            order = np.argsort(-own, kind="stable")
+            again[j, :len(order)], closer[j, :len(order)] = lists[i][order], own[order]
+        kept = robust_prune(closer, again, units)
         for j, i in enumerate(full):
             lists[i] = kept[j][kept[j] >= 0]
     # reach: nodes not reached from the medoid get an edge from their nearest reached node
@@ -117,7 +125,7 @@ def build_graph(units: np.ndarray, seed: int) -> list[np.ndarray]:
         if reached.all():
             return lists
         lost = int((~reached).argmax())
-        gate = int(np.where(reached, near[lost], -3).argmax())
+        gate = int(np.where(reached, units @ units[lost], -3).argmax())
         lists[gate] = np.append(lists[gate], lost)
         reached[lost] = True
         front = [lost]
@@ -229,20 +237,21 @@ def assign(threshold: float):
     turn = np.sqrt(1 - threshold ** 2) if threshold > 0 else np.inf
 
     def run(nodes: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
-        """(node, shard, rank): rank counts a node's pivots from the nearest; all that can be the nearest of a linked vector are there."""
+        """(node, shard, rank, home, visit): rank counts a node's pivots from the nearest, its home; visit tells where it is searched."""
         if nodes.empty or pivots.empty:
-            return pd.DataFrame({"node": [], "shard": [], "rank": []}).astype("int64")
+            return pd.DataFrame({"node": [], "shard": [], "rank": [], "home": []}).astype("int64").assign(visit=pd.Series(dtype=bool))
         pivots = pivots.sort_values("shard", ignore_index=True)
         shards, centres, ids, found = pivots["shard"].to_numpy(), unit(matrix(pivots["vec"])), nodes["node"].to_numpy(), []
         for a in range(0, len(nodes), 512):  # with all pivots of a label, 512 rows are 16 MB of cosines
             near = unit(matrix(nodes["vec"][a:a + 512])) @ centres.T
             order = np.argsort(-near, axis=1, kind="stable")
-            first = order[:, 0]
-            apart = np.sqrt(np.maximum(0, 2 - 2 * centres[first] @ centres.T))
-            behind = near[np.arange(len(near)), first][:, None] - near
-            take = (np.arange(near.shape[1]) < ROUTES) | np.take_along_axis(behind <= turn * apart + 1e-7, order, 1)
-            row, rank = np.nonzero(take)
-            found.append(pd.DataFrame({"node": ids[a + row], "shard": shards[order[row, rank]], "rank": rank}))
+            first = order[:, :1]
+            apart = np.sqrt(np.maximum(0, 2 - 2 * centres[first[:, 0]] @ centres.T))
+            behind = np.take_along_axis(near, first, 1) - near
+            # pivots come by their numbers, so those of lower shards have lower places
+            visit = np.take_along_axis((behind <= turn * apart + 1e-7) & (np.arange(near.shape[1]) <= first), order, 1)
+            row, rank = np.nonzero(visit | (np.arange(near.shape[1]) < HOMES))
+            found.append(pd.DataFrame({"node": ids[a + row], "shard": shards[order[row, rank]], "rank": rank, "home": shards[first[row, 0]], "visit": visit[row, rank]}))
         return pd.concat(found)
 
     return run
@@ -250,7 +259,7 @@ def assign(threshold: float):
 
 def search_block(threshold: float):
     def run(members: pd.DataFrame, visitors: pd.DataFrame) -> pd.DataFrame:
-        """Counts (a, a, links of a to nodes at home here) and stars (a, b, 0)."""
+        """Counts (a, a, links) and stars (a, b, 0); links are those to nodes at home here, and back from these to visitors that are not."""
         if members.empty or visitors.empty:
             return pd.DataFrame({"a": [], "b": [], "n": []}).astype("int64")
         members = members.sort_values("node", ignore_index=True)
@@ -272,10 +281,12 @@ def search_block(threshold: float):
         q, x = q[ok], x[ok]
         weight = np.where(members["home"].to_numpy()[x], members["size"].to_numpy()[x], 0)
         links = np.bincount(q, weight, len(seekers)).astype(np.int64)
-        some = links > 0
+        back = (weight > 0) & (visitors["home"].to_numpy()[q] != visitors["shard"].to_numpy()[q])
+        returned = np.bincount(x[back], visitors["size"].to_numpy()[q[back]], len(ids)).astype(np.int64)
+        some, met = links > 0, returned > 0
         a, b = stars(seekers[q], ids[x])
-        return pd.DataFrame({"a": np.concatenate([seekers[some], a]), "b": np.concatenate([seekers[some], b]),
-                             "n": np.concatenate([links[some], np.zeros(len(a), np.int64)])})
+        return pd.DataFrame({"a": np.concatenate([seekers[some], ids[met], a]), "b": np.concatenate([seekers[some], ids[met], b]),
+                             "n": np.concatenate([links[some], returned[met], np.zeros(len(a), np.int64)])})
 
     return run
 
@@ -333,11 +344,11 @@ def near_vectors(vectors: DataFrame, id: str = "vec_id", vec: str = "embedding",
               .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))))
     routes = (chunked.select("grp", "chunk", "node", "vec").groupBy("grp", "chunk")
               .cogroup(renamed(pivots.select("grp", "chunk", "shard", "vec"), "grp", "chunk"))
-              .applyInPandas(assign(threshold), "node long, shard long, rank long"))
+              .applyInPandas(assign(threshold), "node long, shard long, rank long, home long, visit boolean"))
     routes = stored(routes, "vector-routes").join(nodes.select("grp", "node", "size", "vec"), "node")
     routes = stored(routes, "vector-routed")
 
-    sizes = routes.groupBy("grp", "shard").agg(F.count_if(F.col("rank") < HOMES).alias("members"), F.count("*").alias("visitors"))
+    sizes = routes.groupBy("grp", "shard").agg(F.count_if(F.col("rank") < HOMES).alias("members"), F.count_if("visit").alias("visitors"))
     sizes = stored(sizes.select("grp", "shard", F.greatest(F.lit(1), F.ceil(F.col("members") / (HOMES * SHARD))).alias("blocks"),
                                 F.greatest(F.lit(1), F.ceil(F.col("visitors") / VISITORS)).alias("slices")), "vector-shards")
     routed = routes.join(sizes, ["grp", "shard"])
@@ -347,8 +358,8 @@ def near_vectors(vectors: DataFrame, id: str = "vec_id", vec: str = "embedding",
 
     places = (members.join(graph, "node").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
               .select("grp", "shard", "block", "slice", "node", "size", (F.col("rank") == 0).alias("home"), "vec", "near"))
-    visits = (routed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-              .withColumn("slice", F.pmod(F.xxhash64(F.lit(4), "node"), "slices")).select("grp", "shard", "block", "slice", "node", "vec"))
+    visits = (routed.filter("visit").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+              .withColumn("slice", F.pmod(F.xxhash64(F.lit(4), "node"), "slices")).select("grp", "shard", "block", "slice", "node", "size", "home", "vec"))
     keys = ["grp", "shard", "block", "slice"]
     found = stored(places.groupBy(*keys).cogroup(renamed(visits, *keys)).applyInPandas(search_block(threshold), "a long, b long, n long"), "vector-links")
 
