@@ -29,8 +29,9 @@ from .common import col, pair_hash, stored
 from .components import components
 
 THRESHOLD = 0.98
-SHARD = 4000        # nodes of a block, about; as many again come from overlap
-ROWS = 512          # nodes of a block that are compared with all of it at a time
+SHARD = 8000        # nodes of a block, about; as many again come from overlap. Twice as many cost each node as much again
+                    # to build, and spare it over a third of its visits
+ROWS = 256          # nodes of a block that are compared with all of it at a time
 VISITORS = 2000     # nodes that a task searches in a block, about
 CHUNK = 8192        # nodes that a task compares with the pivots of their label, about; fewer with over PAIRED pivots
 PAIRED = 1024
@@ -56,10 +57,11 @@ def robust_prune(near: np.ndarray, cand: np.ndarray, units: np.ndarray) -> np.nd
     point itself are struck out; and so on.
     """
     out = np.full((len(cand), DEGREE), -1, np.int64)
+    units, near = units.astype(np.float32), near.astype(np.float32)  # enough to choose edges
     for a in range(0, len(cand), 256):
         c = np.where(cand[a:a + 256] < 0, 0, cand[a:a + 256])
         vectors = units[c]
-        apart = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ijd,ikd->ijk", vectors, vectors, optimize=True)))
+        apart = np.sqrt(np.maximum(0, 2 - 2 * vectors @ vectors.transpose(0, 2, 1)))
         away = np.sqrt(np.maximum(0, 2 - 2 * near[a:a + 256]))
         live = cand[a:a + 256] >= 0
         rows = np.arange(len(c))
