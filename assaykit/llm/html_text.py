@@ -2,9 +2,14 @@
 
 A page is cut into lines at its block elements; tags with no text between make no line, however
 deeply they are nested. What says itself that it is not article (menus, adverts, footers ...) leaves
-lines of length zero. Over a sliding window of lines the text lengths are summed: where the sum rises
-over a threshold the text surges, where it falls to zero it dives, and the lines between are kept,
-with the short ones that lead up to the surge. Where an ``article`` or ``main`` element that is no
+lines of length zero, and lines that are nothing but links weigh nothing. Over a sliding window of
+lines the weights are summed: where the sum rises over a threshold the text surges, where it falls to
+zero it dives, and the lines between are kept, with the short ones that lead up to the surge.
+
+A class or id that names boilerplate drops an element, but not one that wraps the page: not if the
+name only says what the page has or lacks, nor if a heading of the page or an article lies in it. If
+nothing that surges would be left of a page that has such text, elements with half of the text or more
+are taken for wrappers too. Where an ``article`` or ``main`` element that is no
 boilerplate itself holds the page's largest surge, all text of such elements is kept, short paragraphs
 too, and nothing else is; on other pages the line blocks of the whole page decide.
 """
@@ -13,7 +18,7 @@ from __future__ import annotations
 
 import html
 import re
-from itertools import groupby
+from itertools import accumulate, groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,23 +37,33 @@ form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu n
 tbody td tfoot th thead title tr ul""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noframes xmp template".split())
-DROPPED = frozenset("nav footer aside form head script style noscript template iframe noframes svg math object button select textarea menu dialog".split())
+DROPPED = frozenset("nav footer aside form head title script style noscript template iframe noframes svg math object button select textarea menu dialog".split())
 DROPPED_OUTSIDE = frozenset(["header"])  # the header inside an article belongs to it
 MARKS = frozenset("""ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus
 footer gdpr login menu modal nav navbar navigation newsletter notice notices notification paywall popup promo promotion related reply replies
 share sharing sidebar signup social sponsor sponsored subscribe toolbar widget contentinfo complementary search""".split())
 MARKS_OUTSIDE = frozenset(["header", "masthead"])
+#: elements that are never the page itself
+ALWAYS = DROPPED - {"form", "dialog", "menu"}
 UNMARKED = frozenset("html body main h1 h2 h3 h4 h5 h6".split())
 ROOTS = frozenset(["article", "main"])
 #: an article may be of a topic or layout that MARKS names; these say that it is not the page's own text
 ARTICLE_MARKS = frozenset("""ad ads adv advert adverts advertisement advertising comment comments promo promotion related reply replies
 sponsor sponsored teaser teasers""".split())
 ARTICLE_NOTES = frozenset("category format has is no not tag type with without".split())  # has-comments, tag-related: a property, not a kind
+NOTES = frozenset("has no not with without".split())
+LACKS = frozenset("free less off disabled hidden none".split())  # ad-free
+#: words that go with a mark in a name without making it another thing: related-posts is boilerplate in an article, related-work is not
+COMPANIONS = frozenset("""area article articles bar block blocks body box button buttons card cards col column container content count entry field form
+group header heading icon icons inner input item items label left link links list main meta news note outer panel post posts primary right section
+secondary site slot stories story thread title top bottom unit user wrap wrapper author""".split())
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"'=]|=\s*+"[^"]*"|=\s*+'[^']*'|[="'])*+)(?:>|\Z)""", re.S)
 LABEL = re.compile(r"""(?:^|[\s"'/])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORD = re.compile(r"[a-z0-9]+")
 BLANK = re.compile(r"[ \t\n\x0b\x0c\r]+")
+SEPARATORS = " \t\n\x0b\x0c\r|\u00b7\u2022/\u00bb\u203a>-\u2013,;:"  # what stands between the links of a menu
+RIGHTS = re.compile(r"\s*(?:\u00a9|\(c\)\s|copyright\b)", re.I)
 
 
 def tokens(page: str) -> list[tuple[str, str, str]]:
@@ -84,41 +99,61 @@ def partners(found: list[tuple[str, str, str]]) -> dict[int, int]:
 
 
 def is_boilerplate(name: str, attributes: str, inside: bool) -> bool:
+    """Whether the element says that it is no article, by its own name or by a class, id or role."""
     if name in DROPPED or name in DROPPED_OUTSIDE and not inside:
         return True
     if name in UNMARKED or name in VOID or "=" not in attributes:
         return False
     names = [n for m in LABEL.finditer(attributes) for n in (m[1] or m[2] or m[3] or "").lower().split()]
+    said = [w for n in names if (w := WORD.findall(n))]
     if name == "article":
-        said = [WORD.findall(n) for n in names]
-        return any(w and w[0] not in ARTICLE_NOTES and not ARTICLE_MARKS.isdisjoint(w) for w in said)
-    said = {w for n in names for w in WORD.findall(n)}
-    return bool(said & MARKS or not inside and said & MARKS_OUTSIDE)
+        return any(w[0] not in ARTICLE_NOTES and not ARTICLE_MARKS.isdisjoint(w) for w in said)
+    said = [w for w in said if w[0] not in NOTES and w[-1] not in LACKS]
+    if inside:
+        return any(not MARKS.isdisjoint(w) and all(x in MARKS or x in COMPANIONS or x.isdigit() for x in w) for w in said)
+    return any(not MARKS.isdisjoint(w) or not MARKS_OUTSIDE.isdisjoint(w) for w in said)
 
 
-def page_lines(page: str) -> tuple[list[str], list[int]]:
-    """The page's lines in order, boilerplate as empty lines, and the number of the outermost article or main each is in (0: none)."""
+def is_page(kind: str, name: str, attributes: str) -> bool:
+    """Whether a tag opens what only the page itself has."""
+    return kind == "open" and (name in ("main", "h1") or name == "article" and not is_boilerplate(name, attributes, False))
+
+
+def page_lines(page: str, lenient: bool = False) -> tuple[list[str], list[int], list[int]]:
+    """The page's lines in order, boilerplate as empty lines; the number of the outermost article or main each is in (0: none); their weights."""
     found = tokens(page)
     match = partners(found)
-    lines, owners, parts, inside, n_roots, until, i = [], [], [], 0, 0, [], 0
+    raw = {i + 1 for i, (kind, name, _) in enumerate(found) if kind == "open" and name in RAW}
+    sizes = list(accumulate((len(name.strip()) if kind == "text" and i not in raw else 0 for i, (kind, name, _) in enumerate(found)), initial=0))
+    heads = list(accumulate(map(int, (is_page(*x) for x in found)), initial=0))
+    lines, owners, weights, parts, inside, n_roots, until, links, i = [], [], [], [], 0, 0, [], 0, 0
+
+    def wraps(start: int, end: int) -> bool:
+        """Whether an element holds the page rather than a part beside it."""
+        return heads[end] > heads[start + 1] or lenient and 2 * (sizes[end] - sizes[start]) >= sizes[-1]
 
-    def add(line: str) -> None:
+    def add(line: str, weight: int) -> None:
         lines.append(line)
         owners.append(n_roots if inside else 0)
+        weights.append(weight)
 
     def new_line() -> None:
-        if line := BLANK.sub(" ", "".join(parts)).strip(" "):
-            add(line)
+        if line := BLANK.sub(" ", "".join(x for x, _ in parts)).strip(" "):
+            plain = any(x.strip(SEPARATORS) for x, linked in parts if not linked)
+            add(line, len(line) if plain and not RIGHTS.match(line) else 0)
         parts.clear()
 
     while i < len(found):
         kind, name, attributes = found[i]
         if kind == "text":
-            parts.append(html.unescape(name))
+            parts.append((html.unescape(name), links > 0))
         else:
             if name in BLOCKS:
                 new_line()
-            if kind == "open" and is_boilerplate(name, attributes, bool(inside)):
+            if name == "a":
+                links = links + 1 if kind == "open" and i in match else max(0, links - 1) if kind == "close" else links
+            if kind == "open" and is_boilerplate(name, attributes, bool(inside)) and not (
+                    name not in ALWAYS and i in match and wraps(i, match[i])):
                 end = match.get(i)
                 if end is None and (name in DROPPED or name in DROPPED_OUTSIDE):
                     # never closed: it ends where an article begins, or with the page
@@ -126,7 +161,7 @@ def page_lines(page: str) -> tuple[list[str], list[int]]:
                 if end is not None:
                     if name in BLOCKS:
                         for _ in range(WINDOW):
-                            add("")
+                            add("", 0)
                     i = end
             elif kind == "open" and name in ROOTS:
                 n_roots += not inside
@@ -139,25 +174,31 @@ def page_lines(page: str) -> tuple[list[str], list[int]]:
                 inside -= 1
         i += 1
     new_line()
-    return lines, owners
+    return lines, owners, weights
 
 
 def surging(lengths: list[int], threshold: int) -> list[tuple[int, int]]:
     """Ranges of lines from a surge (the window's sum exceeds the threshold) to the next dive (the sum is zero).
 
-    A surge starts after the dive before it: a title or a byline belongs to the text that it adjoins.
+    A surge starts after the dive or the last line without weight before it: a title or a byline
+    belongs to the text that it adjoins, a line of links does not. Nor do such lines at its end.
     """
     windows = [sum(lengths[i:i + WINDOW]) for i in range(len(lengths))]
     spans, start, dived = [], None, 0
     for i, total in enumerate(windows):
-        if start is None and lengths[i] and total > threshold:
+        if start is None and not lengths[i]:
+            dived = i + 1
+        elif start is None and total > threshold:
             start = dived
         elif total == 0:
             if start is not None:
                 spans.append((start, i))
             start, dived = None, i + 1
     if start is not None:
-        spans.append((start, len(lengths)))
+        end = len(lengths)
+        while not lengths[end - 1]:
+            end -= 1
+        spans.append((start, end))
     return spans
 
 
@@ -181,13 +222,16 @@ def main_text(page: str | None) -> str:
     """The article's blocks in page order, joined by one space; empty if there is none."""
     if not page:
         return ""
-    lines, owners = page_lines(page)
-    lengths = [len(x) for x in lines]
-    if in_roots(lengths, owners):
+    lines, owners, weights = page_lines(page)
+    if not surging(weights, SURGE):
+        again = page_lines(page, lenient=True)
+        if surging(again[2], SURGE):
+            lines, owners, weights = again
+    if in_roots([len(x) for x in lines], owners):
         return " ".join(x for x, o in zip(lines, owners) if x and o)
-    spans = surging(lengths, SURGE)
-    if not spans and any(lengths):  # a short page without any surge: its largest run of lines
-        spans = [max(surging(lengths, 0), key=lambda s: sum(lengths[s[0]:s[1]]))]
+    spans = surging(weights, SURGE)
+    if not spans and any(weights):  # a short page without any surge: its largest run of lines
+        spans = [max(surging(weights, 0), key=lambda s: sum(weights[s[0]:s[1]]))]
     return " ".join(x for a, b in spans for x in lines[a:b] if x)
 
 
