@@ -286,7 +286,7 @@ def test_vectors(spark):
     assert {r["n_links"] for r in extra if r["vec_id"] in (1, 2, 3, None)} == {4} and len(extra) == len(rows) + 2
 
 
-def test_a_node_visits_the_home_of_every_vector_linked_with_it():
+def test_of_two_linked_nodes_the_one_with_the_higher_home_visits_the_other():
     rng = np.random.default_rng(7)
     x = unit(rng.normal(size=(2000, 64)))
     side = rng.normal(size=x.shape)
@@ -295,8 +295,12 @@ def test_a_node_visits_the_home_of_every_vector_linked_with_it():
     pivots = pd.DataFrame({"shard": range(256), "vec": list(rng.normal(size=(256, 64)))})
     routes = assign(0.98)(pd.DataFrame({"node": range(4000), "vec": [*x, *y]}), pivots)
     home = routes[routes["rank"] == 0].set_index("node")["shard"]
-    visited = set(zip(routes["node"], routes["shard"]))
-    assert all((n, home[(n + 2000) % 4000]) in visited for n in range(4000))
+    visits = routes[routes["visit"]]
+    visited = set(zip(visits["node"], visits["shard"]))
+    pairs = [(n, (n + 2000) % 4000) for n in range(4000)]
+    assert all((n, home[n]) in visited for n, _ in pairs) and len({home[n] != home[m] for n, m in pairs}) == 2
+    assert all((n, home[m]) in visited for n, m in pairs if home[n] >= home[m])
+    assert (visits["shard"] <= visits["home"]).all() and (routes["home"] == home[routes["node"]].to_numpy()).all()
 
 
 def test_pivots_are_ranked_among_few_nodes(spark):
