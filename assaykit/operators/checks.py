@@ -13,12 +13,13 @@ from pyspark.sql import types as T
 from ..functions import fixed_values as V
 from ..functions.detectors import always_fits, as_text, fits_loosely, fits_type, number_of
 from ..functions.settle import note_failures, settle
+from .allowed import mark_unknown
 from .rules import FieldRule
 from .warehouse import ratio
 
 
 # ---- constraint check of an inferred definition ----------------------------------------------
-def constraint_score(value: Column, amount: Column, rule: FieldRule) -> Column:
+def constraint_score(value: Column, amount: Column, rule: FieldRule, unknown: Column | None = None) -> Column:
     """Product of the constraint factors of one present value and its number; missing bounds are not checked."""
     score, w = F.lit(1.0), V.CONSTRAINT_FACTORS
     if rule.min_length is not None:
@@ -31,12 +32,15 @@ def constraint_score(value: Column, amount: Column, rule: FieldRule) -> Column:
         score = score * F.when(amount > rule.max_value, w["range"]).otherwise(1.0)
     if rule.allowed:
         score = score * F.when(~value.isin(list(rule.allowed)), w["category"]).otherwise(1.0)
+    elif unknown is not None:
+        score = score * F.when(unknown, w["category"]).otherwise(1.0)
     return score
 
 
 def validate_constraints(df: DataFrame, definition: list[FieldRule]) -> DataFrame:
     """Judge records by an inferred definition: only a missing required value makes one invalid."""
-    scores, errors, warnings = [], [], []
+    scores, errors, warnings, columns = [], [], [], df.columns
+    df, unknown = mark_unknown(df, definition)
     for rule in definition:
         here = rule.field in df.columns
         value = as_text(df, rule.field) if here else F.lit(None).cast("string")
@@ -49,9 +53,10 @@ def validate_constraints(df: DataFrame, definition: list[FieldRule]) -> DataFram
         scores.append(
             F.when(missing, 0.0)
             .when(value.isNull(), 1.0)
-            .otherwise(F.when(mismatch, V.CONSTRAINT_FACTORS["type"]).otherwise(1.0) * constraint_score(value, amount, rule))
+            .otherwise(F.when(mismatch, V.CONSTRAINT_FACTORS["type"]).otherwise(1.0) * constraint_score(value, amount, rule, unknown.get(rule.field)))
         )
-    scored = settle(df, {"quality_score": reduce(lambda a, b: a + b, scores) / len(scores)})
+    scored = settle(df, {"quality_score": reduce(lambda a, b: a + b, scores) / len(scores)}).select(
+        *[F.col(f"`{c}`") for c in columns], "quality_score")
     noted = note_failures(note_failures(scored, errors, "errors", "is_valid"), warnings, "warnings", "__calm")
     return noted.withColumn(
         "status", F.when(~F.col("is_valid"), "invalid").when(~F.col("__calm"), "warning").otherwise("valid")).drop("__calm")

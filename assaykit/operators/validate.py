@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as V
 from ..functions.detectors import always_fits, as_text, fits_type, number_of, quality_level
 from ..functions.settle import settle, sql_text
+from .allowed import mark_unknown
 from .rules import FieldRule
 
 ABSENT_REQUIRED, ABSENT_OPTIONAL, NULL_REQUIRED, NULL_OPTIONAL = 1, 2, 4, 8
@@ -26,8 +27,8 @@ def _bit(cond: Column, bit: int) -> Column:
     return F.when(cond, F.lit(bit)).otherwise(F.lit(0))
 
 
-def check_bits(df: DataFrame, rule: FieldRule) -> Column:
-    """The failed checks of one cell."""
+def check_bits(df: DataFrame, rule: FieldRule, unknown: Column | None = None) -> Column:
+    """The failed checks of one cell; ``unknown`` comes from ``mark_unknown`` for a rule with a table of allowed values."""
     value, parts = as_text(df, rule.field), []
     if rule.patterns:
         parts.append(_bit(~fits_type(value, rule.kind), TYPE | PATTERN))
@@ -45,6 +46,10 @@ def check_bits(df: DataFrame, rule: FieldRule) -> Column:
             parts.append(_bit(number_of(df, rule.field) > rule.max_value, ABOVE))
     if rule.allowed:
         parts.append(_bit(~value.isin(list(rule.allowed)), CATEGORY))
+    elif rule.listed:
+        if unknown is None:
+            raise ValueError(f"the allowed values of {rule.field} are a table: mark the rows first")
+        parts.append(_bit(unknown, CATEGORY))
     present = reduce(lambda a, b: a + b, parts) if parts else F.lit(0)
     absent = NULL_REQUIRED if rule.required else NULL_OPTIONAL
     return F.when(value.isNull() | (value == ""), F.lit(absent)).otherwise(present)
@@ -96,7 +101,7 @@ def field_issues(bits: str, rule: FieldRule) -> list[str]:
 
 def field_warnings(bits: str, value: Column | None, rule: FieldRule) -> list[Column]:
     out = [F.expr(f"IF({_has(bits, ABSENT_OPTIONAL)}, {sql_text(f"Optional field '{rule.field}' is missing")}, NULL)")]
-    if rule.allowed and value is not None:
+    if (rule.allowed or rule.listed) and value is not None:
         out.append(F.when(F.expr(_has(bits, CATEGORY)), F.concat(
             F.lit(f"Field '{rule.field}' has unexpected category: "), value)))
     return out
@@ -107,14 +112,16 @@ def validate(df: DataFrame, rules: list[FieldRule], keys: list[str], score_warni
 
     Adds ``is_valid, quality_score, quality_level, field_scores, issues, warnings`` to the columns
     of ``df``. ``keys`` identify a record and are not validated. ``score_warnings`` also warns about
-    scores under the route and valid thresholds.
+    scores under the route and valid thresholds. Rules with a table of allowed values read a batch
+    twice, see ``mark_unknown``.
     """
     if not rules:
         raise ValueError("no rules to validate by")
-    have = set(df.columns)
+    columns, have = df.columns, set(df.columns)
+    df, unknown = mark_unknown(df, rules)
     bits = {r.field: f"__bits_{i}" for i, r in enumerate(rules)}
     coded = settle(df, {
-        bits[r.field]: check_bits(df, r) if r.field in have
+        bits[r.field]: check_bits(df, r, unknown.get(r.field)) if r.field in have
         else F.lit(ABSENT_REQUIRED if r.required else ABSENT_OPTIONAL)
         for r in rules
     })
@@ -129,14 +136,14 @@ def validate(df: DataFrame, rules: list[FieldRule], keys: list[str], score_warni
     issues = F.expr("array_compact(array(" + ", ".join(c for r in rules for c in field_issues(bits[r.field], r)) + "))")
     notes = [c for r in rules
              for c in field_warnings(bits[r.field], as_text(df, r.field) if r.field in have else None, r)]
-    surprises = [F.lit(f"Unexpected field '{c}' found") for c in df.columns if c not in bits and c not in keys]
+    surprises = [F.lit(f"Unexpected field '{c}' found") for c in columns if c not in bits and c not in keys]
     warned = F.expr(_has("__flags", WARNING_BITS))
     about_score = quality_warnings(score) if score_warnings else []
     if score_warnings:
         warned = warned | (score < V.ROUTE_SCORE)
     extra = F.array(*surprises).cast("array<string>")
     return rated.select(
-        *[F.col(f"`{c}`") for c in df.columns],
+        *[F.col(f"`{c}`") for c in columns],
         (~failed & (score >= V.VALID_SCORE)).alias("is_valid"),
         "quality_score",
         quality_level(score).alias("quality_level"),

@@ -94,10 +94,9 @@ ctes.histogram_block("thist", "train", DIRTY_FIELDS)
 ctes.profile_blocks("tprof", "thist")
 
 # Rules of the training rows, the cells they judge and the record results.
-block("tallowed", f"""
+block("tallowed", """
     SELECT h.field_id, h.field, h.value FROM thist h JOIN tprof p USING (field_id)
-    WHERE p.is_categorical AND h.value IS NOT NULL
-    QUALIFY count(*) OVER (PARTITION BY h.field_id) <= {V.RULE_VALUES}""", ["thist", "tprof"])
+    WHERE p.is_categorical AND h.value IS NOT NULL""", ["thist", "tprof"])
 block("trules", """
     SELECT field_id, field, detected_type AS kind, NOT nullable AS required,
            CASE WHEN min_length IS NOT NULL THEN greatest(1, min_length - 2) END AS min_length, max_length + 10 AS max_length,

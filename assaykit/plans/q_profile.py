@@ -107,7 +107,7 @@ _RULE_SQL = """field, kind AS detected_type, required, CAST(min_length AS INTEGE
 
 @query(with_blocks(["trules", "tallowed"], f"""
     SELECT {_RULE_SQL}, coalesce(a.allowed, '') AS allowed
-    FROM trules LEFT JOIN (SELECT field_id, string_agg(value, '|' ORDER BY value) AS allowed FROM tallowed GROUP BY field_id) a USING (field_id)"""))
+    FROM trules LEFT JOIN (SELECT field_id, string_agg(value, '|' ORDER BY value) AS allowed FROM tallowed GROUP BY field_id HAVING count(*) <= {V.RULE_VALUES}) a USING (field_id)"""))
 def profile_rules(spark, sf_dir):
     rows = R.rule_rows(P.with_categories(X.train(spark, sf_dir), X.DIRTY_FIELDS))
     flat = rows.select("field", "detected_type", "required", "min_length", "max_length", "min_value", "max_value", "categorical",

@@ -94,6 +94,20 @@ def validate_category(spark, sf_dir):
     return res(spark, sf_dir).select("cust_key", F.explode("warnings").alias("warning"))
 
 
+@query("""
+    SELECT l_orderkey, l_linenumber, value AS part, CAST(0.9 AS DOUBLE) AS quality_score, 'Field ''part'' has unexpected category: ' || value AS warning
+    FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 97 = 0 THEN 'part x' ELSE 'part ' END || l_partkey || '.' AS value FROM lineitem)
+    WHERE value NOT IN (SELECT DISTINCT 'part ' || l_partkey || '.' FROM lineitem)""")
+def validate_category_table(spark, sf_dir):
+    """Every line's part against all parts ever ordered: a table, as soon as they are more than a list holds."""
+    lines = X.read_table(spark, sf_dir, "lineitem")
+    name, strange = F.concat(F.col("l_partkey").cast("string"), F.lit(".")), F.col("l_orderkey") % 97 == 0
+    rules = R.learn_rules(lines.select(F.concat(F.lit("part "), name).alias("part")))
+    seen = lines.select("l_orderkey", "l_linenumber", F.concat(F.when(strange, "part x").otherwise("part "), name).alias("part"))
+    results = E.validate(seen, rules, ["l_orderkey", "l_linenumber"])
+    return results.select("l_orderkey", "l_linenumber", "part", "quality_score", F.explode("warnings").alias("warning"))
+
+
 @query(with_blocks(["scored"], "SELECT cust_key, field, round(field_score, 6) AS field_score FROM scored"))
 def field_scores(spark, sf_dir):
     return _field_scores(spark, sf_dir, X.DIRTY_FIELDS)

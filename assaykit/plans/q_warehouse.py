@@ -8,6 +8,7 @@ from ..operators import profile as P
 from ..operators import rules as R
 from ..operators import validate as E
 from ..operators import warehouse as W
+from ..operators.allowed import mark_unknown
 from ..operators.batch import run_batch
 from ..session import work_path
 from ..sources.tables import Tables
@@ -181,9 +182,10 @@ _RULES = {"missing_value": E.NULL_REQUIRED, "invalid_format": E.TYPE, "length_vi
         UNION ALL SELECT field, 'unexpected_category', blank OR NOT category_bad FROM checks) GROUP BY field, rule"""))
 def rule_summary(spark, sf_dir):
     """Outcome of every rule on every field; counted inside each task before the exchange."""
-    df, rules = X.cleaned(spark, sf_dir), learned(spark, sf_dir)
+    rules = learned(spark, sf_dir)
+    df, unknown = mark_unknown(X.cleaned(spark, sf_dir), rules)
     bits = df.select(F.inline(F.array(*[
-        F.struct(F.lit(r.field).alias("field"), E.check_bits(df, r).alias("bits")) for r in rules])))
+        F.struct(F.lit(r.field).alias("field"), E.check_bits(df, r, unknown.get(r.field)).alias("bits")) for r in rules])))
     return rounded(W.rule_summary(bits, _RULES), "success_rate")
 
 
