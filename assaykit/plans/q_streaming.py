@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import rules as R
 from ..session import work_path
+from ..sources.tables import Tables
 from ..sources import messages as M
 from ..streaming import pipeline as S
+from ..streaming import runs as B
 from . import fixtures as X
 from .catalog import query
 from .ctes import block, with_blocks
@@ -147,3 +150,82 @@ def stream_etl_facts(spark, sf_dir):
     names = ["total_records", "valid_records", "invalid_records", "quarantined_records"]
     runs = spark.read.parquet(out + "/data/jobs").agg(*[F.sum(c).alias(c) for c in names])
     return facts.crossJoin(runs)  # one row each
+
+
+# ---- runs into stored tables -----------------------------------------------------------------------
+def _in_files(spark, sf_dir, files):
+    """The events as a folder of a stated number of files, cut by id."""
+    path = work_path(spark, "files")
+    X.read_table(spark, sf_dir, "events").repartitionByRange(files, "event_id").write.parquet(path)
+    return path
+
+
+@query("SELECT count(*) AS records, count(DISTINCT event_id) AS events, CAST(sum(event_id) AS BIGINT) AS id_sum, 'records' AS first_end, true AS first_stopped_early, 'idle' AS second_end FROM events")
+def stream_bounded_records(spark, sf_dir):
+    """A run that ends with the batch that brings it to a third of the records, and one that goes on until nothing more comes."""
+    out = work_path(spark, "bounded-records")
+    tables = Tables(spark, out + "/tables", key=B.SLICE)
+    stream = S.read_files(spark, _in_files(spark, sf_dir, 6), _EVENTS, per_trigger=1)
+    write = B.batch_writer(tables, lambda batch: {"events": batch.select("event_id", "event_type")})
+    total = X.read_table(spark, sf_dir, "events").count()
+    first = B.run_bounded(stream, out + "/checkpoint", write, records=max(total // 3, 1))
+    early = tables.read(B.BATCHES).agg(F.sum("records")).first()[0]
+    second = B.run_bounded(stream, out + "/checkpoint", write, empty_polls=2)
+    ends = [F.lit(first).alias("first_end"), F.lit(total // 3 <= early < total).alias("first_stopped_early"), F.lit(second).alias("second_end")]
+    return tables.read("events").agg(F.count(F.lit(1)).alias("records"), F.countDistinct("event_id").alias("events"), F.sum("event_id").alias("id_sum")).select("*", *ends)
+
+
+class _DiesOnce(Tables):
+    """Tables whose third commit fails when everything is written."""
+
+    commits = 0
+
+    def commit(self, changes, schemas, based_on=None):
+        self.commits += 1
+        if self.commits == 3:
+            raise OSError("the driver dies before the commit")
+        return super().commit(changes, schemas, based_on)
+
+
+@query(with_blocks(["stream_res"], """SELECT event_id, is_valid, round(CAST(quality_score AS DOUBLE), 6) AS quality_score,
+    (SELECT count(*) FROM stream_res) AS total_records, (SELECT count(*) FILTER (WHERE is_valid) FROM stream_res) AS valid_records FROM stream_res"""))
+def stream_restart(spark, sf_dir):
+    """Six batches, killed between write and commit of the third and started again: the facts of a run that nothing disturbed."""
+    out = work_path(spark, "restart")
+    tables = _DiesOnce(spark, out + "/tables", key=B.SLICE)
+    files, rules = _in_files(spark, sf_dir, 6), _rules(spark, sf_dir)
+    validated = S.validate_stream(_messages(S.read_files(spark, files, _EVENTS, per_trigger=1)), _RECORD, rules, ["event_id"])
+    write = B.batch_writer(tables, lambda batch: {
+        "facts": batch.select("event_id", "is_valid", "quality_score"),
+        "counts": batch.agg(F.count(F.lit(1)).alias("total_records"), F.count_if("is_valid").alias("valid_records"))})
+    try:
+        B.run_bounded(validated, out + "/checkpoint", write)
+        raise AssertionError("the stream should have died")
+    except StreamingQueryException:
+        pass
+    B.run_bounded(validated, out + "/checkpoint", write)
+    counts = tables.read("counts").agg(F.sum("total_records").alias("total_records"), F.sum("valid_records").alias("valid_records"))
+    return rounded(tables.read("facts").drop(B.SLICE), "quality_score").crossJoin(counts)  # one row
+
+
+@query("""
+    WITH thirds AS (SELECT hour, ntile(3) OVER (ORDER BY hour DESC) AS file FROM (SELECT DISTINCT date_trunc('hour', ts) AS hour FROM events)),
+    latest AS (SELECT max(ts) AS ts FROM events)
+    SELECT date_trunc('hour', e.ts) AS hour, event_type, count(*) AS count,
+           count(*) FILTER (WHERE file > 1 AND date_trunc('hour', e.ts) + INTERVAL 1 HOUR <= l.ts - INTERVAL 2 HOUR) AS late
+    FROM events e JOIN thirds t ON t.hour = date_trunc('hour', e.ts) CROSS JOIN latest l GROUP BY 1, 2""")
+def stream_hourly_late(spark, sf_dir):
+    """A replay in three runs, the newest third first: hours that had closed are counted in full, and their late rows told."""
+    out = work_path(spark, "late")
+    source, tables = out + "/in", Tables(spark, out + "/tables", key=B.SLICE)
+    events = X.read_table(spark, sf_dir, "events")
+    third = F.ntile(3).over(Window.orderBy(F.col("hour").desc()))  # over the hours, not the rows
+    hours = events.select(F.date_trunc("hour", "ts").alias("hour")).distinct().withColumn("file", third)
+    filed = events.withColumn("hour", F.date_trunc("hour", "ts")).join(hours, "hour").drop("hour")
+    for part in (1, 2, 3):
+        filed.filter(F.col("file") == part).drop("file").write.mode("append").parquet(source)
+        stream = S.read_files(spark, source, _EVENTS, per_trigger=1_000_000)
+        B.run_bounded(stream, out + "/checkpoint", B.hour_writer(tables, "ts", ["event_type"], "2 hours"))
+    late = B.late_by_hour(tables, "ts", ["event_type"])
+    rows = tables.read("hours").drop(B.SLICE).join(late, ["hour", "event_type"], "left")
+    return rows.withColumn("late", F.coalesce("late", F.lit(0).cast("long")))
