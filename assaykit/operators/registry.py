@@ -130,15 +130,22 @@ def flexible(df: DataFrame, columns: list[str], **system: Column) -> DataFrame:
 
 
 def query_structured(df: DataFrame, filters: dict[str, Any], order: list[str], limit: int = 100, offset: int = 0) -> DataFrame:
-    """Equality filters as literals, in a stated order."""
+    """Equality filters as literals, in a stated order. For deep pages use ``paging.seek``, as an offset gathers the rows it skips."""
     conds = [F.col(f"`{c}`") == F.lit(v) for c, v in filters.items()]
     kept = df.filter(reduce(lambda a, b: a & b, conds)) if conds else df
     return kept.orderBy(*order).offset(offset).limit(limit)
 
 
+def json_text(payload: str, key: str) -> Column:
+    """The value of a top-level key of JSON text, whatever characters the key has."""
+    if "'" in key or "?" in key:  # a path cannot name such a key
+        return F.from_json(F.col(f"`{payload}`"), "map<string,string>")[key]
+    return F.get_json_object(F.col(f"`{payload}`"), f"$['{key}']")
+
+
 def query_flexible(df: DataFrame, payload: str, filters: dict[str, Any], order: list[str], limit: int = 100, offset: int = 0) -> DataFrame:
     """Equality filters on keys of a JSON payload, compared as text."""
-    conds = [F.get_json_object(payload, "$." + key) == F.lit(str(value)) for key, value in filters.items()]
+    conds = [json_text(payload, key) == F.lit(str(value)) for key, value in filters.items()]
     kept = df.filter(reduce(lambda a, b: a & b, conds)) if conds else df
     return kept.orderBy(*order).offset(offset).limit(limit)
 

@@ -6,15 +6,19 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from ..operators import paging
 from ..operators import profile as P
 from ..operators import registry as S
 from ..operators import rules as R
 from ..operators import checks as K
+from ..operators import stored_profile as T
+from ..operators import versions as N
 from ..session import work_path
+from ..sources.tables import Tables
 from . import fixtures as X
 from .catalog import query
 from .ctes import NOW, block, with_blocks
-from .q_profile import _EVENT_COLUMNS, _NUM, _ORDER_COLUMNS, _SCORES, _SCORES_SQL, events_text, orders_text, rounded
+from .q_profile import _EVENT_COLUMNS, _NUM, _near as near, _ORDER_COLUMNS, _SCORES, _SCORES_SQL, events_text, orders_text, rounded
 
 # ---- inferred definitions ---------------------------------------------------------------------
 _DEF_SQL = f"""SELECT field, detected_type AS type, null_count = 0 AS required, CAST(min_length AS INTEGER) AS min_length, CAST(max_length AS INTEGER) AS max_length,
@@ -253,3 +257,42 @@ def json_records(spark, sf_dir):
     JOIN LATERAL (SELECT count(*) AS "values" FROM orders WHERE o_orderkey % step = 0) ON true""".replace("SELECT * FROM (VALUES", 'SELECT field, type, "values" FROM (VALUES', 1))
 def infer_json_types(spark, sf_dir):
     return S.json_field_types(json_records(spark, sf_dir), "payload")
+
+
+# ---- deep pages, versions with changed types, stored profiles ---------------------------------------
+@query("""
+    SELECT o_orderkey, o_orderdate, o_totalprice FROM orders
+    WHERE o_orderdate > (SELECT max(o_orderdate) - INTERVAL 300 DAY FROM orders) ORDER BY o_orderdate, o_orderkey DESC LIMIT 200""")
+def query_page_after(spark, sf_dir):
+    """The page behind a late day of all orders, by date and then by falling key: a filter and a top-k."""
+    orders = X.read_table(spark, sf_dir, "orders")
+    day = orders.agg(F.max("o_orderdate") - F.expr("INTERVAL 300 DAY")).first()[0]
+    cursor = {"o_orderdate": day, "o_orderkey": None}  # nulls come last in falling order: all of that day is behind us
+    return paging.seek(orders, ["o_orderdate", "-o_orderkey"], 200, cursor).select("o_orderkey", "o_orderdate", "o_totalprice")
+
+
+@query("""
+    SELECT 1 AS version, o_orderkey AS id, CAST(CAST(round(o_totalprice) AS BIGINT) AS DOUBLE) AS price, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS placed, CAST(o_custkey AS VARCHAR) AS customer, NULL AS note FROM orders
+    UNION ALL SELECT 2, o_orderkey, CAST(o_totalprice AS DOUBLE), CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) + INTERVAL 3 HOUR, CAST(o_custkey AS VARCHAR), o_orderpriority FROM orders
+    UNION ALL SELECT 3, o_orderkey, CAST(o_totalprice AS DOUBLE), NULL, 'c' || o_custkey, o_orderpriority FROM orders""")
+def read_versions_widened(spark, sf_dir):
+    """Three versions in which a price became fractional, a date a time and a number a name."""
+    path, orders = work_path(spark, "widened"), X.read_table(spark, sf_dir, "orders")
+    day, price, key = F.col("o_orderdate").cast("date"), F.col("o_totalprice"), F.col("o_orderkey").alias("id")
+    orders.select(key, F.round(price).cast("bigint").alias("price"), day.alias("placed"), F.col("o_custkey").alias("customer")).write.parquet(f"{path}/version=1")
+    orders.select(key, price.cast("double").alias("price"), (day.cast("timestamp_ntz") + F.expr("INTERVAL 3 HOUR")).alias("placed"), F.col("o_custkey").alias("customer"),
+                  F.col("o_orderpriority").alias("note")).write.parquet(f"{path}/version=2")
+    orders.select(key, price.cast("double").alias("price"), F.concat(F.lit("c"), F.col("o_custkey")).alias("customer"), F.col("o_orderpriority").alias("note")).write.parquet(f"{path}/version=3")
+    return N.read_versions(spark, path, [1, 2, 3])
+
+
+@query(with_blocks(["dprof"], "SELECT field, detected_type, total_values::BIGINT AS total_values, null_count::BIGINT AS null_count, nullable, CAST(min_length AS INTEGER) AS min_length, "
+                   "CAST(max_length AS INTEGER) AS max_length, " + ", ".join(f"round({c}, 6) AS {c}" for c in _NUM) + ", true AS distinct_near FROM dprof"))
+def profile_of_loads(spark, sf_dir):
+    """Three loads, the second delivered twice: their stored states give the profile of the whole table."""
+    tables = Tables(spark, work_path(spark, "profiles"), key=T.LOAD)
+    df = X.cleaned(spark, sf_dir)
+    for load in (0, 1, 2, 1):
+        T.add_load(tables, df.filter(F.col("cust_key") % 3 == load), f"load-{load}", X.DIRTY_FIELDS)
+    rows = rounded(T.stored_profile(tables), *_NUM)
+    return near(spark, sf_dir, rows.select("field", "detected_type", "total_values", "null_count", "unique_values", "nullable", "min_length", "max_length", *_NUM))
