@@ -267,6 +267,33 @@ def test_rollup(docs, none, spark, tmp_path):
         commit(signed(rows, 1), root, "a/b")
 
 
+def test_rollup_of_revised_rows_with_equal_or_no_ids(spark, tmp_path):
+    """Two equal rows and one without an id: each is revised once, by itself."""
+    root = str(tmp_path / "totals")
+    assert totals(spark, root).collect() == [] and totals(spark, root).columns == ["source", "lang", "tokenizer", "n_docs", "n_tokens"]
+    docs = spark.createDataFrame([(1, "a b #"), (1, "a b #"), (None, "c #"), (2, "stays"), (3, None)], "doc_id long, text string").selectExpr("*", "'s' AS source", "'l' AS lang")
+    rows = counted(docs, revised=F.translate("text", "#", ""))
+    commit(signed(rows, 1), root, "1")
+    changed = rows.filter("new is not null")
+    assert changed.count() == 3
+    deltas = signed(changed, -1).union(signed(changed.withColumn("counts", F.col("new")), 1))
+    with pytest.raises(Exception, match="dies"):  # half-way: the totals stay as they are
+        commit(deltas.withColumn("tokens", F.when(F.col("tokens") < 0, F.raise_error(F.lit("dies"))).otherwise(F.col("tokens"))), root, "2")
+    assert {r["tokenizer"]: (r["n_docs"], r["n_tokens"]) for r in totals(spark, root).collect()}["words-1"] == (5, 9)
+    for _ in range(2):
+        commit(deltas, root, "2")
+    assert {r["tokenizer"]: (r["n_docs"], r["n_tokens"]) for r in totals(spark, root).collect()} == {"words-1": (5, 6), "pieces-1": (5, 6)}
+
+
+def test_rollup_by_a_vocabulary(spark, tmp_path):
+    """The counts of a real tokenizer as one of the versions."""
+    docs = spark.createDataFrame([(1, "Hello, world", "s", "l"), (2, None, "s", "l"), (3, "naïve été", "t", None)], "doc_id long, text string, source string, lang string")
+    rows = counted(token_digests(docs, PATH, public_tokenizers.PATTERN), tokenizers={"bpe-50k": lambda text: F.col("n_tokens")})
+    commit(signed(rows, 1), str(tmp_path / "t"), "1")
+    want = {r["doc_id"]: r["n_tokens"] for r in token_digests(docs, PATH, public_tokenizers.PATTERN).collect()}
+    assert {r["source"]: (r["n_docs"], r["n_tokens"]) for r in totals(spark, str(tmp_path / "t")).collect()} == {"s": (2, want[1]), "t": (1, want[3])}
+
+
 def test_classifier(docs, none, labels):
     out = classify(docs, labels)
     assert out.count() == len(ROWS) and out.filter("score is null or score < 0 or score > 1 or kept is null").count() == 0
