@@ -3,10 +3,11 @@
 Each document gets a few counts. A base rule rejects what is too short or mostly repetition. Three
 ratio rules follow, whose cutoffs are chosen from labelled documents, separately in each stratum:
 cutoffs are tried from the most lenient to the strictest, and a cutoff is certified while the exact
-binomial test rejects "more than ``alpha`` of good documents would be lost" at level ``delta``
-divided by the number of strata and rules (Bonferroni). Testing in a fixed order and stopping at the
-first failure needs no correction for the number of cutoffs. So with probability 1 - ``delta`` no
-rule loses more than ``alpha`` of the good documents of any stratum. Among certified cutoffs the one
+binomial test rejects "more than this rule's part of ``alpha`` of good documents would be lost" at
+level ``delta`` divided by the number of strata and rules (Bonferroni). Testing in a fixed order and
+stopping at the first failure needs no correction for the number of cutoffs. The rules share
+``alpha`` evenly, so with probability 1 - ``delta`` all of them together lose no more than ``alpha``
+of the good documents that the base rule passes, in any stratum. Among certified cutoffs the one
 that rejects the most bad documents net of good ones is used; a rule without such gain is off.
 
 Only built-in functions are used. The labelled documents are reduced to one row per stratum, rule
@@ -24,8 +25,8 @@ from .common import WHITE, body, col, inner, lines, stored, words
 
 MIN_WORDS = 50
 MAX_REPEATED = 50  # percent of the words
-ALPHA = 0.02       # share of good documents that one rule may lose in a stratum
-DELTA = 0.05       # probability that any rule breaks that promise in any stratum
+ALPHA = 0.02       # share of good documents that all ratio rules together may lose in a stratum
+DELTA = 0.05       # probability that they break that promise in any stratum
 SYMBOLS = "#*$%&|<>"
 #: rule -> (numerator, denominator, cutoffs per thousand from lenient to strict); beyond the cutoff a document is rejected
 RULES = {
@@ -36,6 +37,8 @@ RULES = {
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_text_lines")
 #: strata up to which the chosen cutoffs are broadcast
 BROADCAST_STRATA = 10_000
+#: labelled ids up to which they are broadcast to leave other documents out before cutoffs are chosen
+BROADCAST_LABELS = 500_000
 
 
 def with_features(docs: DataFrame, text: str, names: dict[str, str]) -> DataFrame:
@@ -105,7 +108,7 @@ def choose_cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float = DEL
         F.count_if(~F.col("good") & F.col("t.rejected")).alias("caught"))
     strata = labelled.select(F.count_distinct("stratum").alias("n_strata"))
     level = F.lit(delta) / (F.col("n_strata") * len(RULES))
-    failed = (~(binomial_tail(F.col("k"), F.col("n"), alpha) <= level)).cast("int")
+    failed = (~(binomial_tail(F.col("k"), F.col("n"), alpha / len(RULES)) <= level)).cast("int")
     order = Window.partitionBy("stratum", "rule").orderBy("step")
     certified = (counts.crossJoin(strata).withColumn("failed", failed)  # strata is one row
                  .withColumn("failed", F.max("failed").over(order)).filter("failed = 0 and caught > k"))
@@ -125,9 +128,12 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text:
     """
     names = {f: f for f in FEATURES}
     lean = docs.select(col(id).alias("id"), col(text).alias("text"), stratum_of(col(stratum)).alias("stratum"))
-    seen = stored(with_features(lean, "text", names).drop("text"), "quality-features")
     agreed = (labels.select(col("doc_id").alias("id"), col("quality").alias("q")).filter("q is not null and id is not null")
               .groupBy("id").agg(F.min("q").alias("lo"), F.max("q").alias("hi")).filter("lo = hi and lo in (0, 1)"))
+    agreed = stored(agreed.select("id", "lo"), "quality-labels")
+    if with_text and agreed.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS:  # else texts would have to move
+        lean = lean.join(F.broadcast(agreed.select("id")), "id", "left_semi")
+    seen = stored(with_features(lean, "text", names).drop("text"), "quality-features")
     passing = seen.filter(~base_failed(F.col("n_words"), F.col("n_repeat_words")))
     labelled = passing.join(agreed, "id").select("stratum", (F.col("lo") == 1).alias("good"), *FEATURES)
     chosen = choose_cutoffs(labelled, alpha, delta).groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("cutoff"))

@@ -73,6 +73,10 @@ SELECT page_id, url, text, length(text) AS n_chars FROM d
 """
 
 
+#: a rule's part of the good documents that may be lost
+SHARE = ALPHA / len(RULES)
+
+
 def quality_rules() -> str:
     trials = " UNION ALL ".join(
         f"SELECT stratum, good, '{r}' AS rule, {i} AS step, {c} AS cutoff, {num} * 1000 > {den} * {c} AS rejected FROM labelled"
@@ -96,8 +100,8 @@ labelled AS (SELECT j.*, q = 1 AS good FROM j JOIN agreed USING (doc_id) WHERE N
 trials AS ({trials}),
 counts AS (SELECT stratum, rule, step, cutoff, count(*) FILTER (WHERE good) AS n, count(*) FILTER (WHERE good AND rejected) AS k,
                   count(*) FILTER (WHERE NOT good AND rejected) AS caught FROM trials GROUP BY ALL),
-tested AS (SELECT *, NOT (CASE WHEN k > n * {ALPHA} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda i:
-             exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA}) + (n - i) * ln(1 - {ALPHA})))) END
+tested AS (SELECT *, NOT (CASE WHEN k > n * {SHARE} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda i:
+             exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({SHARE}) + (n - i) * ln(1 - {SHARE})))) END
              <= {DELTA} / ((SELECT count(DISTINCT stratum) FROM labelled) * {len(RULES)})) AS failed FROM counts),
 certified AS (SELECT * FROM (SELECT *, bool_or(failed) OVER (PARTITION BY stratum, rule ORDER BY step) AS stopped FROM tested) WHERE NOT stopped AND caught > k),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY stratum, rule ORDER BY caught - k DESC, step) AS place FROM certified) WHERE place = 1),
