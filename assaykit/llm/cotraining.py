@@ -1,31 +1,32 @@
 """Quality classifier by co-training on two views of a document.
 
 One view is the text's content, the other the page's metadata. Each has a naive Bayes model over
-binned features, so fitting is counting: one grouped count per round over labelled and confidently
-pseudo-labelled documents, whose result has one row per feature, bin and class. In each round a
+binned features, sources and languages, so fitting is counting: one grouped count per round over
+labelled and confidently pseudo-labelled documents, whose result has one row per feature and key. In each round a
 view's confident scores on unlabelled documents become labels of the other view. Labelled documents
 of one fold are kept apart: they calibrate each view's score (monotone smoothed rates), and the
 calibrated views are combined as independent evidence to score all documents.
 
-Features and models are columns and literals; texts are read once, rounds run over a table of bins.
+Texts are read once, rounds run over a table of bins. Odds of bins are literals; those of sources and
+languages are tables, each source with its own row, joined back.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import UPPER, body, col, stored, words
-from .quality_rules import FEATURES, with_features
+from .quality_rules import FEATURES, stratum_of, with_features
 
 ROUNDS = 3
 #: log odds from which a view's score on an unlabelled document is a pseudo-label
 CONFIDENT = 3.0
 #: one of so many folds of the labelled documents calibrates
 FOLDS = 5
-SOURCE_BINS = 256
 LIMIT = 12
 KEPT_FROM = 0.5
 
@@ -40,6 +41,10 @@ CONTENT = {
     "variety": ("n_distinct / n_words", (0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)),
 }
 METADATA = ("source", "lang", "length")
+#: features with any number of keys, whose odds stay tables
+TABLES = ("source", "lang")
+#: size up to which such a table is broadcast
+BROADCAST_BYTES = 16 << 20
 
 
 def bin_of(value: Column, ends: tuple[float, ...]) -> Column:
@@ -49,8 +54,8 @@ def bin_of(value: Column, ends: tuple[float, ...]) -> Column:
 
 
 def binned(docs: DataFrame, id: str, text: str, source: str, lang: str) -> DataFrame:
-    """(id, content, metadata): the bins of both views as array<int>."""
-    lean = docs.select(col(id).alias("id"), col(text).alias("text"), col(source).cast("string").alias("source"), col(lang).cast("string").alias("lang"))
+    """id, the bins of the content view as array<int>, and the metadata view: source, lang (keys, nulls included) and length (a bin)."""
+    lean = docs.select(col(id).alias("id"), col(text).alias("text"), stratum_of(col(source)).alias("source"), stratum_of(col(lang)).alias("lang"))
     plain = body(F.col("text"))
     counts = with_features(lean, "text", {f: f for f in FEATURES}).select(
         "id", "source", "lang", *FEATURES,
@@ -63,37 +68,61 @@ def binned(docs: DataFrame, id: str, text: str, source: str, lang: str) -> DataF
         over, under = text.split(" / ")
         return F.when(F.col(under) > 0, F.col(over) / F.col(under))
 
-    hashed = F.when(F.col("source").isNull(), SOURCE_BINS).otherwise(F.pmod(F.xxhash64("source"), F.lit(SOURCE_BINS)))
-    tongue = F.when(F.col("lang").isNull(), SOURCE_BINS).otherwise(F.pmod(F.xxhash64("lang"), F.lit(SOURCE_BINS)))
     doubling = F.when(F.col("length").isNull(), 0).otherwise(1 + F.floor(F.log2(F.col("length") + 1)))
     return counts.select("id", F.array(*[bin_of(ratio(e), ends) for e, ends in CONTENT.values()]).alias("content"),
-                         F.array(hashed.cast("int"), tongue.cast("int"), doubling.cast("int")).alias("metadata"))
-
-
-def fit(rows: DataFrame, bins: str, label: Column) -> list[dict[int, float]]:
-    """Log odds by feature and bin of a naive Bayes model; counts are smoothed by one."""
-    cells = (rows.select(F.posexplode(bins).alias("f", "b"), label.alias("y")).filter("y is not null")
-             .groupBy("f", "b").agg(F.count_if(F.col("y") == 1).alias("good"), F.count_if(F.col("y") == 0).alias("bad")).collect())  # bins are bounded
-    model: dict[int, dict[int, float]] = {}
-    sums: dict[int, list[int]] = {}
-    for c in cells:
-        s = sums.setdefault(c["f"], [0, 0, 0])
-        s[0], s[1], s[2] = s[0] + c["good"], s[1] + c["bad"], s[2] + 1
-    for c in cells:
-        good, bad, n = sums[c["f"]]
-        if good and bad:  # without one of the classes nothing is learnt
-            model.setdefault(c["f"], {})[c["b"]] = math.log((c["good"] + 1) / (good + n)) - math.log((c["bad"] + 1) / (bad + n))
-    return [model.get(f, {}) for f in range(max(model, default=-1) + 1)]
-
-
-def score(model: list[dict[int, float]], bins: str) -> Column:
-    """The model's log odds of a document; an unseen bin says nothing."""
-    total = F.lit(0.0)
-    for f, odds in enumerate(model):
-        if odds:
-            table = F.create_map(*[x for b, v in sorted(odds.items()) for x in (F.lit(b), F.lit(round(v, 9)))])
-            total += F.coalesce(F.try_element_at(table, F.get(bins, f)), F.lit(0.0))
-    return F.greatest(F.lit(-float(LIMIT)), F.least(F.lit(float(LIMIT)), total))
+                         "source", "lang", doubling.cast("int").alias("length"))
+
+
+def cells(view: str) -> list[Column]:
+    """The (feature, key) of a document in each feature of a view."""
+    if view == "content":
+        keys = {f: F.get("content", n).cast("string") for n, f in enumerate(CONTENT)}
+    else:
+        keys = {f: F.col(f).cast("string") for f in METADATA}
+    return [F.struct(F.lit(f).alias("feature"), k.alias("key")) for f, k in keys.items()]
+
+
+def fit(rows: DataFrame, labels: dict[str, Column]) -> DataFrame:
+    """(feature, key, odds): naive Bayes log odds of both views, from counts smoothed by one.
+
+    ``labels`` has each view's own labels. A feature that met one class only has no odds.
+    """
+    seen = [F.struct(c["feature"].alias("feature"), c["key"].alias("key"), y.alias("y")) for v, y in labels.items() for c in cells(v)]
+    counts = stored(rows.select(F.explode(F.array(*seen)).alias("x")).select("x.*").filter("y is not null").groupBy("feature", "key").agg(
+        F.count_if(F.col("y") == 1).alias("good"), F.count_if(F.col("y") == 0).alias("bad")), "cotrain-counts")
+    sums = counts.groupBy("feature").agg(F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad"), F.count("*").alias("n"))
+    rate = lambda n, of: F.log((F.col(n) + 1) / (F.col(of) + F.col("n")))
+    odds = F.round(rate("good", "all_good") - rate("bad", "all_bad"), 9)
+    both = F.broadcast(sums.filter("all_good > 0 and all_bad > 0"))  # one row per feature
+    return stored(counts.join(both, "feature").select("feature", "key", odds.alias("odds")), "cotrain-odds")
+
+
+def scored(rows: DataFrame, odds: DataFrame) -> DataFrame:
+    """``rows`` with each view's log odds, s_content and s_metadata; what the model has not met says nothing.
+
+    Odds of binned features become literals. Those of sources and languages, of which there may be
+    any number, are joined back as tables.
+    """
+    literal: dict[str, list[Column]] = {}
+    for r in odds.filter(~F.col("feature").isin(*TABLES)).orderBy("feature", "key").collect():  # bins are bounded
+        literal.setdefault(r["feature"], []).extend((F.lit(r["key"]), F.lit(r["odds"])))
+    sizes = {r["feature"]: r["size"] for r in odds.filter(F.col("feature").isin(*TABLES)).groupBy("feature").agg(
+        F.sum(F.octet_length("key") + 32).alias("size")).collect()}
+    for f in TABLES:
+        table = odds.filter(F.col("feature") == f).select(F.col("key").alias(f), F.col("odds").alias(f"odds_{f}"))
+        rows = rows.join(F.broadcast(table) if sizes.get(f, 0) <= BROADCAST_BYTES else table, f, "left")
+
+    def part(cell: Column, feature: str) -> Column:
+        if feature in TABLES:
+            return F.coalesce(f"odds_{feature}", F.lit(0.0))
+        pairs = literal.get(feature)
+        return F.coalesce(F.try_element_at(F.create_map(*pairs), cell["key"]), F.lit(0.0)) if pairs else F.lit(0.0)
+
+    def total(view: str, features: Iterable[str]) -> Column:
+        summed = sum((part(c, f) for c, f in zip(cells(view), features, strict=True)), F.lit(0.0))
+        return F.greatest(F.lit(-float(LIMIT)), F.least(F.lit(float(LIMIT)), summed))
+
+    return rows.withColumns({"s_content": total("content", CONTENT), "s_metadata": total("metadata", METADATA)}).drop(*[f"odds_{f}" for f in TABLES])
 
 
 def calibrated(rows: DataFrame, view: Column, prior: float) -> list[float]:
@@ -133,19 +162,19 @@ def classify(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str =
         return rows.select(F.col("id").alias(id), half.alias("p_content"), half.alias("p_metadata"), half.alias("score"), F.lit(True).alias("kept"))
     prior = count["good"] / count["n"]
     train = F.when((F.col("fold") > 0) & F.col("label").isNotNull(), F.col("label"))
-    other = {"content": F.lit(None).cast("int"), "metadata": F.lit(None).cast("int")}
-    views: dict[str, Column] = {}
+    judged, labels_of = rows, {"content": train, "metadata": train}
     for _ in range(rounds):
         # both models are fitted on the labels that the other one gave in the round before
-        views = {v: score(fit(rows, v, F.coalesce(train, other[v])), v) for v in ("content", "metadata")}
-        pseudo = {v: F.when(F.col("label").isNull() & (s >= CONFIDENT), 1).when(F.col("label").isNull() & (s <= -CONFIDENT), 0) for v, s in views.items()}
-        other = {"content": pseudo["metadata"], "metadata": pseudo["content"]}
-    held = rows.filter("label is not null and fold = 0")
+        judged = scored(rows, fit(judged, labels_of))
+        pseudo = {v: F.when(F.col("label").isNull() & (F.col(f"s_{v}") >= CONFIDENT), 1).when(
+            F.col("label").isNull() & (F.col(f"s_{v}") <= -CONFIDENT), 0) for v in labels_of}
+        labels_of = {"content": F.coalesce(train, pseudo["metadata"]), "metadata": F.coalesce(train, pseudo["content"])}
+    held = judged.filter("label is not null and fold = 0")
     log_odds = {}
-    for v, s in views.items():
-        table = calibrated(held, s, prior)
-        log_odds[v] = F.get(F.array(*[F.lit(x) for x in table]), F.round(s).cast("int") + LIMIT)
+    for v in labels_of:
+        table = calibrated(held, F.col(f"s_{v}"), prior)
+        log_odds[v] = F.get(F.array(*[F.lit(x) for x in table]), F.round(f"s_{v}").cast("int") + LIMIT)
     joint = log_odds["content"] + log_odds["metadata"] - F.lit(round(math.log(prior / (1 - prior)), 9))
     p = lambda x: F.round(1 / (1 + F.exp(-x)), 9)
-    return rows.select(F.col("id").alias(id), p(log_odds["content"]).alias("p_content"), p(log_odds["metadata"]).alias("p_metadata"),
+    return judged.select(F.col("id").alias(id), p(log_odds["content"]).alias("p_content"), p(log_odds["metadata"]).alias("p_metadata"),
                        p(joint).alias("score"), (p(joint) >= KEPT_FROM).alias("kept"))
