@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterable
 from urllib.parse import unquote
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +25,8 @@ PART = "__part"
 COMMIT = "version long, table string, part string, folder string, schema string"
 #: commits between two files that hold all live partitions
 SNAPSHOT = 20
+#: parts of a bucket that a rewrite works on apart from each other
+SPREAD = 16
 
 
 class ConflictError(RuntimeError):
@@ -110,15 +112,27 @@ class Tables:
 
     # ---- rows
 
+    def _name(self) -> Column:
+        """A row's key as text that is never null."""
+        return F.coalesce(F.concat(F.lit("="), F.col(f"`{self.key}`").cast("string")), F.lit("null"))
+
     def part(self, table: str) -> Column:
         """The partition that a row of the table belongs to."""
-        key, n = F.col(f"`{self.key}`").cast("string"), self.buckets.get(table)
-        return F.pmod(F.xxhash64(key), F.lit(n)).cast("string") if n else F.coalesce(F.concat(F.lit("="), key), F.lit("null"))
+        n = self.buckets.get(table)
+        return F.pmod(F.xxhash64(F.col(f"`{self.key}`").cast("string")), F.lit(n)).cast("string") if n else self._name()
+
+    def stage(self, table: str, rows: DataFrame, dealt: bool = False) -> tuple[dict[str, str], str]:
+        """Writes rows into a fresh folder that no commit names yet: (folder by partition, schema).
 
-    def stage(self, table: str, rows: DataFrame) -> tuple[dict[str, str], str]:
-        """Writes rows into a fresh folder that no commit names yet: (folder by partition, schema)."""
+        The rows of a key lie side by side in a bucket. ``dealt`` says that few tasks hold rows of one
+        partition already, so they need not move for that.
+        """
         name = f"data/{table}-{uuid.uuid4().hex}"
-        rows.withColumn(PART, self.part(table)).hint("rebalance", PART).write.partitionBy(PART).parquet(f"{self.root}/{name}")
+        parted = rows.withColumn(PART, self.part(table))
+        parted = parted if dealt else parted.hint("rebalance", PART)
+        if self.buckets.get(table):
+            parted = parted.sortWithinPartitions(PART, self._name())
+        parted.write.partitionBy(PART).parquet(f"{self.root}/{name}")
         folder = self._fs.Path(f"{self.root}/{name}")
         names = [s.getPath().getName() for s in self._files.listStatus(folder) if s.isDirectory()]
         return {unquote(n.split("=", 1)[1]): f"{name}/{n}" for n in names}, rows.schema.json()
@@ -133,7 +147,8 @@ class Tables:
             return self.spark.createDataFrame([], types)
         return self.spark.read.schema(types).parquet(*[f"{self.root}/{f}" for f in folders])
 
-    def _rows(self, table: str, parts: set[str] | None = None) -> DataFrame:
+    def _folders(self, table: str, parts: set[str] | None = None) -> tuple[dict[str, str], str]:
+        """(live folder by partition, schema) of a table, or of some of its partitions."""
         lines = self._live().filter(F.col("table") == table)
         if parts is not None:
             lines = lines.filter(F.col("part").isNull() | F.col("part").isin(list(parts)))
@@ -141,7 +156,10 @@ class Tables:
         schema = next((r["schema"] for r in found if r["schema"]), None)
         if schema is None:
             raise ValueError(f"no table {table} under {self.root}")
-        return self._open([r["folder"] for r in found if r["folder"]], schema)
+        return {r["part"]: r["folder"] for r in found if r["folder"]}, schema
+
+    def _rows(self, table: str, parts: set[str] | None = None) -> DataFrame:
+        return self.staged_rows(*self._folders(table, parts))
 
     def tables(self) -> list[str]:
         return sorted(r["table"] for r in self._live().filter("schema is not null").select("table").distinct().collect())
@@ -158,6 +176,36 @@ class Tables:
         mine = keys.select(F.col(f"`{self.key}`").alias("__key"))
         return rows.join(mine, F.col(f"`{self.key}`").cast("string").eqNullSafe(F.col("__key")), how)
 
+    def _names(self, rows: DataFrame) -> DataFrame:
+        """The distinct keys of the rows as text; nothing else of the rows is read or moved."""
+        return rows.select(self._name().alias("__name")).distinct()
+
+    def _strange(self, rows: DataFrame, keys: DataFrame) -> list[str | None]:
+        """A key of the rows that is not among the keys, if there is one."""
+        found = self._names(rows).join(self._names(keys), "__name", "left_anti").limit(1).collect()
+        return [None if r[0] == "null" else r[0][1:] for r in found]
+
+    def _hit(self, table: str, rows: DataFrame, keys: DataFrame) -> set[str]:
+        """The partitions in which rows of the keys are."""
+        there = self._names(rows).join(self._names(keys), "__name", "left_semi")
+        key = F.when(F.col("__name") != "null", F.substring("__name", 2, 2**31 - 1)).alias(self.key)
+        return self._parts(table, there.select(key))
+
+    def _without(self, table: str, rows: DataFrame, keys: DataFrame) -> DataFrame:
+        """The rows of a bucketed table without those of the keys.
+
+        Rows and keys are dealt together by parts of a bucket, where a key comes before its rows. So the
+        rows move once, both to meet the keys and to be written.
+        """
+        marks = keys.select(self._name().alias("__name"), F.lit(True).alias("__gone"))
+        both = rows.unionByName(marks, allowMissingColumns=True)
+        name = F.coalesce("__name", self._name())
+        plain = F.when(name != "null", F.substring(name, 2, 2**31 - 1))  # the key, of which part() takes the hash
+        bucket, part = (F.pmod(F.xxhash64(plain), F.lit(n)) for n in (self.buckets[table], self.buckets[table] * SPREAD))
+        upto = Window.partitionBy(bucket, name, part).orderBy(F.desc_nulls_last("__gone")).rowsBetween(Window.unboundedPreceding, 0)
+        kept = both.repartition(part).withColumn("__gone", F.first("__gone").over(upto)).filter(F.col("__gone").isNull())
+        return kept.drop("__name", "__gone")
+
     def read(self, table: str, keys: DataFrame | list | None = None) -> DataFrame:
         """The rows of a table, or of some keys: then only the folders of their partitions are listed and read."""
         if keys is None:
@@ -176,8 +224,8 @@ class Tables:
         for table, rows in frames.items():
             parts = self._parts(table, keys)
             if self.buckets.get(table):
-                if strange := self._joined(rows, keys, "left_anti").limit(1).collect():
-                    raise ValueError(f"rows of another {self.key} for {table}: {strange[0][self.key]}")
+                if strange := self._strange(rows, keys):
+                    raise ValueError(f"rows of another {self.key} for {table}: {strange[0]}")
                 if table in known:  # the other keys of these buckets move along
                     rows = rows.unionByName(self._joined(self._rows(table, parts), keys, "left_anti"), allowMissingColumns=True)
             folders, schemas[table] = self.stage(table, rows)
@@ -196,11 +244,20 @@ class Tables:
         return self.commit({(table, p): folders.get(p) for p in parts}, {table: schema}, version)
 
     def delete(self, keys: DataFrame | list, tables: list[str] | None = None) -> int:
-        """The keys go from all tables in one commit. Where a key has a partition of its own, nothing is read or written for it."""
+        """The keys go from all tables in one commit.
+
+        Where a key has a partition of its own, nothing is read or written for it. Buckets in which no row
+        goes keep their folders.
+        """
         version, keys, changes = self.version(), self._keys(keys), {}
         for table in tables or self.tables():
-            parts = self._parts(table, keys)
-            folders = self.stage(table, self._joined(self._rows(table, parts), keys, "left_anti"))[0] if self.buckets.get(table) else {}
+            parts, folders = self._parts(table, keys), {}
+            if self.buckets.get(table):
+                folders, schema = self._folders(table, parts)
+                if hit := self._hit(table, self.staged_rows(folders, schema), keys):
+                    old = {p: f for p, f in folders.items() if p in hit}
+                    folders = {p: f for p, f in folders.items() if p not in hit}
+                    folders |= self.stage(table, self._without(table, self.staged_rows(old, schema), keys), dealt=True)[0]
             changes |= {(table, p): folders.get(p) for p in parts}
         return self.commit(changes, {}, version)
 

@@ -96,3 +96,29 @@ def test_many_commits_fold_into_snapshots(spark, tmp_path, monkeypatch):
     assert tables._lines().filter("folder like '%facts%'").count() == 1  # the snapshot of version 6 alone
     with pytest.raises(ConflictError):
         tables.commit({("facts", "=j0"): None}, {}, 2)  # the single commits tell what changed
+
+
+def test_delete_writes_only_buckets_in_which_rows_go(spark, tmp_path):
+    tables = Tables(spark, str(tmp_path / "w"), buckets={"facts": 8, "jobs": 8})
+    jobs = spark.createDataFrame([(i, [f"v{i}", None], None) for i in (None, *range(60))], "job_id long, v array<string>, `a.b` int")
+    facts = jobs.unionByName(jobs).filter("job_id is null or job_id <> 7")
+    tables.replace({"jobs": jobs, "facts": facts}, jobs)
+
+    def folders():
+        return {(r["table"], r["part"]): r["folder"] for r in tables._live().filter("part is not null").collect()}
+
+    def left(name):
+        return sorted((str(r["job_id"]), str(r["v"])) for r in tables.read(name).collect())
+
+    doomed, before = spark.createDataFrame([(7,), (8,), (8,), (None,), (777,)], "job_id int"), folders()
+    tables.delete(doomed)
+    after = folders()
+    want = sorted((str(i), str([f"v{i}", None])) for i in range(60) if i not in (7, 8))
+    assert left("jobs") == want and left("facts") == sorted(want * 2)
+    changed = {t: sum(before[k] != after[k] for k in before if k[0] == t) for t in ("jobs", "facts")}
+    assert 1 <= changed["facts"] <= 2 and 1 <= changed["jobs"] <= 3  # 777 is in no bucket, 7 in none of facts
+    assert tables.delete(doomed) == 3 and folders() == after  # nothing is left to go, so nothing is written
+    kept = tables._without("facts", tables.read("facts"), tables._keys(doomed))
+    assert str(kept._jdf.queryExecution().executedPlan()).count("Exchange hashpartitioning(pmod(") == 1
+    moved = [line for line in str(kept._jdf.queryExecution().executedPlan()).splitlines() if "Exchange" in line]
+    assert len(moved) <= 2  # rows and keys together once; the keys before that to be distinct
