@@ -251,11 +251,11 @@ def coder_of(shared, pattern: str) -> Coder:
     return _CODERS[key]
 
 
-def sliced(lengths: list[int]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``SLICE_CHARS`` characters; one text at least."""
+def sliced(lengths: list[int], most: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``most`` characters; one text at least."""
     start = size = 0
     for i, length in enumerate(lengths):
-        if i > start and size + length > SLICE_CHARS:
+        if i > start and size + length > most:
             yield start, i
             start, size = i, 0
         size += length

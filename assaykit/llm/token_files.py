@@ -16,11 +16,12 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,16 +32,22 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .bpe import APART, sliced, touching
+from .bpe import APART, sliced
 from .common import body, col
 
 END = 0               # the id appended to every document
 SAMPLED = 256         # set bits between two stored positions
 CACHED = 800_000      # parts of texts whose ids a worker keeps
+SLICE = 4_000_000     # characters of text that are encoded at a time, unless one document has more
 JOINED = 1000         # new parts that go through the library as one text
 FLUSHED = 1 << 20     # ids that a task reads back at a time, unless one document has more
 # marks behind a word; a piece of a text never goes on from a Latin letter to one of them
 MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
+# where a line ends between two words: the line feed is a piece of its own, and a new piece begins behind it
+LINES = re.compile(r"(?<=\S)(?=\n\S)")
+# a blank that may be beside white space or an end, so that it doesn't part two words by itself
+WHITE = "".join(f"\\x{{{n:x}}}" for n in range(0x110000) if chr(n).isspace() and chr(n) not in " \n")
+TOUCHING = f"  | \n|\n |^ | $|[{WHITE}]"
 MAGIC = b"EFTOK001"
 HEAD = "<8sQQQB"      # magic, documents, of these without an id, ids, bytes of an id
 SEQUENCE = "<QqQB"    # values, least value, largest less least, low bits
@@ -214,29 +221,39 @@ class Encoder:
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum())), sizes
 
-    def gather(self, numbers: list[int] | np.ndarray, counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    def gather(self, used: np.ndarray, counts: list[int] | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of runs of ``counts`` cached parts each, one run after the other, and their numbers."""
-        used = np.asarray(numbers, np.int64)
         starts, sizes = self.starts[used], self.starts[used + 1] - self.starts[used]
         ends = np.cumsum(sizes)
         lengths = np.diff(np.concatenate([[0], ends[np.cumsum(counts) - 1]]))
         return self.ids[np.arange(int(ends[-1])) + np.repeat(starts - (ends - sizes), sizes)], lengths
 
     def learn(self, words: list[str], odd: list[str]) -> None:
-        """Takes parts up into the cache; a word with something behind its letters is put together from the two."""
-        cut, pieces = [], set()
+        """Takes parts up into the cache; one of several lines, or with marks behind its letters, is put together from its pieces."""
+        plain, cut, pieces, counts = [], [], [], []
         for word in words:
-            head = word.rstrip(MARKS)
-            if len(head) < len(word) and head[-1].isalpha() and head[-1] < "\u0250":
-                cut.append((head, word[len(head):]))
+            if word[-1] not in MARKS and "\n" not in word:
+                plain.append(word)
+                continue
+            own = []
+            for line in LINES.split(word) if "\n" in word else (word,):
+                head = line.rstrip(MARKS)
+                if len(head) < len(line) and head[-1].isalpha() and head[-1] < "\u0250":
+                    own += head, line[len(head):]
+                else:
+                    own.append(line)
+            if len(own) > 1:
+                cut.append(word)
+                pieces += own
+                counts.append(len(own))
             else:
-                pieces.add(word)
-        pieces = pieces.union(chain.from_iterable(cut)).difference(odd).difference(self.known)
-        heads = [p for p in pieces if p[0] == " "]
-        self.take(heads, list(pieces.difference(heads).union(odd)))
+                plain.append(word)
+        new = set(pieces).difference(self.known).difference(plain, odd)
+        heads = [p for p in new if p[0] in " \n"]  # a blank or line feed before a word, and no white space behind
+        self.take(plain + heads, list(new.difference(heads).union(odd)))
         if cut:
-            ids, lengths = self.gather(list(map(self.known.__getitem__, chain.from_iterable(cut))), [2] * len(cut))
-            self.keep(map("".join, cut), ids, np.cumsum(lengths))
+            ids, lengths = self.gather(np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces)), counts)
+            self.keep(cut, ids, np.cumsum(lengths))
 
     def keep(self, parts: Iterable[str], ids: np.ndarray, ends: np.ndarray) -> None:
         self.known.update(zip(parts, range(len(self.known), len(self.known) + len(ends))))
@@ -251,25 +268,40 @@ class Encoder:
         single, sizes = self.library_ids(odd)
         self.keep(chain(words, odd), np.concatenate([ids, single]), np.concatenate([upto, len(ids) + np.cumsum(sizes)]))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def cut(self, texts: pa.Array) -> pa.ListArray:
+        """Each text at its blanks between two other characters."""
+        own = pa.compute.split_pattern(texts, " ")
+        touching = pa.compute.match_substring_regex(texts, TOUCHING)
+        if not touching.true_count:
+            return own
+        apart = [APART.split(text.as_py()) if odd else None for text, odd in zip(texts, touching.to_pylist())]
+        return pa.compute.coalesce(pa.array(apart, own.type), own)
+
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, each with the end id, and their numbers."""
         if not self.byte_level:
-            ids, lengths = self.library_ids(texts)
+            ids, lengths = self.library_ids(texts.to_pylist() if isinstance(texts, pa.Array) else texts)
             return np.insert(ids, np.cumsum(lengths), END), lengths + 1
         if len(self.known) > CACHED:
             self.forget()
-        flat, counts, odd = [], [], set()
-        for text in texts:
-            own = APART.split(text) if touching(text) else text.split(" ")
-            odd.add(own[0])  # begins without a blank
-            flat.append(own[0])
-            flat.extend(map(" ".__add__, own[1:]))
-            odd.add(flat[-1])  # may end in white space
-            counts.append(len(own))
-        words, odd = set(flat).difference(odd).difference(self.known), odd.difference(self.known)
-        if words or odd:
-            self.learn(list(words), list(odd))
-        ids, lengths = self.gather(np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat)), counts)
+        own = self.cut(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        counts, parts = pa.compute.list_value_length(own).to_numpy().astype(np.int64), own.flatten()
+        first = np.zeros(len(parts), bool)
+        first[np.cumsum(counts) - counts] = True
+        begin = parts.filter(pa.array(first)).to_pylist()  # without a blank before them
+        rest = parts.filter(pa.array(~first)).dictionary_encode()
+        words = pa.compute.binary_join_element_wise("", rest.dictionary, " ").to_numpy(zero_copy_only=False)
+        found = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        at, odd = np.flatnonzero(found < 0), set(begin).difference(self.known)
+        new = words[at].tolist()
+        odd.update(w for w in new if w[-1].isspace())  # the last of a text may
+        if new or odd:
+            self.learn([w for w in new if w not in odd], list(odd))  # a text may begin with a blank
+        found[at] = np.fromiter(map(self.known.__getitem__, new), np.int64, len(new))
+        numbers = np.empty(len(parts), np.int64)
+        numbers[first] = np.fromiter(map(self.known.__getitem__, begin), np.int64, len(begin))
+        numbers[~first] = found[rest.indices.to_numpy()]
+        ids, lengths = self.gather(numbers, counts)
         return np.insert(ids, np.cumsum(lengths), END), lengths + 1
 
 
@@ -291,8 +323,8 @@ def write_shard(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str)
     for batch in batches:
         texts = batch.column(1)
         names.append(batch.column(0))
-        for a, b in sliced(pa.compute.utf8_length(texts).to_pylist()):
-            ids, sizes = encoder.encode(texts[a:b].to_pylist())
+        for a, b in sliced(pa.compute.utf8_length(texts).to_pylist(), SLICE):
+            ids, sizes = encoder.encode(texts[a:b])
             stream = stream or files.open_output_stream(f"{path}/{name}.ids", compression=None)
             stream.write(ids.astype(f"<u{width}").tobytes())
             lengths.append(sizes)

@@ -127,6 +127,33 @@ def test_other_tokenizers_take_whole_texts():
     assert ids[:lengths[0] - 1].tolist() == Tokenizer.from_file(path).encode("Two words", add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_encoder_gives_the_ids_of_whole_texts(monkeypatch, seed):
+    monkeypatch.setattr(files, "CACHED", 300)  # the cache is emptied between the calls
+    spec = open(TOKENIZER, encoding="utf-8").read()
+    encoder, library = files.Encoder(spec), Tokenizer.from_str(spec)
+    library.encode_special_tokens = True
+    rng = np.random.default_rng(seed)
+    marks = [" "] * 8 + list("\n\n\n.,'#-%\t\r\x0b\x1c\x85\xa0\u2028\u3000") + ["...", "'s", "\n\n", "  "]
+    units = marks + ["word", "Éa", "ß", "\u0250x", "字", "\u0301", "12", "s", "re", "<|endoftext|>", "😀", "\x00"] * 3
+    plain = ["one", "two.", "três,", "x'\ns", "four.\nFive", "six***\n7\nEight!", "\nnine", "字.\n字", "it's", "a"]
+    for _ in range(6):
+        texts = ["".join(rng.choice(units, rng.integers(0, 40))) for _ in range(60)]
+        texts += [" ".join(rng.choice(plain, rng.integers(0, 30))) + ["", "\n", "\n\n", " "][rng.integers(0, 4)] for _ in range(60)]
+        ids, lengths = encoder.encode(texts)
+        got = [part[:-1].tolist() for part in np.split(ids, np.cumsum(lengths)[:-1])]
+        assert got == [library.encode(text, add_special_tokens=False).ids for text in texts]
+
+
+def test_words_on_both_sides_of_a_line_end_are_learnt_once(monkeypatch):
+    encoder, sent = files.Encoder(open(TOKENIZER, encoding="utf-8").read()), []
+    plain = files.Encoder.library_ids
+    monkeypatch.setattr(files.Encoder, "library_ids", lambda self, texts: sent.extend(texts) or plain(self, texts))
+    names = [a + b for a in "abcdef" for b in "uvwxyz"]
+    encoder.encode(["x " + " ".join(f"{a}.\n{b}" for a in names for b in names) + " x"])
+    assert sum(map(len, sent)) < 10 * len(names)  # 1,296 pairs of 36 words
+
+
 def trie_rows(df):
     return sorted((tuple(r) for r in df.collect()), key=str)
 
